@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .mixing import MIX_SQL, mix_query
 from .ogg import ogg_query
+from .pii import pii_query
 from .secrets import secrets_query
 from .simhash import simhash_query
 
 QUERIES = {
+    "op2_pii": pii_query,
     "op3_mixing": mix_query,
     "op5_ogg": ogg_query,
     "op8_secrets": secrets_query,
