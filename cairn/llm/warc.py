@@ -241,7 +241,7 @@ class WarcWriter(DataSourceArrowWriter):
             for r in batch.to_pylist():
                 if out is None:
                     names.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, size = fs.open_output_stream(f"{path}/{names[-1]}"), 0
+                    out, size = fs.open_output_stream(f"{path}/{names[-1]}", compression=None), 0
                 data = _member(record(r["page_id"], r["target_uri"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"], self.date))
                 out.write(data)
                 size += len(data)
