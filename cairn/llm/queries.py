@@ -6,6 +6,7 @@ from .mixing import MIX_SQL, mix_query
 from .ogg import ogg_query
 from .pii import pii_query
 from .secrets import secrets_query
+from .toxicity import toxicity_query
 from .warc import warc_query
 from .simhash import simhash_query
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_pii": pii_query,
     "op3_mixing": mix_query,
     "op5_ogg": ogg_query,
+    "op6_toxicity": toxicity_query,
     "op7_warc": warc_query,
     "op8_secrets": secrets_query,
     "op10_simhash": simhash_query,
