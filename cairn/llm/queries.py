@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import decontamination_query
 from .mixing import MIX_SQL, mix_query
 from .ogg import ogg_query
 from .pii import pii_query
@@ -13,6 +14,7 @@ from .simhash import simhash_query
 QUERIES = {
     "op2_pii": pii_query,
     "op3_mixing": mix_query,
+    "op4_decontamination": decontamination_query,
     "op5_ogg": ogg_query,
     "op6_toxicity": toxicity_query,
     "op7_warc": warc_query,
