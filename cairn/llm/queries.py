@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import decontamination_query
 from .mixing import MIX_SQL, mix_query
 from .ogg import ogg_query
+from .passages import passages_query
 from .pii import pii_query
 from .secrets import secrets_query
 from .toxicity import toxicity_query
@@ -12,6 +13,7 @@ from .warc import warc_query
 from .simhash import simhash_query
 
 QUERIES = {
+    "op1_passages": passages_query,
     "op2_pii": pii_query,
     "op3_mixing": mix_query,
     "op4_decontamination": decontamination_query,
