@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .runtime import materialize, running_totals, table
 
@@ -45,11 +46,12 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 7,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns ``doc_id, source, size, source_size, target, taken`` for every row
-    of ``docs``. Within a source, documents stand in the order of a key hashed
+    Returns ``doc_id, source, size, source_size, target, taken`` and the columns
+    ``also`` for every row of ``docs``. Within a source, documents stand in the order of a key hashed
     from ``doc_id`` and ``seed``; the source's target, rounded to whole words,
     is cut off that order, which starts again once all its words are taken.
     The document at the cut gives only its first words.
@@ -63,6 +65,7 @@ def mix(
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("_key"),
+        *also,
     )
     order = [F.col("source").asc_nulls_last(), F.col("_key").asc(), F.col("doc_id").asc_nulls_last(), F.col("size").asc()]
     placed = materialize(running_totals(sizes, ["source"], order, "size", "_end"), "placed")
@@ -74,10 +77,25 @@ def mix(
     rest = words - F.col("_rounds") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + part).cast("long").alias("taken"), *also
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` that it takes, with ``size, source_size, target, taken``; see ``mix``.
+
+    A text of which fewer words are taken than it has is cut after them. One
+    that is taken more than once appears once; ``taken`` tells how often.
+    """
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("source"))
+    docs = docs.withColumns({"_id": F.coalesce(key[0].cast("string"), F.lit("")), "_hash": key[1]}).withColumn("_nth", nth)
+    taken = mix(docs, also=("_id", "_hash", "_nth"), **options).where("taken > 0").drop("doc_id", "source")
+    out = docs.join(taken, ["_id", "_hash", "_nth"]).drop("_id", "_hash", "_nth")
+    first = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), F.col("taken").cast("string"), F.lit("}")))
+    return out.withColumn("text", F.when(F.col("taken") < F.col("size"), first).otherwise(F.col("text")))
+
+
 def mix_query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -7,6 +7,7 @@ from .mixing import MIX_SQL, mix_query
 from .ogg import ogg_query
 from .passages import passages_query
 from .pii import pii_query
+from .quotes import quotes_query
 from .secrets import secrets_query
 from .toxicity import toxicity_query
 from .warc import warc_query
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": toxicity_query,
     "op7_warc": warc_query,
     "op8_secrets": secrets_query,
+    "op9_quotes": quotes_query,
     "op10_simhash": simhash_query,
 }
 

@@ -38,15 +38,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) for every row of ``docs``."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (signed 64 bits) and the long columns ``also`` for every row of ``docs``."""
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py(), words, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long"), "text", *also).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in also))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -128,6 +128,27 @@ def near_groups(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less those that repeat another; see ``near_groups``.
+
+    Of each group the row with the smallest ``doc_id`` stays (nulls last), of
+    rows with that id the one with the smallest text hash, and one of rows that
+    agree in both.
+    """
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("h", F.xxhash64("text"))
+    prints = materialize(fingerprints(texts, words, seed, also=("h",)), "prints")
+    comp = components(links(prints.select("fp").distinct()))
+    rows = prints.join(comp, F.col("fp") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"))
+    rows = materialize(rows.groupBy("doc_id", "h", "root").count(), "rooted")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("best"))
+    judged = rows.join(best, "root").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
+    judged = materialize(judged.where("not stays or count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "stays"), "judged")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h"))
+    kept = docs.join(judged, same, "left_anti")
+    again = docs.join(judged.where("stays"), same).drop("stays")
+    return kept.unionByName(again.dropDuplicates(["_id", "_h"]).drop("_id", "_h"))
+
+
 def simhash_query(spark, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
