@@ -92,7 +92,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     docs = docs.withColumns({"_id": F.coalesce(key[0].cast("string"), F.lit("")), "_hash": key[1]}).withColumn("_nth", nth)
     taken = mix(docs, also=("_id", "_hash", "_nth"), **options).where("taken > 0").drop("doc_id", "source")
     out = docs.join(taken, ["_id", "_hash", "_nth"]).drop("_id", "_hash", "_nth")
-    first = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), F.col("taken").cast("string"), F.lit("}")))
+    first = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("taken").cast("string"), F.lit("}+")))
     return out.withColumn("text", F.when(F.col("taken") < F.col("size"), first).otherwise(F.col("text")))
 
 
