@@ -1,132 +1,13 @@
-"""Shared helpers: written intermediate tables, running totals, components."""
+"""Shared helpers of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
-_written: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``.
-
-    Where the session names none (local tests), a temporary folder is set on
-    the session, so that the same call answers the same folder later.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The result has no lineage: a lost executor costs only the tasks that were
-    running on it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote in this process."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        p.getFileSystem(conf).delete(p, True)
+from cairn.plans.stages import materialize, new_path, partitions, release, running_totals, scratch_dir, table
 
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _local_totals(group: list[str], value: str):
-    """Running totals of ``value`` within a sorted partition, restarted when ``group`` changes."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        last, total = None, 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            v = batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
-            new = np.zeros(n, bool)
-            keys = []
-            for g in group:
-                codes = batch.column(batch.schema.get_field_index(g)).dictionary_encode(null_encoding="encode")
-                idx = codes.indices.to_numpy(zero_copy_only=False)
-                new[1:] |= idx[1:] != idx[:-1]
-                keys.append(codes)
-            first = tuple(k[0].as_py() for k in keys)
-            run_sum = np.cumsum(v)
-            starts = np.flatnonzero(new)
-            base = np.zeros(n, np.int64)
-            if len(starts):
-                base[starts] = run_sum[starts - 1] - np.concatenate(([0], run_sum[starts[:-1] - 1]))
-                base = np.cumsum(base)
-            out = run_sum - base
-            head = starts[0] if len(starts) else n
-            if last == first:
-                out[:head] += total
-            last, total = tuple(k[n - 1].as_py() for k in keys), int(out[-1])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(out)],
-                names=[*batch.schema.names, "_part", "_local"],
-            )
-
-    return run
-
-
-def running_totals(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
-    """Add ``out``: the inclusive running total of ``value`` in ``order`` within ``group``.
-
-    The rows are range-partitioned by ``order`` (which must begin with the
-    group's columns), so a group of any size spreads over many tasks; each
-    task adds up its own rows and the tasks' sums are joined back as offsets.
-    """
-    spark = df.sparkSession
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
-    local = (
-        df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_local_totals(group, value), schema)
-    )
-    local = materialize(local, "totals")
-    sums = local.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col("_part").alias("_p"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-    )
-    on = F.col("_part") == F.col("_p")
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return local.join(offsets, on, "left").select(*df.columns, (F.col("_local") + F.col("_offset")).alias(out))
+__all__ = ["components", "materialize", "new_path", "partitions", "release", "running_totals", "scratch_dir", "table"]
 
 
 def components(edges: DataFrame) -> DataFrame:
