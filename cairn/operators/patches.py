@@ -69,11 +69,11 @@ def exit_patch(points: DataFrame, low: float, high: float, per_face: int) -> Dat
         times.append(F.when(t > 0, t).otherwise(math.inf))
     every = F.array(*times)
     face = F.coalesce(near, F.array_position(every, F.array_min(every)).cast("int") - 1)
-    out = points.withColumn("exit_face", face)
-    axis = F.expr("exit_face div 2")
     part = lambda a: F.least(F.lit(per_face - 1), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1 - 1e-6), (F.col(f"p{a}") - low) / (high - low))) * per_face))
-    u, v = F.when(axis == 0, part("y")).otherwise(part("x")), F.when(axis == 2, part("y")).otherwise(part("z"))
-    return out.withColumn("exit_patch", (F.col("exit_face") * per_face * per_face + v * per_face + u).cast("int"))
+    out = points.withColumn("_to", F.struct(face.alias("face"), F.array(*map(part, "xyz")).alias("at")))
+    index = f"int(t.face * {per_face * per_face} + t.at[if(t.face div 2 = 2, 1, 2)] * {per_face} + t.at[if(t.face div 2 = 0, 1, 0)])"
+    out = out.withColumn("_to", F.expr(f"transform(array(_to), t -> named_struct('face', t.face, 'patch', {index}))[0]"))
+    return out.withColumns({"exit_face": F.col("_to.face"), "exit_patch": F.col("_to.patch")}).drop("_to")
 
 
 def solid_angle(patches: DataFrame, point: tuple[float, float, float]) -> DataFrame:

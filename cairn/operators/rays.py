@@ -141,7 +141,7 @@ def masks(cells: DataFrame, resolution: int) -> DataFrame:
     """``object_id, masks``: one 64-bit mask of occupied k for each (i, j) of a grid of up to 62 cells a side."""
     if resolution > 62:
         raise ValueError("grids of more than 62 cells a side are traced with trace_cells")
-    row = cells.groupBy("object_id", (F.col("i") * resolution + F.col("j")).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("k"))).alias("mask"))
+    row = cells.groupBy("object_id", (F.col("i") * resolution + F.col("j")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     kept = row.groupBy("object_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "mask"))).alias("m"))
     return kept.select("object_id", F.expr(f"transform(sequence(0, {resolution * resolution - 1}), n -> coalesce(m[n], 0L))").alias("masks"))
 
@@ -165,9 +165,9 @@ def trace_cells(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame
     """As ``trace`` for grids of any size: segments are exploded and joined with cells on the cell key."""
     h = resolution / 2
     ready = segments(rays, resolution)
-    steps = ready.where("size(cuts) > 1").select(
-        "ray_id", "object_id", F.expr(f"inline(transform(sequence(0, size(cuts) - 2), n -> named_struct('len', cuts[n + 1] - cuts[n], 'i', {_cell('z', h)}, 'j', {_cell('y', h)}, 'k', {_cell('x', h)})))")
-    )
+    part = f"named_struct('len', cuts[n + 1] - cuts[n], 'i', {_cell('z', h)}, 'j', {_cell('y', h)}, 'k', {_cell('x', h)})"
+    # not a filter on the cuts: pushed to the scan, it would compute them twice
+    steps = ready.select("ray_id", "object_id", F.expr(f"inline(if(size(cuts) > 1, transform(sequence(0, size(cuts) - 2), n -> {part}), array()))"))
     sums = steps.join(cells, ["object_id", "i", "j", "k"], "left_semi").groupBy("ray_id", "object_id").agg(F.sum("len").alias("len"))
     out = rays.select("ray_id", "object_id").join(sums, ["ray_id", "object_id"], "left")
     return out.select("ray_id", "object_id", F.coalesce("len", F.lit(0.0)).alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))

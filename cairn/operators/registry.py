@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-POSITION = [F.col(f"global_position_{x}") for x in "xyz"]
-
 
 def registry(tree: DataFrame) -> DataFrame:
     """One row for each ``(level, hash)``: uses, emptiness, block size and the first object that has it."""

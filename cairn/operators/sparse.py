@@ -37,7 +37,7 @@ def edges(cells: DataFrame, connectivity: int = 6, loops: bool = False) -> DataF
 
 def neighbour_counts(cells: DataFrame, connectivity: int = 6) -> DataFrame:
     """Edges per object, counted in one pass over bit masks of the rows along k, without node numbers or edge rows."""
-    row = cells.groupBy("object_id", "i", "j").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("k"))).alias("mask"))
+    row = cells.groupBy("object_id", "i", "j").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     steps: dict[tuple[int, int], list[int]] = {}
     for a, b, c in offsets(connectivity):
         steps.setdefault((a, b), []).append(c)

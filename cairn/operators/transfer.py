@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SIZE = F.abs(F.col("value"))
+def _size():
+    return F.abs(F.col("value"))
 
 
 def statistics(t: DataFrame, n: int) -> DataFrame:
@@ -27,7 +28,7 @@ def statistics(t: DataFrame, n: int) -> DataFrame:
 
 def column_sums(t: DataFrame) -> DataFrame:
     """Sums of absolute values per incident condition."""
-    return t.groupBy("structure", "in_idx").agg(F.sum(SIZE).alias("column_sum"))
+    return t.groupBy("structure", "in_idx").agg(F.sum(_size()).alias("column_sum"))
 
 
 def column_sum_statistics(t: DataFrame, n: int) -> DataFrame:
@@ -36,7 +37,7 @@ def column_sum_statistics(t: DataFrame, n: int) -> DataFrame:
 
 
 def row_sums(t: DataFrame) -> DataFrame:
-    return t.groupBy("structure", "out_idx").agg(F.sum(SIZE).alias("row_sum"))
+    return t.groupBy("structure", "out_idx").agg(F.sum(_size()).alias("row_sum"))
 
 
 def symmetry_error(t: DataFrame) -> DataFrame:
@@ -48,25 +49,25 @@ def symmetry_error(t: DataFrame) -> DataFrame:
 
 def sparsity(t: DataFrame, n: int, share: float = 1e-6) -> DataFrame:
     """Share of entries above ``share`` of the largest."""
-    top = t.groupBy("structure").agg((F.max(SIZE) * share).alias("least"))
-    return t.join(top, "structure").groupBy("structure").agg((F.count_if(SIZE > F.col("least")) / (float(n) * n)).alias("density"))
+    top = t.groupBy("structure").agg((F.max(_size()) * share).alias("least"))
+    return t.join(top, "structure").groupBy("structure").agg((F.count_if(_size() > F.col("least")) / (float(n) * n)).alias("density"))
 
 
 def face_energy(t: DataFrame, per_face: int) -> DataFrame:
     """Absolute energy sent out for light on each face; ``per_face`` conditions make a face."""
-    return t.groupBy("structure", F.expr(f"int(in_idx div {per_face})").alias("in_face")).agg(F.sum(SIZE).alias("energy"))
+    return t.groupBy("structure", F.expr(f"int(in_idx div {per_face})").alias("in_face")).agg(F.sum(_size()).alias("energy"))
 
 
 def face_transport(t: DataFrame, per_face: int) -> DataFrame:
     """Energy from face to face, raw and as a share of what comes from the incident face."""
-    f = t.groupBy("structure", F.expr(f"int(out_idx div {per_face})").alias("out_face"), F.expr(f"int(in_idx div {per_face})").alias("in_face")).agg(F.sum(SIZE).alias("energy"))
+    f = t.groupBy("structure", F.expr(f"int(out_idx div {per_face})").alias("out_face"), F.expr(f"int(in_idx div {per_face})").alias("in_face")).agg(F.sum(_size()).alias("energy"))
     total = F.sum("energy").over(Window.partitionBy("structure", "in_face"))
     return f.withColumn("share", F.when(total > 0, F.col("energy") / total).otherwise(0.0))
 
 
 def sh_coupling(t: DataFrame, n_sh: int) -> DataFrame:
     """Absolute energy between harmonics."""
-    return t.groupBy("structure", (F.col("out_idx") % n_sh).alias("out_sh"), (F.col("in_idx") % n_sh).alias("in_sh")).agg(F.sum(SIZE).alias("energy"))
+    return t.groupBy("structure", (F.col("out_idx") % n_sh).alias("out_sh"), (F.col("in_idx") % n_sh).alias("in_sh")).agg(F.sum(_size()).alias("energy"))
 
 
 def differences(t: DataFrame, n: int) -> DataFrame:
@@ -137,7 +138,7 @@ def worst_pairs(e: DataFrame, key: list[str], k: int = 5) -> DataFrame:
 
 def histogram(t: DataFrame, low: float, high: float, bins: int) -> DataFrame:
     """Counts of log10 of absolute non-zero values in equal bins from ``low`` to ``high``, 0 and bins + 1 beyond them."""
-    b = F.width_bucket(F.log10(SIZE), F.lit(low), F.lit(high), F.lit(bins))
+    b = F.width_bucket(F.log10(_size()), F.lit(low), F.lit(high), F.lit(bins))
     diagonal = F.col("out_idx") == F.col("in_idx")
     return t.where(F.col("value") != 0).groupBy("structure", b.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if(diagonal).alias("n_diagonal"))
 

@@ -47,7 +47,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ray_id, object_id, ox, oy, oz, dx, dy, dz``: every order is a ray towards a point near its object's centre."""
+    """``ray_id, object_id, ox, oy, oz, dx, dy, dz``: every order is a ray towards a point near its object's centre.
+
+    Dealt out by object, as the joins with objects' masks need it; the exchange
+    also keeps these expressions out of later filters.
+    """
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ray_id"))
     n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
     o = o.crossJoin(F.broadcast(n))  # one row
@@ -60,14 +64,14 @@ def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a in "xyz":
         aimed = aimed.withColumn(f"v{a}", F.col(f"t{a}") - F.col(f"o{a}"))
     size = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz"))
-    return aimed.select("ray_id", "object_id", "ox", "oy", "oz", *[(F.col(f"v{a}") / size).alias(f"d{a}") for a in "xyz"])
+    return aimed.select("ray_id", "object_id", "ox", "oy", "oz", *[(F.col(f"v{a}") / size).alias(f"d{a}") for a in "xyz"]).repartition("object_id")
 
 
 def matrix(spark: SparkSession, sf_dir: str, patches: int = 24, n_sh: int = 4) -> DataFrame:
     """``structure, out_idx, in_idx, value``: line items summed into one transfer matrix for each return flag."""
     n = patches * n_sh
     li = table(spark, sf_dir, "lineitem")
-    value = F.sum(F.when(F.col("l_linenumber") % 2 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity"))) / 1000.0
+    value = F.sum(F.when(F.col("l_linenumber") % 2 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity"))) / 977.0
     return li.groupBy(F.col("l_returnflag").alias("structure"), (F.col("l_partkey") % n).cast("int").alias("out_idx"), (F.col("l_suppkey") % n).cast("int").alias("in_idx")).agg(
         value.alias("value")
     )
