@@ -27,6 +27,32 @@ def content_hash(occ: str = "occ", size: str = "size"):
     return F.expr(f"sha2(unhex(concat(array_join({ones}, ''), {tail})), 256)")
 
 
+def hashed_blocks(cells: DataFrame, resolution: int, least: int) -> DataFrame:
+    """Occupied blocks with ``hash`` and ``n_cells``.
+
+    Blocks of up to 8 cells a side are gathered as bits in at most 8 bigints,
+    by one hash aggregation without lists; larger ones from offsets.
+    """
+    sizes = list(enumerate(level_sizes(resolution, least)))[1:]
+    small, big = [(n, s) for n, s in sizes if s <= 8], [(n, s) for n, s in sizes if s > 8]
+    out = None
+    keys = [F.expr(f"{a} div size").cast("int").alias(f"b{a}") for a in "ijk"]
+    if small:
+        levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(s).alias("size")) for n, s in small]))
+        c = cells.select("object_id", "i", "j", "k", levels.alias("l")).select("object_id", "i", "j", "k", "l.level", "l.size")
+        c = c.select("object_id", "level", "size", *keys, F.expr("((i % size) * size + j % size) * size + k % size").alias("n"))
+        words = max(1, max(s for _, s in small) ** 3 // 64)
+        c = c.groupBy("object_id", "level", "size", "bi", "bj", "bk").agg(*[F.expr(f"bit_or(if(n div 64 = {w}, shiftleft(1L, int(n % 64)), 0L))").alias(f"w{w}") for w in range(words)])
+        bits = "concat(" + ", ".join(f"reverse(lpad(bin(w{w}), 64, '0'))" if w == 0 else f"if(size * size * size > {64 * w}, reverse(lpad(bin(w{w}), 64, '0')), '')" for w in range(words)) + ")"
+        digest = F.expr(f"sha2(unhex(replace(replace(substring({bits}, 1, size * size * size), '0', '00'), '1', '01')), 256)")
+        count = sum((F.bit_count(f"w{w}") for w in range(words)), F.lit(0))
+        out = c.select("object_id", "level", "bi", "bj", "bk", digest.alias("hash"), count.alias("n_cells"))
+    if big:
+        listed = blocks(cells, resolution, big[-1][1]).select("object_id", "level", "bi", "bj", "bk", content_hash().alias("hash"), F.size("occ").alias("n_cells"))
+        out = out.union(listed) if out is not None else listed
+    return out
+
+
 def subdivide(cells: DataFrame, objects: DataFrame, resolution: int = 16, least: int = 4) -> DataFrame:
     """The subdivision map: every block of every level below the object itself, empty ones included.
 
@@ -34,12 +60,13 @@ def subdivide(cells: DataFrame, objects: DataFrame, resolution: int = 16, least:
     a constant of its level. ``is_full`` tells blocks without an empty cell.
     """
     sizes = level_sizes(resolution, least)[1:]
-    filled = blocks(cells, resolution, least).select("object_id", "level", "bi", "bj", "bk", content_hash().alias("filled"), F.size("occ").alias("n_cells"))
+    filled = hashed_blocks(cells, resolution, least).withColumnRenamed("hash", "filled")
     empty = F.create_map(*[F.lit(x) for n, s in enumerate(sizes) for x in (n + 1, hashlib.sha256(bytes(s**3)).hexdigest())])
     grid = objects.select("object_id", F.explode(F.sequence(F.lit(1), F.lit(len(sizes)))).alias("level")).withColumn("size", F.expr(f"int({resolution} >> level)"))
     for a in "ijk":
         grid = grid.withColumn(f"b{a}", F.explode(F.expr("sequence(0, (1 << level) - 1)")))
-    full = grid.join(filled, ["object_id", "level", "bi", "bj", "bk"], "left")
+    # a merge, as sizes are unknown before the blocks are exploded and grouped
+    full = grid.join(filled.hint("merge"), ["object_id", "level", "bi", "bj", "bk"], "left")
     return full.select(
         "object_id", "level", F.expr("(bi % 2) * 4 + (bj % 2) * 2 + bk % 2").alias("octant_index"),
         *[F.expr(f"(b{a} % 2) * size").alias(f"position_{x}") for a, x in zip("ijk", "xyz", strict=True)],
@@ -57,7 +84,7 @@ def children(tree: DataFrame) -> DataFrame:
         "object_id", (F.col("level") - 1).alias("level"), *[F.expr(f"global_position_{x} div (2 * size) * (2 * size)").cast("int").alias(f"global_position_{x}") for x in "xyz"],
         "octant_index", F.col("hash").alias("child_hash"), "is_empty",
     )
-    return parent.join(child, at)
+    return parent.hint("merge").join(child, at)
 
 
 def lossless(cells: DataFrame, resolution: int, least: int) -> DataFrame:

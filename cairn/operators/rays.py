@@ -154,7 +154,7 @@ def trace(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
     """
     h = resolution / 2
     ready = segments(rays, resolution).select("ray_id", "object_id", *[f"{p}{a}" for p in "od" for a in "xyz"], "cuts")
-    joined = ready.join(masks(cells, resolution), "object_id", "left")
+    joined = ready.join(masks(cells, resolution).hint("merge"), "object_id", "left")
     inside = " AND ".join(f"{_cell(a, h)} BETWEEN 0 AND {resolution - 1}" for a in "xyz")
     step = f"if({inside} AND getbit(masks[{_cell('z', h)} * {resolution} + {_cell('y', h)}], {_cell('x', h)}) = 1, cuts[n + 1] - cuts[n], 0D)"
     total = F.expr(f"if(cuts IS NULL OR masks IS NULL OR size(cuts) < 2, 0D, aggregate(sequence(0, size(cuts) - 2), 0D, (t, n) -> t + {step}))")
@@ -168,7 +168,7 @@ def trace_cells(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame
     part = f"named_struct('len', cuts[n + 1] - cuts[n], 'i', {_cell('z', h)}, 'j', {_cell('y', h)}, 'k', {_cell('x', h)})"
     # not a filter on the cuts: pushed to the scan, it would compute them twice
     steps = ready.select("ray_id", "object_id", F.expr(f"inline(if(size(cuts) > 1, transform(sequence(0, size(cuts) - 2), n -> {part}), array()))"))
-    sums = steps.join(cells, ["object_id", "i", "j", "k"], "left_semi").groupBy("ray_id", "object_id").agg(F.sum("len").alias("len"))
+    sums = steps.join(cells.hint("merge"), ["object_id", "i", "j", "k"], "left_semi").groupBy("ray_id", "object_id").agg(F.sum("len").alias("len"))
     out = rays.select("ray_id", "object_id").join(sums, ["ray_id", "object_id"], "left")
     return out.select("ray_id", "object_id", F.coalesce("len", F.lit(0.0)).alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
 

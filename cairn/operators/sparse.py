@@ -32,7 +32,7 @@ def edges(cells: DataFrame, connectivity: int = 6, loops: bool = False) -> DataF
     steps = offsets(connectivity) + [(0, 0, 0)] * loops
     moves = F.explode(F.array(*[F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a, b, c in steps]))
     asks = n.withColumn("m", moves).select("object_id", F.col("node_id").alias("src"), *[(F.col(a) + F.col(f"m.{a}")).alias(a) for a in "zyx"])
-    return asks.join(n.select("object_id", "z", "y", "x", F.col("node_id").alias("dst")), ["object_id", "z", "y", "x"]).select("object_id", "src", "dst")
+    return asks.join(n.select("object_id", "z", "y", "x", F.col("node_id").alias("dst")).hint("merge"), ["object_id", "z", "y", "x"]).select("object_id", "src", "dst")
 
 
 def neighbour_counts(cells: DataFrame, connectivity: int = 6) -> DataFrame:
@@ -43,7 +43,7 @@ def neighbour_counts(cells: DataFrame, connectivity: int = 6) -> DataFrame:
         steps.setdefault((a, b), []).append(c)
     moves = [F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.array(*map(F.lit, cs)).alias("dk")) for (a, b), cs in steps.items()]
     asks = row.withColumn("m", F.explode(F.array(*moves))).select("object_id", "mask", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), F.col("m.dk").alias("dk"))
-    met = asks.join(row.withColumnRenamed("mask", "other"), ["object_id", "i", "j"])
+    met = asks.join(row.withColumnRenamed("mask", "other").hint("merge"), ["object_id", "i", "j"])
     shared = F.expr("aggregate(dk, 0, (t, d) -> t + bit_count(if(d > 0, shiftrightunsigned(other, 1), if(d < 0, shiftleft(other, 1), other)) & mask))")
     return met.groupBy("object_id").agg(F.sum(shared).alias("num_edges"))
 
@@ -69,4 +69,4 @@ def to_dense(points: DataFrame, shape: tuple[int, int, int] | None = None) -> Da
     grid = sizes
     for a in "zyx":
         grid = grid.withColumn(a, F.explode(F.expr(f"sequence(0, n{a} - 1)")))
-    return grid.join(points, ["object_id", "z", "y", "x"], "left").select("object_id", "z", "y", "x", F.coalesce("feature", F.lit(0.0)).alias("value"))
+    return grid.hint("merge").join(points, ["object_id", "z", "y", "x"], "left").select("object_id", "z", "y", "x", F.coalesce("feature", F.lit(0.0)).alias("value"))

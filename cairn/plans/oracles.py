@@ -362,3 +362,4 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT object_id, step, count(*) AS num_voxels FROM m GROUP BY object_id, step)
         SELECT object_id, step, num_voxels, {r('num_voxels / 4096.0::DOUBLE')} AS occupancy, num_voxels - lag(num_voxels) OVER (PARTITION BY object_id ORDER BY step) AS delta FROM c""",
 }
+ORACLE_SQL["subvolume_hash_lists"] = ORACLE_SQL["subvolume_hash"]

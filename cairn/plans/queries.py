@@ -115,6 +115,11 @@ def octree_children(spark, d):
 
 @query
 def subvolume_hash(spark, d):
+    return octree.hashed_blocks(src.cells(spark, d), R, LEAST).drop("n_cells")
+
+
+@query
+def subvolume_hash_lists(spark, d):
     b = octree.blocks(src.cells(spark, d), R, LEAST)
     return b.select("object_id", "level", "bi", "bj", "bk", octree.content_hash().alias("hash"))
 

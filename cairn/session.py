@@ -15,6 +15,7 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
