@@ -18,13 +18,13 @@ _written: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a temporary folder is set on
-    the session, so that the same call answers the same folder later.
+    Where the session names none (local tests), a temporary folder becomes the
+    context's checkpoint folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
