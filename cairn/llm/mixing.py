@@ -86,7 +86,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A text of which fewer words are taken than it has is cut after them. One
     that is taken more than once appears once; ``taken`` tells how often.
+    Columns of ``docs`` with the names of the four are replaced.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")])
     key = [F.col("doc_id"), F.xxhash64("text")]
     nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("source"))
     docs = docs.withColumns({"_id": F.coalesce(key[0].cast("string"), F.lit("")), "_hash": key[1]}).withColumn("_nth", nth)

@@ -141,6 +141,7 @@ def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     rows = prints.join(comp, F.col("fp") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"))
     rows = materialize(rows.groupBy("doc_id", "h", "root").count(), "rooted")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("best"))
+    best = materialize(best, "best")  # a plain table, so that skew in the join can be split
     judged = rows.join(best, "root").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
     judged = materialize(judged.where("not stays or count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "stays"), "judged")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .runtime import new_path, table
+from .runtime import materialize, new_path, table
 
 FIELDS = (
     "page_id long, record_type string, record_id string, target_uri string, date string, payload_digest string, "
@@ -309,6 +309,7 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     top = (
         rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
     )
+    top = materialize(top, "repeated")  # a plain table, so that skew in the join can be split
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     return rows.join(top, "digest", "left").select(
         "page_id",
