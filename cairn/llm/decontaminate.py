@@ -14,15 +14,36 @@ SPAN = 8
 WORDS = r"array_remove(split(lower(coalesce(text, '')), r'[^\p{L}\p{N}]+'), '')"
 
 
+def _parts(mask: str) -> list[str]:
+    """A mask's tokens as pairs of neighbours ``p`` and single ones ``a``: fewer values to hash at every position."""
+    out, k = [], 0
+    while k < len(mask):
+        if mask[k : k + 2] == "11":
+            out.append(f"p[i + {k}]")
+            k += 2
+        else:
+            out += [f"a[i + {k}]"] * (mask[k] == "1")
+            k += 1
+    return out
+
+
 def _seeds(lengths: list[int]) -> str:
-    """SQL for the array of seed hashes of ``words``: all masks' by position, then whole phrases of each of ``lengths``."""
-    parts = []
-    masks = [(SPAN, m, [i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
-    masks += [(n, str(n), list(range(n))) for n in lengths]
-    for span, name, picks in masks:
-        hashed = f"xxhash64('{name}', {', '.join(f'a[i + {k}]' for k in picks)})"
-        parts.append(f"CASE WHEN size(a) >= {span} THEN transform(sequence(0, size(a) - {span}), i -> named_struct('at', i, 'seed', {hashed})) ELSE array() END")
-    return f"transform(array(transform(words, w -> xxhash64(w))), a -> concat({', '.join(parts)}))[0]"
+    """SQL for the array of seed hashes of ``words``: mask by mask by position, then whole phrases of each of ``lengths``."""
+    every = [(SPAN, f"xxhash64({', '.join(_parts(m))})") for m in MASKS]
+    every += [(n, f"xxhash64({n}, {', '.join(f'a[i + {k}]' for k in range(n))})") for n in lengths]
+    parts = [f"if(size(a) >= {span}, transform(sequence(0, size(a) - {span}), i -> {hashed}), array())" for span, hashed in every]
+    pairs = "if(size(a) > 1, transform(sequence(0, size(a) - 2), i -> xxhash64(a[i], a[i + 1])), array())"
+    return f"transform(array(transform(words, w -> xxhash64(w))), a -> transform(array({pairs}), p -> concat({', '.join(parts)}))[0])[0]"
+
+
+def _place(pos: str, size: str, lengths: list[int]) -> str:
+    """SQL for the token at which the seed at ``pos`` of ``_seeds`` begins, of ``size`` tokens."""
+    out, before = "", "0"
+    for span in [SPAN] * len(MASKS) + lengths:
+        n = f"greatest(0, {size} - {span - 1})"
+        out += f"WHEN {pos} < {before} + {n} THEN {pos} - ({before}) "
+        before += f" + {n}"
+    return f"CASE {out}END"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, shortest: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -45,17 +66,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share:
     items = materialize(items.distinct(), "items")
     lengths = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
     seeds = _seeds(lengths)
-    item_seeds = items.select("item_id", F.col("words").alias("item"), F.expr(f"inline({seeds})")).select("item_id", "item", F.col("at").alias("item_at"), "seed")
+    # outer explosions: else Spark would compute the arrays once more, to filter empty ones
+    item_seeds = items.select("item_id", "words", F.size("words").alias("n"), F.expr(f"posexplode_outer({seeds}) AS (pos, seed)"))
+    item_seeds = item_seeds.select("item_id", F.col("n").alias("item_n"), F.expr(_place("pos", "n", lengths)).alias("item_at"), "seed")
     # a phrase of a long item isn't sought
-    item_seeds = materialize(item_seeds if not lengths else item_seeds.where(F.size("item") >= SPAN).union(item_seeds.where((F.size("item") < SPAN) & (F.col("item_at") == 0))), "seeds")
-    if item_seeds.count() <= broadcast_rows:
-        item_seeds = F.broadcast(item_seeds)
-    words = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).selectExpr("doc_id", "xxhash64(text) AS text_hash", f"{WORDS} AS words")
-    hits = words.select("doc_id", "text_hash", "words", F.expr(f"inline({seeds})")).join(item_seeds, "seed")
-    agree = "transform(sequence(0, size(item) - 1), k -> int(get(words, at - item_at + k) <=> item[k]))"
+    item_seeds = materialize(item_seeds.where(f"seed is not null and (item_n >= {SPAN} or item_at = 0)"), "seeds")
+    small = item_seeds.count() <= broadcast_rows
+    known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    # the size is taken before the explosion, which then has no words to copy to its rows
+    rows = known.selectExpr("doc_id", "text_hash", f"{WORDS} AS words").select("doc_id", "text_hash", "words", F.size("words").alias("n"))
+    rows = rows.select("doc_id", "text_hash", "n", F.expr(f"posexplode_outer({seeds}) AS (pos, seed)"))
+    hits = rows.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
+    hits = hits.select("doc_id", "text_hash", "item_id", "item_n", (F.expr(_place("pos", "n", lengths)) - F.col("item_at")).alias("start")).distinct()
+    # texts rejoin their hits, so that they aren't copied for every seed
+    hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("item_id", "item_n", "start")).alias("hits"))
+    hits = materialize(hits, "hits")
+    found = known.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    cut = f"transform(array({WORDS}), w -> transform(hits, h -> named_struct('item_id', h.item_id, 'start', h.start, 'extent', slice(w, greatest(h.start, 0) + 1, h.item_n))))[0]"
+    found = found.select("doc_id", "text_hash", F.expr(f"inline_outer({cut})"))
+    item_words = items.select("item_id", F.col("words").alias("item"))
+    found = found.join(F.broadcast(item_words) if small else item_words, "item_id")
+    agree = "transform(sequence(0, size(item) - 1), k -> int(get(extent, start - greatest(start, 0) + k) <=> item[k]))"
     width = f"least({window}, size(item))"
     best = f"array_max(transform(array({agree}), m -> array_max(transform(sequence(1, size(m) - {width} + 1), s -> aggregate(slice(m, s, {width}), 0, (t, x) -> t + x)))))"
-    verified = hits.select("doc_id", "text_hash", "item_id", F.expr(best).alias("matched"), F.expr(width).alias("of"), F.expr("at - item_at").alias("start"))
+    verified = found.select("doc_id", "text_hash", "item_id", F.expr(best).alias("matched"), F.expr(width).alias("of"), "start")
     verified = verified.where(F.col("matched") >= F.ceil(F.col("of") * F.lit(share) - F.lit(1e-9)))
     return (
         verified.groupBy("doc_id", "text_hash", "item_id", "of")
