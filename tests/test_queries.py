@@ -8,6 +8,8 @@ from cairn.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROWS_ONLY = {"interior_fill", "add_noise", "spectral_radius", "monte_carlo_transfer", "sinkhorn_plan"}
+#: These tables have fewer objects than the one's threshold and no light on the other's face.
+EMPTY_HERE = {"common_contents", "view_radiance"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +30,7 @@ def test_query(spark, duck, sf_dir, name):
     rows = QUERIES[name](spark, sf_dir)
     names = sorted(rows.columns)
     got = sorted(map(repr, (tuple(r) for r in rows.select(*names).collect())))
-    assert got
+    assert got or name in EMPTY_HERE
     if name in ORACLE_SQL:
         cols = ", ".join(f'"{c}"' for c in names)
         want = duck.execute(f"SELECT {cols} FROM ({ORACLE_SQL[name]})").fetchall()
