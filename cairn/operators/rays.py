@@ -138,12 +138,16 @@ def _cell(axis: str, h: float) -> str:
 
 
 def masks(cells: DataFrame, resolution: int) -> DataFrame:
-    """``object_id, masks``: one 64-bit mask of occupied k for each (i, j) of a grid of up to 62 cells a side."""
+    """``object_id, planes``: for each occupied i of a grid of up to 62 cells a side, a bigint of occupied k for every j.
+
+    One hash aggregation gathers a plane's bits in as many bigints as it has
+    rows; objects then collect at most ``resolution`` planes.
+    """
     if resolution > 62:
         raise ValueError("grids of more than 62 cells a side are traced with trace_cells")
-    row = cells.groupBy("object_id", (F.col("i") * resolution + F.col("j")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-    kept = row.groupBy("object_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "mask"))).alias("m"))
-    return kept.select("object_id", F.expr(f"transform(sequence(0, {resolution * resolution - 1}), n -> coalesce(m[n], 0L))").alias("masks"))
+    row = [F.expr(f"bit_or(if(j = {n}, shiftleft(1L, k), 0L))").alias(f"m{n}") for n in range(resolution)]
+    plane = cells.groupBy("object_id", "i").agg(*row).select("object_id", "i", F.array(*[f"m{n}" for n in range(resolution)]).alias("rows"))
+    return plane.groupBy("object_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "rows"))).alias("planes"))
 
 
 def trace(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
@@ -156,8 +160,8 @@ def trace(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
     ready = segments(rays, resolution).select("ray_id", "object_id", *[f"{p}{a}" for p in "od" for a in "xyz"], "cuts")
     joined = ready.join(masks(cells, resolution).hint("merge"), "object_id", "left")
     inside = " AND ".join(f"{_cell(a, h)} BETWEEN 0 AND {resolution - 1}" for a in "xyz")
-    step = f"if({inside} AND getbit(masks[{_cell('z', h)} * {resolution} + {_cell('y', h)}], {_cell('x', h)}) = 1, cuts[n + 1] - cuts[n], 0D)"
-    total = F.expr(f"if(cuts IS NULL OR masks IS NULL OR size(cuts) < 2, 0D, aggregate(sequence(0, size(cuts) - 2), 0D, (t, n) -> t + {step}))")
+    step = f"if({inside} AND getbit(planes[{_cell('z', h)}][{_cell('y', h)}], {_cell('x', h)}) = 1, cuts[n + 1] - cuts[n], 0D)"
+    total = F.expr(f"if(cuts IS NULL OR planes IS NULL OR size(cuts) < 2, 0D, aggregate(sequence(0, size(cuts) - 2), 0D, (t, n) -> t + {step}))")
     return joined.select("ray_id", "object_id", total.alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
 
 
