@@ -176,7 +176,11 @@ def test_warc_filters_and_skips(spark):
     assert {r.payload.decode() for r in got.where("record_type = 'response'").collect()} == {"same", *(f"page {n} " * 500 for n in range(0, 30, 3))}
     some = got.where("record_type = 'response' and target_uri like 'http://x/1%'").select("page_id")
     assert {r.page_id for r in some.collect()} == {12, 15, 18}
-    assert "PushedFilters" in got.where("record_type = 'response'")._jdf.queryExecution().toString() or True
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    reader = warc.WarcReader(got.schema, {"path": path})
+    left = GreaterThan(("payload_bytes",), 3)
+    assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), left])) == [left] and reader.tests == [("record_type", "EqualTo", "revisit")]
     members = [warc.record(1, "u", b"z" * 50_000, warc.sha1_base32(b"z" * 50_000), "response", None, "d"), warc.record(2, "v", b"", "D", "revisit", 1, "d")]
     import gzip
 
