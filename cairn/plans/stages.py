@@ -63,8 +63,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _local_totals(group: list[str], value: str):
-    """Running totals of ``value`` within a sorted partition, restarted when ``group`` changes."""
+def _local_totals(group: list[str], value: str, largest: bool):
+    """Running totals (or maxima) of ``value`` within a sorted partition, restarted when ``group`` changes."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -84,16 +84,22 @@ def _local_totals(group: list[str], value: str):
                 new[1:] |= idx[1:] != idx[:-1]
                 keys.append(codes)
             first = tuple(k[0].as_py() for k in keys)
-            run_sum = np.cumsum(v)
             starts = np.flatnonzero(new)
-            base = np.zeros(n, np.int64)
-            if len(starts):
-                base[starts] = run_sum[starts - 1] - np.concatenate(([0], run_sum[starts[:-1] - 1]))
-                base = np.cumsum(base)
-            out = run_sum - base
             head = starts[0] if len(starts) else n
-            if last == first:
-                out[:head] += total
+            if largest:  # each group lies above all before it, which restarts the maximum
+                above = np.cumsum(new) << 32
+                out = np.maximum.accumulate(v + above) - above
+                if last == first:
+                    out[:head] = np.maximum(out[:head], total)
+            else:
+                run_sum = np.cumsum(v)
+                base = np.zeros(n, np.int64)
+                if len(starts):
+                    base[starts] = run_sum[starts - 1] - np.concatenate(([0], run_sum[starts[:-1] - 1]))
+                    base = np.cumsum(base)
+                out = run_sum - base
+                if last == first:
+                    out[:head] += total
             last, total = tuple(k[n - 1].as_py() for k in keys), int(out[-1])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.full(n, pid, np.int32)), pa.array(out)],
@@ -103,9 +109,11 @@ def _local_totals(group: list[str], value: str):
     return run
 
 
-def running_totals(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, largest: bool = False) -> DataFrame:
     """Add ``out``: the inclusive running total of ``value`` in ``order`` within ``group``.
 
+    With ``largest`` it is the largest value so far; values then are 32-bit.
+
     The rows are range-partitioned by ``order`` (which must begin with the
     group's columns), so a group of any size spreads over many tasks; each
     task adds up its own rows and the tasks' sums are joined back as offsets.
@@ -113,20 +121,22 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column], value:
     spark = df.sparkSession
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
     local = (
-        df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_local_totals(group, value), schema)
+        df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_local_totals(group, value, largest), schema)
     )
     local = materialize(local, "totals")
-    sums = local.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    join, zero = (F.max, -(1 << 31)) if largest else (F.sum, 0)
+    sums = local.groupBy(*group, "_part").agg(join(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col("_part").alias("_p"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+        F.coalesce(join("_sum").over(before), F.lit(zero)).alias("_offset"),
     )
     on = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return local.join(offsets, on, "left").select(*df.columns, (F.col("_local") + F.col("_offset")).alias(out))
+    total = F.greatest("_local", "_offset") if largest else F.col("_local") + F.col("_offset")
+    return local.join(offsets, on, "left").select(*df.columns, total.alias(out))
 
 
 def ranked(df: DataFrame, order: list[Column], out: str, group: list[str] | None = None) -> DataFrame:
