@@ -108,11 +108,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     asks = asks.select("conv_id", "turn", "nth", "q.level", F.posexplode(F.concat(F.array("q.whole"), "q.lines")).alias("part", "hash")).distinct()
     asks = materialize(asks, "asks")
 
-    there = said.join(asks.select("hash").distinct(), "hash", "left_semi")
-    there = materialize(there.groupBy("hash", "conv_id").agg(F.array_sort(F.collect_set("turn")).alias("turns")), "said")
-    near = asks.join(there, ["hash", "conv_id"]).select(*asks.columns, F.expr("array_max(filter(turns, t -> t < turn))").alias("to_turn")).where("to_turn is not null")
-    near = near.select(*asks.columns, F.col("conv_id").alias("to_conv"), "to_turn")
-    first = there.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("turns")[0].alias("turn"))).alias("first"))
+    there = materialize(said.join(asks.select("hash").distinct(), "hash", "left_semi").distinct(), "said")
+    # in turn order, quotes before what is said at their own turn, the largest turn said so far is the one quoted
+    both = asks.withColumn("saying", F.lit(-1).cast("long")).unionByName(there.withColumn("saying", F.col("turn").cast("long")), allowMissingColumns=True)
+    order = [F.col(c).asc_nulls_last() for c in ("hash", "conv_id", "turn", "saying", "nth", "part")]
+    near = running_totals(both, ["hash", "conv_id"], order, "saying", "to_turn", largest=True).where("nth is not null and to_turn >= 0")
+    near = near.select(*asks.columns, F.col("conv_id").alias("to_conv"), F.col("to_turn").cast("int").alias("to_turn"))
+    first = there.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     far = asks.join(first, "hash").where("first.conv_id <> conv_id").select(*asks.columns, F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"))
     found = near.withColumn("near", F.lit(0)).union(far.withColumn("near", F.lit(1)))
     linked = found.groupBy("conv_id", "turn", "nth", "level").agg(F.min(F.struct("near", "part", "to_conv", "to_turn")).alias("to"))
