@@ -63,6 +63,20 @@ def test_passages_of_over_fifty_words(spark):
     assert len(got) < 4 * 35
 
 
+def test_passages_with_a_change_every_few_words(spark):
+    rng, rows, every = random.Random(11), [], {}
+    for n in range(300):
+        shared = words(rng, 60, 10**9)
+        fuzzy, gap = list(shared), 8 + n % 5
+        for at in range(rng.randrange(gap), 60, gap):
+            fuzzy[at] = "changed"
+        rows += [(2 * n + side, " ".join(words(rng, 50, 10**9) + part + words(rng, 50, 10**9))) for side, part in enumerate((shared, fuzzy))]
+        every[2 * n] = gap
+    got = {min(r.doc_id, r.other_id) for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    recall = {gap: sum(every[n] == gap for n in got) / 60 for gap in range(8, 13)}
+    assert got <= every.keys() and recall[8] > 0.7 and min(recall[n] for n in (9, 10)) > 0.85 and min(recall[n] for n in (11, 12)) > 0.95, recall
+
+
 def test_chain_is_the_best_collinear_one():
     rng = np.random.default_rng(0)
     for _ in range(50):
