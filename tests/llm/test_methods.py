@@ -77,6 +77,15 @@ def test_passages_with_a_change_every_few_words(spark):
     assert got <= every.keys() and recall[8] > 0.7 and min(recall[n] for n in (9, 10)) > 0.85 and min(recall[n] for n in (11, 12)) > 0.95, recall
 
 
+def test_passages_made_of_frequent_lines(spark):
+    rng = random.Random(12)
+    lines = words(rng, 22, 10**9), words(rng, 23, 10**9)
+    rows = [(n, " ".join(words(rng, 50, 10**9) + lines[n % 2] + words(rng, 50, 10**9))) for n in range(200)]
+    rows += [(n, " ".join(words(rng, 50, 10**9) + lines[0] + lines[1] + words(rng, 50, 10**9))) for n in (1000, 1001)]
+    got = passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == [(1000, 1001, 50, 95), (1001, 1000, 50, 95)]
+
+
 def test_chain_is_the_best_collinear_one():
     rng = np.random.default_rng(0)
     for _ in range(50):
