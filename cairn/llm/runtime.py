@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.stages import materialize, new_path, partitions, release, running_totals, scratch_dir, table
+from cairn.plans.stages import discard, materialize, new_path, partitions, release, running_totals, scratch_dir, table
 
-__all__ = ["components", "materialize", "new_path", "partitions", "release", "running_totals", "scratch_dir", "table"]
+__all__ = ["components", "discard", "materialize", "new_path", "partitions", "release", "running_totals", "scratch_dir", "table"]
 
 
 def components(edges: DataFrame) -> DataFrame:

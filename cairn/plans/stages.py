@@ -46,6 +46,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more, and let Spark remove the shuffles behind them."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            p.getFileSystem(conf).delete(p, True)
+    jvm.System.gc()  # shuffles go when their plans are collected
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` wrote in this process."""
     jvm = spark.sparkContext._jvm

@@ -86,6 +86,20 @@ def test_passages_made_of_frequent_lines(spark):
     assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == [(1000, 1001, 50, 95), (1001, 1000, 50, 95)]
 
 
+def test_passages_that_a_text_repeats(spark):
+    rng = random.Random(13)
+    shared = words(rng, 60, 10**9)
+    fuzzy = list(shared)
+    for at in range(5, 60, 10):
+        fuzzy[at] = "changed"
+    for part in (shared, fuzzy):
+        body = [w for _ in range(3) for w in (*words(rng, 80, 10**9), *part)]
+        rows = [(1, " ".join(body)), (2, " ".join(words(rng, 30, 10**9) + shared + words(rng, 30, 10**9)))]
+        got = passages.shared_passages(spark.createDataFrame(rows, DOCS)).where("doc_id = 1").collect()
+        begins = {round((r.start - 80) / 140) for r in got}
+        assert begins == {0, 1, 2} and all(abs(r.start - 80 - 140 * round((r.start - 80) / 140)) <= 10 and abs(r.other_start - 30) <= 10 for r in got)
+
+
 def test_chain_is_the_best_collinear_one():
     rng = np.random.default_rng(0)
     for _ in range(50):
