@@ -38,22 +38,21 @@ def level_hash_frequency(tree: DataFrame) -> DataFrame:
     return tree.groupBy("level", "hash").agg(F.count("*").alias("count"))
 
 
-def cooccurrence(tree: DataFrame, level: int, most: int) -> DataFrame:
+def cooccurrence(tree: DataFrame, level: int) -> DataFrame:
     """Pairs of different, non-trivial contents of a level that share objects, and in how many.
 
-    Contents in over ``most`` objects are left to ``common_contents``: their
-    pairs grow with the square of the objects' contents and say little.
+    Objects with the same contents are counted first, so pairs are made once
+    for every distinct set.
     """
-    owned = tree.where((F.col("level") == level) & ~F.col("is_empty") & ~F.col("is_full")).select("object_id", "hash").distinct()
-    rare = owned.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("hash")
-    owned = owned.join(rare, "hash")
-    a, b = owned.select("object_id", F.col("hash").alias("hash_a")), owned.select("object_id", F.col("hash").alias("hash_b"))
-    pairs = a.join(b, "object_id").where("hash_a < hash_b")
-    return pairs.groupBy("hash_a", "hash_b").agg(F.count("*").alias("objects"))
+    owned = tree.where((F.col("level") == level) & ~F.col("is_empty") & ~F.col("is_full"))
+    sets = owned.groupBy("object_id").agg(F.array_sort(F.collect_set("hash")).alias("hashes")).groupBy("hashes").agg(F.count("*").alias("n"))
+    one = sets.select("n", "hashes", F.posexplode("hashes").alias("at", "hash_a"))
+    pairs = one.select("n", "hash_a", F.explode(F.expr("slice(hashes, at + 2, size(hashes))")).alias("hash_b"))
+    return pairs.groupBy("hash_a", "hash_b").agg(F.sum("n").alias("objects"))
 
 
 def common_contents(tree: DataFrame, level: int, most: int) -> DataFrame:
-    """The contents that ``cooccurrence`` leaves out, with their objects' number."""
+    """The contents in over ``most`` objects, with their objects' number."""
     owned = tree.where((F.col("level") == level) & ~F.col("is_empty") & ~F.col("is_full")).groupBy("hash").agg(F.countDistinct("object_id").alias("objects"))
     return owned.where(F.col("objects") > most)
 

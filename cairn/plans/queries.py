@@ -195,7 +195,7 @@ def level_hash_frequency(spark, d):
 
 @query
 def cooccurrence_pairs(spark, d):
-    return metadata.cooccurrence(materialize(tree(spark, d), "tree"), 1, 1_000)
+    return metadata.cooccurrence(materialize(tree(spark, d), "tree"), 1)
 
 
 @query

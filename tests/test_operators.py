@@ -67,6 +67,13 @@ def test_one_changed_cell_leaks_all_but_its_blocks(spark):
     assert all((r.total_subvolumes, r.pure, r.shared_other_split) == (8, 1, 7) for r in p.values())
 
 
+def test_pairs_of_frequent_contents(spark):
+    rows = [(n, 1, h, False, False) for n in range(1200) for h in ("a", "b", *(["c"] if n < 3 else []), "a")]
+    tree = spark.createDataFrame([*rows, (0, 2, "d", False, False), (0, 1, "e", True, False)], "object_id int, level int, hash string, is_empty boolean, is_full boolean")
+    got = {tuple(r) for r in metadata.cooccurrence(tree, 1).collect()}
+    assert got == {("a", "b", 1200), ("a", "c", 3), ("b", "c", 3)}
+
+
 def test_split_ratios(spark):
     splits.check_ratios(0.8, 0.2, 0.0)
     with pytest.raises(ValueError, match="sum to 1.0"):
