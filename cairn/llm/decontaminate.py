@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .runtime import materialize, table
 
-#: Masks over SPAN tokens; a 0 ignores the token there. One fits substitutions
-#: at every fourth token, the other at every third.
-MASKS = ("11101110", "11011011")
+#: Masks over neighbouring tokens; a 0 ignores the token there. Wherever one
+#: token of 8 or 9, or two of 10 to 13, are substituted, one of these fits.
+MASKS = ("1101011", "10110011", "10011101")
+#: Tokens of the shortest items that are sought by masks.
 SPAN = 8
 WORDS = r"array_remove(split(lower(coalesce(text, '')), r'[^\p{L}\p{N}]+'), '')"
 
@@ -29,7 +30,7 @@ def _parts(mask: str) -> list[str]:
 
 def _seeds(lengths: list[int]) -> str:
     """SQL for the array of seed hashes of ``words``: mask by mask by position, then whole phrases of each of ``lengths``."""
-    every = [(SPAN, f"xxhash64({', '.join(_parts(m))})") for m in MASKS]
+    every = [(len(m), f"xxhash64({n}, {', '.join(_parts(m))})") for n, m in enumerate(MASKS)]
     every += [(n, f"xxhash64({n}, {', '.join(f'a[i + {k}]' for k in range(n))})") for n in lengths]
     parts = [f"if(size(a) >= {span}, transform(sequence(0, size(a) - {span}), i -> {hashed}), array())" for span, hashed in every]
     pairs = "if(size(a) > 1, transform(sequence(0, size(a) - 2), i -> xxhash64(a[i], a[i + 1])), array())"
@@ -39,7 +40,7 @@ def _seeds(lengths: list[int]) -> str:
 def _place(pos: str, size: str, lengths: list[int]) -> str:
     """SQL for the token at which the seed at ``pos`` of ``_seeds`` begins, of ``size`` tokens."""
     out, before = "", "0"
-    for span in [SPAN] * len(MASKS) + lengths:
+    for span in [*map(len, MASKS), *lengths]:
         n = f"greatest(0, {size} - {span - 1})"
         out += f"WHEN {pos} < {before} + {n} THEN {pos} - ({before}) "
         before += f" + {n}"
@@ -68,8 +69,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share:
     seeds = _seeds(lengths)
     # outer explosions: else Spark would compute the arrays once more, to filter empty ones
     item_seeds = items.select("item_id", "words", F.size("words").alias("n"), F.expr(f"posexplode_outer({seeds}) AS (pos, seed)"))
+    # a short item isn't sought by masks, nor a phrase of a long one
+    by_mask = f"pos < {' + '.join(f'greatest(0, n - {len(m) - 1})' for m in MASKS)}"
+    item_seeds = item_seeds.where(f"n >= {SPAN} or not ({by_mask})")
     item_seeds = item_seeds.select("item_id", F.col("n").alias("item_n"), F.expr(_place("pos", "n", lengths)).alias("item_at"), "seed")
-    # a phrase of a long item isn't sought
     item_seeds = materialize(item_seeds.where(f"seed is not null and (item_n >= {SPAN} or item_at = 0)"), "seeds")
     small = item_seeds.count() <= broadcast_rows
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("text_hash", F.xxhash64("text"))

@@ -164,6 +164,23 @@ def test_decontamination_tolerates_substitutions(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(df, bench).collect()} == {n for n, _ in docs} - {n for n, _ in want}
 
 
+def test_decontamination_finds_every_accepted_substitution(spark):
+    rng = random.Random(14)
+    items, docs, want = [], [], set()
+    for size in range(8, 21):
+        item = words(rng, size, 10**9)
+        items.append((size, " ".join(item)))
+        for changed in [(x, y) for x in range(size) for y in range(x, size)]:
+            body = ["changed" if at in changed else w for at, w in enumerate(item)]
+            width = min(13, size)
+            agree = max(sum(at not in changed for at in range(s, s + width)) for s in range(size - width + 1))
+            if agree >= 0.8 * width:
+                want.add((len(docs), size))
+            docs.append((len(docs), " ".join(words(rng, 5, 10**9) + body + words(rng, 5, 10**9))))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_ogg_pages():
     def slow(data):
         crc = 0
