@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.plans.stages import discard, materialize, new_path, partitions, release, running_totals, scratch_dir, table
 
-__all__ = ["components", "discard", "materialize", "new_path", "partitions", "release", "running_totals", "scratch_dir", "table"]
+__all__ = ["components", "discard", "materialize", "new_path", "partitions", "raw", "release", "running_totals", "scratch_dir", "table"]
+
+
+def raw(column: pa.Array) -> pa.Array:
+    """The bytes of a column of strings, without decoding them."""
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary())
 
 
 def components(edges: DataFrame) -> DataFrame:

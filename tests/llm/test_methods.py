@@ -100,6 +100,58 @@ def test_passages_that_a_text_repeats(spark):
         assert begins == {0, 1, 2} and all(abs(r.start - 80 - 140 * round((r.start - 80) / 140)) <= 10 and abs(r.other_start - 30) <= 10 for r in got)
 
 
+def test_passages_with_a_word_in_six_to_twelve_changed(spark):
+    rng, rows, every = random.Random(21), [], {}
+    for n in range(350):
+        shared = words(rng, 100, 10**9)
+        fuzzy, gap = list(shared), 6 + n % 7
+        for at in range(rng.randrange(gap), 100, gap):
+            fuzzy[at] = "changed"
+        rows += [(2 * n + side, " ".join(words(rng, 50, 10**9) + part + words(rng, 50, 10**9))) for side, part in enumerate((shared, fuzzy))]
+        every[2 * n] = gap
+    got = {min(r.doc_id, r.other_id) for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    recall = {gap: sum(every[n] == gap for n in got) / 50 for gap in range(6, 13)}
+    assert got <= every.keys() and min(recall.values()) >= 0.9, recall
+
+
+def test_passages_whose_pieces_are_frequent_elsewhere(spark):
+    rng = random.Random(22)
+    shared = words(rng, 60, 10**9)
+    rows = [(n, " ".join(words(rng, 50, 10**9) + shared + words(rng, 50, 10**9))) for n in (5000, 5001)]
+    for n, at in enumerate(at for at in range(42) for _ in range(30)):
+        rows.append((n, " ".join(words(rng, 30, 10**9) + shared[at : at + 19] + words(rng, 30, 10**9))))
+    got = passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == [(5000, 5001, 50, 110), (5001, 5000, 50, 110)]
+
+
+def test_passages_go_on_as_far_as_they_agree(spark, monkeypatch):
+    rng = random.Random(23)
+    shared = words(rng, 300, 10**9)
+    rows = [(n, " ".join(words(rng, 500, 10**9) + shared + words(rng, 500, 10**9))) for n in (1, 2)]
+    whole = lambda: sorted((r.doc_id, r.start, r.stop) for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect())
+    want = whole()
+    assert want == [(1, 500, 800), (2, 500, 800)]
+    monkeypatch.setattr(passages, "REACH", 1)  # cut out and aligned several times
+    assert whole() == want
+
+
+def test_seeds_of_a_batch_are_those_of_each_text():
+    rng = random.Random(24)
+    texts = [" ".join(words(rng, n, 300)).encode() for n in (0, 1, 39, 40, 41, 500, 3, 2000)] + [b"a b " * 50, b"", "é ".encode() * 60]
+    every = passages.postings(texts, list(range(len(texts))), 5, 8, 0.3, 40).to_pylist()
+    apart = [r for n, t in enumerate(texts) for r in passages.postings([t], [n], 5, 8, 0.3, 40).to_pylist()]
+    key = lambda r: tuple((v is None, v) for v in r.values())
+    assert sorted(every, key=key) == sorted(apart, key=key)
+    assert [r["place"] >> 18 for r in every if r["seed"] is None] == [len(t.split()) for t in texts]
+
+
+def test_between_two_diagonals(monkeypatch):
+    x, y = list("abcdefgh") + list("XY") + list("mnopq"), list("abcdZfgh") + list("mnopq")
+    assert passages._between(x, y) == [(i, i) for i in range(8) if i != 4] + [(10 + i, 8 + i) for i in range(5)]
+    monkeypatch.setattr(passages, "CELLS", 0)
+    assert passages._between(x, y) == [(i, i) for i in range(8) if i != 4] + [(10 + i, 8 + i) for i in range(5)]
+
+
 def test_chain_is_the_best_collinear_one():
     rng = np.random.default_rng(0)
     for _ in range(50):
