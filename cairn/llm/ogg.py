@@ -83,14 +83,17 @@ def encode(payload: bytes, note: bytes = b"") -> bytes:
 
 
 def decode(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
-    """Logical streams of an Ogg file: serial -> packets with their page's granule.
+    """Logical streams of an Ogg file: serial -> packets, the last that ends on each page with the page's granule, others with -1.
 
     Raises ``ValueError`` for a wrong capture pattern, checksum, page order or
-    continuation.
+    continuation, granules that fall or are missing, and a stream without its
+    last page.
     """
     streams: dict[int, list[tuple[bytes, int]]] = {}
     open_packets: dict[int, bytearray] = {}
     numbers: dict[int, int] = {}
+    granules: dict[int, int] = {}
+    ended: set[int] = set()
     view, at = memoryview(media), 0
     while at < len(media):
         if len(media) - at < _HEAD_SIZE:
@@ -106,25 +109,59 @@ def decode(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
             raise ValueError("wrong checksum")
         if number != numbers.get(serial, -1) + 1 or (number == 0) != bool(flags & FIRST):
             raise ValueError("a page is missing")
+        if serial in ended:
+            raise ValueError("a page after the last of its stream")
+        if flags & LAST:
+            ended.add(serial)
         numbers[serial] = number
         held = open_packets.setdefault(serial, bytearray())
         if bool(flags & CONTINUED) != bool(held):
             raise ValueError("a packet is cut short")
         packets = streams.setdefault(serial, [])
+        known = len(packets)
         for size in lacing:
             held += view[start : start + size]
             start += size
             if size < 255:
-                packets.append((bytes(held), granule))
+                packets.append((bytes(held), -1))
                 held.clear()
+        if (len(packets) > known) != (granule >= 0):
+            raise ValueError("a granule is missing or stands where no packet ends")
+        if len(packets) > known:
+            if granule < granules.get(serial, 0):
+                raise ValueError("granules fall")
+            granules[serial] = granule
+            packets[-1] = (packets[-1][0], granule)
         at = end
     if any(open_packets.values()):
         raise ValueError("a packet is cut short")
+    if streams.keys() != ended:
+        raise ValueError("a stream has no last page")
     return streams
 
 
+def packet_ends(packets: list[tuple[bytes, int]], length) -> list[int]:
+    """The granule at which each packet ends, counted back from its page's by ``length(packet)``.
+
+    Raises ``ValueError`` where a page's packets don't begin where the one
+    before ends.
+    """
+    ends, end = [0] * len(packets), None
+    for i in range(len(packets) - 1, -1, -1):
+        packet, granule = packets[i]
+        if granule >= 0:
+            if end is not None and end != granule:
+                raise ValueError("granules don't fit their packets")
+            end = granule
+        ends[i] = end
+        end -= length(packet)
+    if end:
+        raise ValueError("granules don't fit their packets")
+    return ends
+
+
 def samples(streams: dict[int, list[tuple[bytes, int]]]) -> tuple[bytes, float]:
-    """Payload of the sound stream and its duration in seconds by its last granule."""
+    """Payload of the sound stream and its duration in seconds by its last granule, which the packets' lengths must bear out."""
     for packets in streams.values():
         head = packets[0][0]
         if head.startswith(b"\x01pcm8"):
@@ -132,7 +169,7 @@ def samples(streams: dict[int, list[tuple[bytes, int]]]) -> tuple[bytes, float]:
             data = b"".join(p for p, _ in packets[1:])
             if len(data) != size:
                 raise ValueError("samples are missing")
-            return data, packets[-1][1] / rate
+            return data, packet_ends(packets[1:], len)[-1] / rate
     raise ValueError("no sound stream")
 
 
@@ -140,7 +177,10 @@ def _feature(media: bytes, streams, data: bytes, seconds: float) -> str:
     x = np.frombuffer(data, np.uint8).astype(np.int64)
     crossings = int(((x[1:] >= 128) != (x[:-1] >= 128)).sum())
     packets = sum(len(p) for p in streams.values())
-    return f"streams={len(streams)};packets={packets};ms={round(1000 * seconds)};sum={int(x.sum())};squares={int((x * x).sum())};crossings={crossings}"
+    sound = next(p for p in streams.values() if p[0][0].startswith(b"\x01pcm8"))
+    ends = packet_ends(sound[1:], len)
+    middle = ends[(len(ends) - 1) // 2] * 1000 // RATE
+    return f"streams={len(streams)};packets={packets};ms={round(1000 * seconds)};middle_ms={middle};sum={int(x.sum())};squares={int((x * x).sum())};crossings={crossings}"
 
 
 def store(docs: DataFrame) -> DataFrame:
