@@ -35,6 +35,14 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _lists(fs, path: str) -> list[str]:
+    """The lists of committed archives under ``path``."""
+    from pyarrow import fs as pfs
+
+    found = fs.get_file_info(pfs.FileSelector(path, allow_not_found=True))
+    return sorted(i.path for i in found if i.base_name.startswith("_committed-"))
+
+
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -78,13 +86,13 @@ def parse_headers(block: bytes) -> dict[str, str]:
 
 
 class _File:
-    """Bytes of an archive, buffered, with skipping."""
+    """Bytes of an archive, buffered by 64 KB, with skipping that doesn't read."""
 
     def __init__(self, source):
         self.source, self.data = source, b""
 
     def peek(self, n: int) -> bytes:
-        while len(self.data) < n and (more := self.source.read(max(n - len(self.data), 1 << 20))):
+        while len(self.data) < n and (more := self.source.read(max(n - len(self.data), 1 << 16))):
             self.data += more
         return self.data[:n]
 
@@ -98,21 +106,29 @@ class _File:
 def read_records(source, wanted, payloads: bool):
     """``(headers, payload or None, payload length)`` of the records whose headers ``wanted`` accepts.
 
-    Headers are inflated first; the rest of a record only if its payload or
-    length is needed. Members without a skip length are inflated to find their
-    end.
+    Headers are read first; the rest of a record only if its payload is needed.
+    Plain records and members that tell their packed length are skipped without
+    being read; other members are inflated to find their end.
     """
     file = _File(source)
     while len(head := file.peek(24)) >= 12:
+        if head[:5] == b"WARC/":
+            yield from _plain_record(file, wanted, payloads)
+            continue
         if head[:2] != b"\x1f\x8b":
-            raise ValueError("not a gzip member")
+            raise ValueError("neither a gzip member nor a record")
         size = struct.unpack_from("<I", head, 16)[0] if head[3] == 4 and head[10:16] == b"\x0c\0sl\x08\0" else None
         packer = zlib.decompressobj(31)
         if size is not None:
-            packed = file.peek(size)
-            plain = packer.decompress(packed, 2048)
-            while b"\r\n\r\n" not in plain and packer.unconsumed_tail:
-                plain += packer.decompress(packer.unconsumed_tail, 2048)
+            fed, plain = 0, b""  # both heads, the record's and that of its HTTP message, or all there is
+            while plain.count(b"\r\n\r\n") < 2 and fed < size and not packer.eof:
+                part = packer.unconsumed_tail
+                if not part:
+                    part = file.peek(min(size, fed + 1024))[fed:]
+                    if not part:
+                        raise ValueError("a member is cut short")
+                    fed += len(part)
+                plain += packer.decompress(part, 2048)
         else:
             plain = b""
             while not packer.eof:
@@ -127,7 +143,10 @@ def read_records(source, wanted, payloads: bool):
             http = plain.find(b"\r\n\r\n", head_end + 4)
             full = payloads and headers.get("warc-type") == "response"
             if size is not None and (full or http < 0):
-                plain += packer.decompress(packer.unconsumed_tail) + packer.flush()
+                packed = file.peek(size)
+                if len(packed) < size:
+                    raise ValueError("a member is cut short")
+                plain += packer.decompress(packer.unconsumed_tail + packed[fed:]) + packer.flush()
                 http = plain.find(b"\r\n\r\n", head_end + 4)
             block = plain[head_end + 4 : head_end + 4 + int(headers["content-length"])]
             length = parse_headers(plain[head_end + 4 : http]).get("content-length")
@@ -136,6 +155,28 @@ def read_records(source, wanted, payloads: bool):
             file.skip(size)
 
 
+def _plain_record(file: _File, wanted, payloads: bool):
+    """The record at the start of ``file``, which is left after it."""
+    n = 1024
+    while (head_end := file.peek(n).find(b"\r\n\r\n")) < 0:
+        if len(file.peek(n)) < n:
+            raise ValueError("a record is cut short")
+        n *= 2
+    headers = parse_headers(file.peek(head_end))
+    file.skip(head_end + 4)
+    size = int(headers["content-length"])
+    if wanted(headers):
+        full = payloads and headers.get("warc-type") == "response"
+        n = size if full else min(size, 1024)
+        while (http := file.peek(n).find(b"\r\n\r\n")) < 0 and n < size:
+            n = min(size, 2 * n)
+        if full and len(file.peek(size)) < size:
+            raise ValueError("a record is cut short")
+        length = parse_headers(file.peek(max(http, 0))).get("content-length")
+        yield headers, file.peek(size)[http + 4 :] if full else None, int(length) if length else None
+    file.skip(size + 4)
+
+
 class Archive(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -166,14 +207,15 @@ class WarcReader(DataSourceReader):
         fs, path = _filesystem(self.uri)
         from pyarrow import fs as pfs
 
-        index = f"{path}/_committed"
-        if fs.get_file_info(index).type == pfs.FileType.File:
-            with fs.open_input_stream(index) as f:
-                names = [f"{path}/{n}" for n in json.loads(f.read())]
-        elif fs.get_file_info(path).type == pfs.FileType.File:
+        if fs.get_file_info(path).type == pfs.FileType.File:
             names = [path]
+        elif lists := _lists(fs, path):
+            names = []
+            for one in lists:
+                with fs.open_input_stream(one) as f:
+                    names += [f"{path}/{n}" for n in json.loads(f.read())]
         else:
-            names = sorted(i.path for i in fs.get_file_info(pfs.FileSelector(path, recursive=True)) if i.path.endswith(".warc.gz"))
+            names = sorted(i.path for i in fs.get_file_info(pfs.FileSelector(path, recursive=True)) if i.path.endswith((".warc.gz", ".warc")))
         return [Archive(n) for n in names] or [Archive("")]
 
     @staticmethod
@@ -228,9 +270,14 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Every task writes archives of at most about 64 MB; only those of tasks that committed are listed."""
+    """Every task writes archives of at most about 64 MB; only those of tasks that committed are listed.
+
+    Each write has a list of its own, so appending keeps what is there;
+    overwriting takes the former lists away and then their archives.
+    """
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite: bool = False):
+        self.overwrite = overwrite
         self.uri, self.date = options["path"], options.get("date", "2024-01-01T00:00:00Z")
 
     def write(self, iterator):
@@ -255,8 +302,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, path = _filesystem(self.uri)
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/_committed") as f:
+        former = _lists(fs, path) if self.overwrite else []
+        with fs.open_output_stream(f"{path}/_committed-{uuid.uuid4().hex}") as f:
             f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        for one in former:
+            with fs.open_input_stream(one) as f:
+                names = json.loads(f.read())
+            fs.delete_file(one)
+            for n in names:
+                fs.delete_file(f"{path}/{n}")
 
     def abort(self, messages):
         pass  # files of failed attempts are in no list
@@ -276,7 +330,7 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
