@@ -56,13 +56,21 @@ def discard(*tables: DataFrame) -> None:
     jvm.System.gc()  # shuffles go when their plans are collected
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote in this process."""
+def written() -> int:
+    """How many tables this process has written so far and not released."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written in this process after the first ``since``, but for that of ``keep``."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        p.getFileSystem(conf).delete(p, True)
+    names = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    for path in _written[since:]:
+        if path.rsplit("/", 1)[-1] not in names:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            _written.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:
