@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .runtime import materialize, running_totals, table
+from .runtime import materialize, ranked, running_totals, table, wrapped
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,42 +59,63 @@ def mix(
     agree in ``doc_id`` are put in order by size, and equal rows take from each
     other's share in either order. An empty table gives an empty result.
     """
-    sizes = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("_key"),
-        *also,
+    sizes = docs.select("doc_id", "source", _size(), *also).withColumn("_n", F.lit(1).cast("long"))
+    return _cut(sizes, weights, share, most, seed).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + F.col("_part")).cast("long").alias("taken"), *also
     )
-    order = [F.col("source").asc_nulls_last(), F.col("_key").asc(), F.col("doc_id").asc_nulls_last(), F.col("size").asc()]
-    placed = materialize(running_totals(sizes, ["source"], order, "size", "_end"), "placed")
-    sources = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
+
+
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
+def _cut(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``sizes(doc_id, source, size, _n, ...)``, each row of which stands for ``_n`` documents, with ``source_size, target``,
+    how often each is taken whole (``_rounds``) and how many words all of them give beyond that (``_part``)."""
+    sizes = sizes.withColumns({"_key": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), "_all": F.col("size") * F.col("_n")})
+    order = [F.col("source").asc_nulls_last(), F.col("_key").asc(), F.col("doc_id").asc_nulls_last(), F.col("size").asc(), *[F.col(c).asc() for c in ties]]
+    placed = materialize(running_totals(sizes, ["source"], order, "_all", "_end"), "placed")
+    sources = placed.groupBy("source").agg(F.sum("_all").alias("source_size"))
     goal = source_targets(sources, weights, share, most).withColumnRenamed("source", "_source")
     words = F.floor(F.col("target") + 0.5)
     rounds = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
     joined = placed.join(goal, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_rounds", rounds)
     rest = words - F.col("_rounds") * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_rounds") * F.col("size") + part).cast("long").alias("taken"), *also
-    )
+    return joined.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_all"), rest - (F.col("_end") - F.col("_all")))))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """The mix itself: rows of ``docs`` that it takes, with ``size, source_size, target, taken``; see ``mix``.
 
     A text of which fewer words are taken than it has is cut after them. One
     that is taken more than once appears once; ``taken`` tells how often.
-    Columns of ``docs`` with the names of the four are replaced.
+    Rows that agree in id, source and text stand together in the order; should
+    the cut fall among them, any of them are taken. Columns of ``docs`` may
+    have any names; those called like the four are replaced. Nulls, repeated
+    rows and empty tables are as for ``mix``.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")])
-    key = [F.col("doc_id"), F.xxhash64("text")]
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("source"))
-    docs = docs.withColumns({"_id": F.coalesce(key[0].cast("string"), F.lit("")), "_hash": key[1]}).withColumn("_nth", nth)
-    taken = mix(docs, also=("_id", "_hash", "_nth"), **options).where("taken > 0").drop("doc_id", "source")
-    out = docs.join(taken, ["_id", "_hash", "_nth"]).drop("_id", "_hash", "_nth")
-    first = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("taken").cast("string"), F.lit("}+")))
-    return out.withColumn("text", F.when(F.col("taken") < F.col("size"), first).otherwise(F.col("text")))
+    # words are counted and put in order by class of equal rows; the texts meet their class in one join
+    classes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.xxhash64("text").alias("hash"), _size())
+    classes = classes.groupBy("doc_id", "source", "hash", "size").agg(F.count("*").alias("_n"))
+    taken = _cut(classes, weights, share, most, seed, ties=("hash",)).where("_rounds * size + _part > 0")
+    taken = taken.selectExpr("doc_id AS of_id", "source AS of_source", "hash AS of_hash", "size", "source_size", "target", "_rounds AS rounds", "_part AS part", "_n AS n")
+    taken = materialize(taken, "taken")
+    rows = wrapped(docs).withColumn("source", F.col("given")[f"c{docs.columns.index('source')}"])
+    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("hash") == F.col("of_hash")))
+    cut = (F.col("part") > 0) & (F.col("part") < F.col("size") * F.col("n")) & (F.col("n") > 1)
+    whole = rows.where(~cut).withColumn("taken", F.expr("rounds * size + part div n"))
+    if taken.where(cut).isEmpty():
+        out = whole
+    else:  # equal rows, of one class in a source at most, take from its share one after the other
+        order = [F.col("of_source").asc_nulls_last(), F.col("of_id").asc_nulls_last(), F.col("of_hash").asc()]
+        nth = ranked(rows.where(cut), order, "nth", ["of_source", "of_id", "of_hash"])
+        out = whole.unionByName(nth.withColumn("taken", F.expr("rounds * size + greatest(0L, least(size, part - (nth - 1) * size))")).drop("nth")).where("taken > 0")
+    text = F.col("given")[f"c{docs.columns.index('text')}"]
+    first = F.regexp_substr(text, F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("taken").cast("string"), F.lit("}+")))
+    given = [F.col("given")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns) if c != "text"]
+    given.insert(docs.columns.index("text"), F.when(F.col("taken") < F.col("size"), first).otherwise(text).alias("text"))
+    return out.select(*given, "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:

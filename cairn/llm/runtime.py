@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.plans.stages import discard, materialize, new_path, partitions, release, running_totals, scratch_dir, table
+from cairn.plans.stages import discard, materialize, new_path, partitions, ranked, release, running_totals, scratch_dir, table, written
 
-__all__ = ["components", "discard", "materialize", "new_path", "partitions", "raw", "release", "running_totals", "scratch_dir", "table"]
+__all__ = ["components", "discard", "materialize", "new_path", "partitions", "ranked", "raw", "release", "running_totals", "scratch_dir", "table", "unwrapped", "wrapped", "written"]
 
 
 def raw(column: pa.Array) -> pa.Array:
@@ -16,6 +16,17 @@ def raw(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary())
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``given``, a struct of all columns of ``docs``, beside ``id`` and the ``hash`` of the text, so that no names clash."""
+    given = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return docs.select(given.alias("given"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, from ``given``."""
+    return rows.select(*[F.col("given")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``, root the smallest node.
 
@@ -27,11 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "k")
-        large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # the least neighbours are plain tables, so that the joins' skew at a hub can be split at run time
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS k", "least(a, m) AS m"), "low")
+        large = both.join(low.hint("merge"), F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "star")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"), "low")
+        small = large.join(low.hint("merge"), F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.union(low.select("k", "m")).distinct(), "star")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:

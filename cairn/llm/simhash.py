@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import components, materialize, table
+from .runtime import components, materialize, table, unwrapped, wrapped
 
 #: Fingerprints in a bucket from which it is linked through centres instead of pairs.
 CROWDED = 64
@@ -133,7 +133,7 @@ def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
     Of each group the row with the smallest ``doc_id`` stays (nulls last), of
     rows with that id the one with the smallest text hash, and one of rows that
-    agree in both.
+    agree in both. Columns may have any names.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).withColumn("h", F.xxhash64("text"))
     prints = materialize(fingerprints(texts, words, seed, also=("h",)), "prints")
@@ -143,11 +143,11 @@ def one_of_each(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("best"))
     best = materialize(best, "best")  # a plain table, so that skew in the join can be split
     judged = rows.join(best, "root").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
-    judged = materialize(judged.where("not stays or count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "stays"), "judged")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h"))
-    kept = docs.join(judged, same, "left_anti")
-    again = docs.join(judged.where("stays"), same).drop("stays")
-    return kept.unionByName(again.dropDuplicates(["_id", "_h"]).drop("_id", "_h"))
+    judged = materialize(judged.where("not stays or count > 1").select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_hash"), "stays"), "judged")
+    given, same = wrapped(docs), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))
+    kept = given.join(judged, same, "left_anti")
+    again = given.join(judged.where("stays"), same).select(*given.columns).groupBy("id", "hash").agg(F.any_value("given").alias("given"))
+    return unwrapped(kept.select("given").union(again.select("given")), docs)
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:

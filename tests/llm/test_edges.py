@@ -132,3 +132,52 @@ def test_simhash(docs, none):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and None not in ids and ids.count(5) == 2 and ids.count(2) + ids.count(3) + ids.count(4) == 1
     assert simhash.near_groups(none).count() == 0 and simhash.one_of_each(none).count() == 0
+
+
+NAMES = "id,hash,given,stays,_id,_h,_hash,_nth,_bad_id,_bad_hash,bad_id,bad_hash,of_id,of_hash,of_source,rounds,part,n,nth,count,best,words,seed,start,hits,item,item_id,c0,k,m,a,b,text_hash,_key,_all,_end,_n,_part,_local,_cands,cands,digits,toxic,label".split(",")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """The documents with a column of every name that the operators use inside, each with a value to keep."""
+    rows = [(i, t, "en", None if n % 3 else "s", None, *[f"{c}{n}" for c in NAMES]) for n, (i, t) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in NAMES)).repartition(3)
+
+
+def kept_whole(df, names):
+    """Every row's columns still belong together."""
+    rows = df.collect()
+    assert df.columns[: 5 + len(NAMES)] == names
+    for r in rows:
+        assert len({r[c][len(c) :] for c in NAMES}) == 1
+    return rows
+
+
+def test_clashing_names(clashing, labels, benchmark):
+    names = clashing.columns
+    assert len(kept_whole(toxicity.drop_toxic(clashing, labels.limit(0)), names)) == len(TEXTS)
+    assert 0 < len(kept_whole(simhash.one_of_each(clashing), names)) < len(TEXTS)
+    assert len(kept_whole(decontaminate.decontaminate(clashing, benchmark), names)) == len(TEXTS) - 3
+    assert len(kept_whole(pii.redact(pii.find_pii(clashing)), names)) == len(TEXTS)
+    assert len(kept_whole(mixing.mixed_documents(clashing), names)) > 0
+    assert passages.shared_passages(clashing).count() == 0
+    for rows in (ogg.media_roundtrip(clashing), secrets.find_secrets(clashing), simhash.near_groups(clashing), mixing.mix(clashing)):
+        assert rows.count() > 0
+
+
+def test_pipeline_stages(spark, clashing, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0, 0), (None, None, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six"), (None, None), (3, "")], "item_id long, text string")
+    for name, rows in (("full", True), ("bare", False)):
+        folder = tmp_path / name
+        for t, df in (("labels", labels), ("benchmark", bench)):
+            (df if rows else df.limit(0)).write.parquet(f"{folder}/{t}.parquet")
+        for docs in (clashing, none, none.union(none)):
+            step = docs
+            for stage, run in corpus_pipeline.STAGES[:-1]:
+                step = corpus_pipeline.materialize(run(spark, step, str(folder)), stage)
+                assert step.columns == docs.columns
+            final = corpus_pipeline.STAGES[-1][1](spark, step, str(folder))
+            assert final.count() == 0 if docs is not clashing else final.count() > 0

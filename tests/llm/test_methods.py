@@ -195,6 +195,53 @@ def test_redaction(spark):
     assert out == {1: "mail <email>, card <card> é", 2: "none", 3: None}
 
 
+def test_pii_beyond_the_patterns_by_context(spark):
+    near = [(n, f"{'tel' if n % 3 == 0 else 'order' if n % 3 == 1 else 'some'} {200 + n} 555 1234 there") for n in range(300)]
+    mail = [(1000 + n, f"joe (at) ex{n} (dot) com") for n in range(50)] + [(2000 + n, f"at 12:30:45:aa:{n % 50 + 10} there") for n in range(50)]
+    base = [(3000 + n, f"call +1 (375) 555-43{n % 90 + 10} or x@y{n}.com from host 10.{n % 200}.2.3") for n in range(300)]
+    for rows in (near + mail, near + mail + base, near[::3]):
+        got = {r.doc_id for r in pii.find_pii(spark.createDataFrame(rows, DOCS), keep=["doc_id"]).collect() if any(not s.base for s in r.pii)}
+        assert got == {n for n, _ in rows if n < 1000 and n % 3 == 0 or 1000 <= n < 2000}
+
+
+def test_pii_running_folds(spark):
+    rng = random.Random(19)
+    for n in (0, 1, 63, 64, 65, 128, 1000):
+        values = [rng.randrange(100) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        total, most = df.select(F.expr(pii._running("v", "{0} + {1}")), F.expr(pii._running("v", "greatest({0}, {1})"))).first()
+        assert total == np.cumsum(values).tolist() and most == (np.maximum.accumulate(values).tolist() if n else [])
+
+
+def test_pii_clear_spans_and_redaction(spark):
+    rng, rows = random.Random(20), []
+    for n in range(300):
+        spans = [[(s, s + rng.randint(1, 6)) for s in sorted(rng.sample(range(60), rng.randint(0, 8)))] for _ in range(2)]
+        rows.append((n, "".join(rng.choice("ab é😀") for _ in range(70)), *spans))
+    df = spark.createDataFrame(rows, "id int, text string, base array<struct<start:int,stop:int>>, wide array<struct<start:int,stop:int>>")
+    got = df.select("id", F.expr(pii.CLEAR).alias("clear"), F.expr(pii._redacted("text", "transform(base, b -> named_struct('kind', 1, 'start', b.start, 'stop', b.stop))")).alias("cut")).collect()
+    for r in got:
+        _, text, base, wide = rows[r.id]
+        assert [tuple(c) for c in r.clear] == [w for w in wide if all(b[1] <= w[0] or w[1] <= b[0] for b in base)]
+        want, at = "", 0
+        for b, e in sorted(base):
+            want += text[at:b] + "<ip>" if b >= at else ""
+            at = max(at, e)
+        assert r.cut == want + text[at:]
+
+
+def test_pii_time_is_in_proportion_to_the_spans(spark):
+    import time
+
+    seconds = []
+    for n in (5_000, 5_000, 20_000):
+        df = spark.createDataFrame([(1, " ".join(f"a{i}@b.com 212 555 1234" for i in range(n)))], DOCS).coalesce(1)
+        began = time.perf_counter()
+        pii.redacted(df).write.format("noop").mode("overwrite").save()
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 6 * seconds[1]
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(3)
     items = [(n, " ".join(words(rng, 15 + n, 10**6))) for n in range(20)]
@@ -233,6 +280,80 @@ def test_decontamination_finds_every_accepted_substitution(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(15)
+    items, docs, want = [], [], set()
+    for size in range(5, 10):
+        item = words(rng, size, 10**9)
+        items.append((size, " ".join(item)))
+        for changed in [(), *[(x,) for x in range(size)], *[(x, y) for x in range(size) for y in range(x)]]:
+            body = ["changed" if at in changed else w for at, w in enumerate(item)]
+            if size - len(changed) >= 0.8 * size:
+                want.add((len(docs), size))
+            docs.append((len(docs), " ".join(words(rng, 5, 10**9) + body + words(rng, 5, 10**9))))
+    df = spark.createDataFrame(docs, DOCS)
+    find = lambda rows, **o: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, spark.createDataFrame(rows, "item_id long, text string"), **o).collect()}
+    assert find(items) == want
+    for n, text in items:  # an item's overlaps don't depend on what else is sought
+        assert find([(n, text)]) == {(d, i) for d, i in want if i == n}
+    third = docs[0][1].split()[1:4]
+    assert find([(1, " ".join(third))]) == set() and find([(1, " ".join(third))], shortest=1) == {(0, 1)}
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(16)
+    items = [(n, " ".join(words(rng, rng.randint(5, 30), 6))) for n in range(30)]
+    docs = [(n, " ".join(words(rng, rng.randint(0, 60), 6))) for n in range(60)]
+    want = {}
+    for d, text in docs:
+        t = text.split()
+        for i, item in items:
+            x = item.split()
+            width, found = min(13, len(x)), None
+            for start in range(-len(x) + 1, len(t)):
+                same = [0 <= start + k < len(t) and t[start + k] == w for k, w in enumerate(x)]
+                best = max(sum(same[s : s + width]) for s in range(len(x) - width + 1))
+                if best >= 0.8 * width and (found is None or best > found):
+                    found = best
+            if found:
+                want[d, i] = found
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.matched for r in got.collect()} == want
+
+
+def test_ogg_times():
+    packets = [(b"x" * n, 0) for n in (10, 300, 0, 5, 70_000, 7)]
+    ends = np.cumsum([len(p) for p, _ in packets]).tolist()
+    media = b"".join(ogg.paginate([(p, e) for (p, _), e in zip(packets, ends, strict=True)], 9))
+    (found,) = ogg.decode(media).values()
+    assert [p for p, _ in found] == [p for p, _ in packets] and ogg.packet_ends(found, len) == ends
+    assert sum(g >= 0 for _, g in found) < len(found)  # pages with several packets give only the last one's end
+
+    def changed(at, form, value):
+        page = bytearray(media)
+        struct.pack_into(form, page, at, value)
+        first = len(packets[0][0]) + 28
+        page[22:26] = b"\0" * 4
+        page[22:26] = struct.pack("<I", ogg.page_crc(bytes(page[:first])))
+        return bytes(page)
+
+    for broken in (changed(6, "<q", 11), changed(6, "<q", -1), media[: media.rfind(b"OggS")]):
+        with pytest.raises(ValueError):
+            ogg.packet_ends(next(iter(ogg.decode(broken).values())), len)
+
+
+def test_ogg_query_equals_brute_force(spark):
+    import zlib
+
+    rows = [(1, "a"), (2, None), (3, "é" * 5000), (4, "x" * 64), (5, "x" * 64), (6, "")]
+    got = {r.doc_id: r for r in ogg.media_roundtrip(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, text in rows:
+        data = (text or "").encode()
+        padded = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
+        assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert got[4].media_sha256 == got[5].media_sha256
+
+
 def test_ogg_pages():
     def slow(data):
         crc = 0
@@ -296,6 +417,59 @@ def test_warc_filters_and_skips(spark):
         assert len(list(warc.read_records(io.BytesIO(data), lambda h: True, True))[0][1]) == 50_000
 
 
+def test_warc_equals_brute_force(spark):
+    import base64
+
+    rng = random.Random(17)
+    rows = [(n, f"http://x/{n}", rng.choice(["", None, "same", "é" * 99, f"own {n}"])) for n in range(60)]
+    path = warc.new_path(spark, "t")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    top = {}
+    for n, _, html in rows:
+        top[html or ""] = max(n, top.get(html or "", n))
+    want = set()
+    for n, _, html in rows:
+        body, last = (html or "").encode(), top[html or ""]
+        want.add((n, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if last == n else "revisit", None if last == n else last))
+    got = warc.read_warc(spark, path, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_warc_appends_and_overwrites(spark):
+    path = warc.new_path(spark, "t")
+    pages = lambda n: spark.createDataFrame([(i, "u", f"page {i}") for i in range(n, n + 5)], "page_id long, url string, html string")
+    for n in (0, 5):
+        warc.write_warc(pages(n), path)
+    assert sorted(r.page_id for r in warc.read_warc(spark, path).collect()) == list(range(10))
+    records = warc.read_warc(spark, path).where("page_id < 3").collect()
+    warc.register(spark)
+    spark.createDataFrame(records, warc.FIELDS).write.format("warc").mode("overwrite").save(path)
+    assert sorted(r.page_id for r in warc.read_warc(spark, path).collect()) == [0, 1, 2]
+
+
+class Counted(io.BytesIO):
+    read_bytes = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.read_bytes += len(out)
+        return out
+
+
+def test_warc_skips_payloads_unread(spark, tmp_path):
+    big = random.Random(18).randbytes(3_000_000)
+    records = [warc.record(n, f"u{n}", big, warc.sha1_base32(big), "response", None, "d") for n in range(3)] + [warc.record(3, "u3", b"ab", warc.sha1_base32(b"ab"), "response", None, "d")]
+    for data in (b"".join(records), b"".join(map(warc._member, records))):
+        source = Counted(data)
+        read = list(warc.read_records(source, lambda h: h["x-page-id"] in "13", False))
+        assert [(h["x-page-id"], p, n) for h, p, n in read] == [("1", None, 3_000_000), ("3", None, 2)] and source.read_bytes < 1_000_000
+        assert [p for _, p, _ in warc.read_records(io.BytesIO(data), lambda h: h["x-page-id"] != "0", True)] == [big, big, b"ab"]
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(data[: len(data) // 2]), lambda h: True, True))
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    assert {r.page_id for r in warc.read_warc(spark, str(tmp_path), "page_id long").collect()} == {0, 1, 2, 3}
+
+
 def test_secret_base_and_battery(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice(a) for _ in range(rng.randint(5, 90))) for a in ("AKI1AKIA2 ", "0123456789abcdef ") for _ in range(400)]
@@ -383,6 +557,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub(spark):
+    edges = [(0, n) for n in range(1, 3000)] + [(n, n + 10_000) for n in range(1, 3000)]
+    assert {r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}
+
+
+def test_mixed_documents_cut_among_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 7 + [(2, "d e", None)] * 3, "doc_id long, text string, source string")
+    for weights in ((1, 1), (3, 1), (1, 5)):
+        got = mixing.mixed_documents(docs, weights=weights, share=0.7).collect()
+        by = {}
+        for r in got:
+            by.setdefault((r.source, r.target), []).append((r.taken, len(r.text.split())))
+        assert sum(t for v in by.values() for t, _ in v) in (18, 19, 20)
+        assert all(abs(sum(t for t, _ in v) - target) <= 0.5 and all(n == min(t, n) and t > 0 for t, n in v) for (_, target), v in by.items())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
