@@ -6,6 +6,8 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,11 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"[A-Za-z]{2,}")
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,19}(?![A-Za-z0-9+/_=-])")  # no parts of candidates
 
 #: Inferred encodings, narrowest first.
 ALPHABETS = (
+    ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -100,7 +102,7 @@ def length_class(n: int) -> int:
 
 
 def _ordinary(text: str) -> tuple[str, int] | None:
-    """A string that reads like an identifier made of the text's own words, and its length class."""
+    """A string that reads like an identifier made of the text's own words, half of them numbered, and its length class."""
     words = WORD.findall(text)
     if not words:
         return None
@@ -115,7 +117,7 @@ def _ordinary(text: str) -> tuple[str, int] | None:
     if len(made) < low:
         return None
     cut = made[: low + (seed >> 16) % (low // 4)]
-    return f"{cut[:-2]}{seed % 90 + 10}", k
+    return (f"{cut[:-2]}{seed % 90 + 10}" if seed >> 24 & 1 else cut), k
 
 
 SCANNED = (
@@ -142,17 +144,14 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = []
-                if DIGIT.search(text):
-                    for m in CANDIDATE.finditer(text):
-                        a, b = m.span()
-                        token = m[0]
-                        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-                            continue
-                        if any(a < e and s < b for s, _, e in base):
-                            continue
-                        if score := randomness(token):
-                            more.append({"start": a, "stop": b, "size": length_class(b - a), "score": score[1]})
+                more, starts, ends = [], [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+                for m in CANDIDATE.finditer(text):
+                    a, b = m.span()
+                    before = bisect_left(starts, b)
+                    if before and ends[before - 1] > a:  # some fixed pattern has a part of it
+                        continue
+                    if score := randomness(m[0]):
+                        more.append({"start": a, "stop": b, "size": length_class(b - a), "score": score[1]})
                 null = _ordinary(text)
                 score = null and randomness(null[0])
                 rows.append(
@@ -208,8 +207,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """Secret spans of every row of ``docs``: ``doc_id, base, added``.
 
     ``base`` has the matches of the fixed patterns and ``added`` the other
-    strings of 20 or more characters, mixing letters and digits, that pass the
-    randomness battery at false-discovery rate ``rate`` within their length
+    strings of 20 or more characters that pass the randomness battery at false-discovery rate ``rate`` within their length
     class. Both are arrays of ``(start, kind, stop)`` with ends exclusive,
     counted in code points. Null and empty texts have no spans; repeated rows
     and ids are scanned apart; an empty table gives an empty result.
