@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from .runtime import materialize, running_totals, table
 
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
-LEAD = re.compile(r"^(?:on .{0,200}(?:wrote|said)|am .{0,200}schrieb .{0,100}|le .{0,200}a écrit|el .{0,200}escribió) ?:$", re.IGNORECASE)
+LEAD = re.compile(r"^(?:on .*(?:wrote|said)|am .*schrieb .*|le .*a écrit|el .*escribió) ?:$", re.IGNORECASE)
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: Words of the shortest sentences by which a part of a line is told.
+TELLING = 3
 JUNK = re.compile(r"[^\w]+")
 
 
@@ -57,9 +60,14 @@ def _hash(words: str) -> int:
 
 
 def _hashed(text: str) -> list[int]:
-    """Hashes of the text as a whole, its paragraphs and its lines, each once."""
+    """Hashes of the text as a whole, its paragraphs, its lines and its sentences, each once."""
     parts = [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]
-    return list(dict.fromkeys(_hash(n) for n in map(normal, parts) if n))
+    return list(dict.fromkeys([*(_hash(n) for n in map(normal, parts) if n), *_sentences(text)]))
+
+
+def _sentences(text: str) -> list[int]:
+    """Hashes of the sentences of ``TELLING`` words or more, wherever lines break."""
+    return [_hash(n) for n in map(normal, SENTENCE.split(text)) if n.count(" ") >= TELLING - 1]
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -72,7 +80,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             rows = []
             for conv, turn, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 own, quotes = parse(text)
-                found = [{"level": n, "whole": _hash(normal(p)), "lines": [_hash(x) for x in map(normal, p.split("\n")) if x]} for n, p in quotes]
+                found = [{"level": n, "whole": _hash(normal(p)), "lines": [*(_hash(x) for x in map(normal, p.split("\n")) if x), *_sentences(p)]} for n, p in quotes]
                 rows.append({"conv_id": conv, "turn": turn, "role": role, "own": own, "quotes": found, "parts": _hashed(own)})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -87,7 +95,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     Returns ``conv_id, turn, role, text, n_quotes, n_linked, reply_conv,
     reply_turn, thread_turn, depth, position`` for every row of ``messages``.
 
-    A quoted passage (or, if that is unknown, its first known line) is linked
+    A quoted passage (or, if that is unknown, its first known line, or else its
+    first known sentence of ``TELLING`` words or more) is linked
     by the hash of its normalised text to the messages of the same conversation
     that say it in their own words: to the last of them before the quoting
     turn, or else to the first message of any conversation that does, by

@@ -395,6 +395,50 @@ def test_grammar_contexts():
     assert s.features("not here. An idiot")[1] == plain and s.features("vequmo")[1] == 0.5 and s.features("hello") == (0.0, 0.0)
 
 
+def test_grammar_is_the_transducers_one_after_the_other():
+    steps, rng = ((toxicity._insult, 0), (toxicity._threat, (0, 0)), (toxicity._target, (0, 0)), (toxicity._negation, 0), (toxicity._report, 0)), random.Random(25)
+    table = toxicity.grammar()
+    for _ in range(500):
+        here, states = 0, [start for _, start in steps]
+        for c in [rng.randrange(6) for _ in range(30)]:
+            here, hit, taken = table[here][c]
+            out, weights = c, 0
+            for i, (step, _) in enumerate(steps):
+                states[i], out, w = step(states[i], out)
+                weights |= w
+            assert (hit, taken) == ((2 if out == toxicity.ECHO else 1), weights) if out in toxicity.HITS else hit == 0
+
+
+def test_clauses_not_words():
+    s = toxicity.Scorer(toxicity.Lexicon({"idiot": 1.0}, {}))
+    assert s.features("hurt") == s.features("kill the process") == s.features("that would kill it. you see") == (0.0, 0.0)
+    for threat in ("i will kill you", "you, i kill", "kill all of them"):
+        assert s.features(threat)[1] == toxicity.FACTORS[0]
+    assert s.features("i will not kill you")[1] < 0.5 and s.features("he said i will kill you")[1] < 0.5
+    assert s.features("idiot you")[1] == s.features("you idiot")[1] == toxicity.FACTORS[0] > s.features("idiot there")[1] == 1.0
+
+
+def test_toxicity_recall(spark, sf_dir):
+    base = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, base, "documents"), table(spark, base, "labels")
+    model = toxicity.fit(docs, labels)
+    rows = docs.join(labels.where("toxic = 1"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).select(model.score(docs["text"]).alias("score")).collect()
+    assert sum(r.score >= 0.5 for r in rows) >= 0.9 * len(rows) > 50
+    score = lambda t: 1 / (1 + np.exp(-np.dot(model.weights, [1, *toxicity.Scorer(model.lexicon, model.factors).features(t)])))
+    assert max(map(score, ("hurt", "kill the process", "hello", ""))) < 0.5 < score("i will kill you")
+
+
+def test_arcs_are_weighed_by_labels():
+    rng = np.random.default_rng(0)
+    c = np.zeros((400, 16))
+    c[:200, 0] = rng.integers(0, 3, 200)  # plain hits make toxic, negated ones don't
+    c[200:, 2] = rng.integers(0, 6, 200)
+    y = (c[:, 0] > 0).astype(float)
+    aimed, negated, reported = toxicity._fit_factors(c, y, np.ones(400))
+    assert negated < toxicity.FACTORS[1] and (aimed, reported) == (toxicity.FACTORS[0], toxicity.FACTORS[2])
+    assert toxicity._fit_factors(np.empty((0, 16)), np.empty(0), np.empty(0)) == toxicity.FACTORS
+
+
 def test_warc_filters_and_skips(spark):
     pages = spark.createDataFrame([(n, f"http://x/{n}", "same" if n % 3 else f"page {n} " * 500) for n in range(30)], "page_id long, url string, html string")
     path = warc.new_path(spark, "t")
@@ -489,6 +533,66 @@ def test_secret_base_and_battery(spark):
     assert sum(n in found for n in good) > 0.8 * len(good) and sum(n in found for n in range(1000, 1200)) < 20
 
 
+def test_secrets_of_every_alphabet(spark):
+    rng, rows, of = random.Random(26), [], {}
+    made = [(name, "".join(rng.choice(chars) for _ in range(31 if name in ("decimal", "hex") else 48))) for name, chars in secrets.ALPHABETS for _ in range(150)]
+    made += [("letters", "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(48))) for _ in range(150)]
+    for n, (name, token) in enumerate(made):
+        of[n] = name
+        rows.append((n, f"the key {token} is here"))
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows += [(10_000 + n, " ".join(rng.choice(vocabulary) for _ in range(60))) for n in range(3000)]
+    rows += [(20_000 + n, "see " + "".join(rng.choice(vocabulary) for _ in range(12))[: rng.randint(25, 48)] + " there") for n in range(300)]
+    got = {r.doc_id for r in secrets.find_secrets(spark.createDataFrame(rows, DOCS)).collect() if r.added}
+    recall = {name: sum(of.get(n) == name for n in got) / 150 for name in {*of.values()}}
+    assert min(recall.values()) > 0.8 and sum(n >= 20_000 for n in got) < 30 and not any(10_000 <= n < 20_000 for n in got), recall
+
+
+def test_secrets_beside_fixed_patterns():
+    rng = random.Random(27)
+    for _ in range(50):
+        text = " ".join(rng.choice(("token=abcdefghij" * 3, "AKIA" + "Q7" * 12, "0f" * 20, "x" * 30 + "9", "word")) for _ in range(30))
+        base = secrets.base_spans(text)
+        starts, ends = [s for s, _, _ in base], np.maximum.accumulate([e for _, _, e in base] or [0]).tolist()
+        for m in secrets.CANDIDATE.finditer(text):
+            a, b = m.span()
+            before = secrets.bisect_left(starts, b)
+            assert bool(before and ends[before - 1] > a) == any(a < e and s < b for s, _, e in base)
+
+
+def test_quotes_equal_brute_force(spark):
+    rng, talks, want = random.Random(28), [], {}
+    for conv in range(40):
+        said = []
+        for turn in range(rng.randint(1, 12)):
+            lines = [" ".join(words(rng, 5, 10**9)) + "." for _ in range(rng.randint(1, 4))]
+            own, up = "\n".join(lines), None
+            text = own
+            if said and rng.random() < 0.7:
+                up = rng.randrange(len(said))
+                part = said[up]
+                kind = rng.randrange(4)  # whole, one line, one sentence of rewrapped lines, deeper level
+                quoted = part if kind in (0, 3) else [rng.choice(part)] if kind == 1 else " ".join(part + ["and on"]).split(". ")[0:1]
+                text = "\n".join((">> " if kind == 3 else "> ") + x for x in quoted) + "\n" + own
+            said.append(lines)
+            talks.append((conv, turn, "u", text))
+            above = want[conv, up] if up is not None else None
+            want[conv, turn] = (own, up, above[2] + 1 if above else 0, above[3] if above else turn)
+    rng.shuffle(talks)
+    got = quotes.link_quotes(spark.createDataFrame(talks, "conv_id long, turn int, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.text, r.reply_turn, r.depth, r.thread_turn) for r in got} == want
+    for conv in range(40):
+        order = [r.turn for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)]
+        assert order == sorted(order, key=lambda t: (want[conv, t][3], t))  # threads, each reply after what it replies to
+
+
+def test_quotes_of_a_very_long_message(spark):
+    long = "\n".join(f"line {n} of a long message" for n in range(20_000))
+    rows = [(1, 0, "u", long), (1, 1, "a", "".join(f"> {x}\n" for x in long.split("\n")) + "yes"), (1, 2, "u", "> line 777 of a long message\nno")]
+    got = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got[1].reply_turn == 0 and got[1].text == "yes" and got[2].reply_turn == 0
+
+
 def test_quotes_nested():
     own, found = quotes.parse("On Monday X wrote:\n> > deep\n> > er\n> top\nmine\n> again")
     assert own == "mine" and found == [(2, "deep\ner"), (1, "top"), (1, "again")]
