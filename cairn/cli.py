@@ -1,10 +1,10 @@
-"""Command line: ``python -m cairn.cli build|splits|stats``."""
+"""Command line: ``python -m cairn.cli build|splits``."""
 
 from __future__ import annotations
 
 import argparse
 
-from cairn.operators import mesh, voxel
+from cairn.operators import mesh, metadata, voxel
 from cairn.plans.build import build, reassign_splits
 from cairn.session import session
 from cairn.sources import files
@@ -21,6 +21,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--solid", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--split", type=float, nargs=3, default=[0.8, 0.1, 0.1], metavar=("TRAIN", "VAL", "TEST"))
     p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--start-object", help="the first object, in order of ids")
+    p.add_argument("--num-objects", type=int, help="how many objects at most")
     a = p.parse_args(argv)
     spark = session()
     if a.command == "splits":
@@ -35,9 +37,12 @@ def main(argv: list[str] | None = None) -> None:
         cells = mesh.voxelize_mesh(triangles, a.resolution, a.solid)
         objects = triangles.select("object_id").distinct()
     else:
-        cells = files.read_grids(spark, a.input)
+        cells, errors = files.scan_grids(spark, a.input)
+        for r in errors.limit(20).collect():
+            print(f"{r.object_id}: {r.error}")
         cells = voxel.fill_interior(cells, a.resolution) if a.solid else cells
         objects = cells.select("object_id").distinct()
+    objects = metadata.objects_from(objects, a.start_object, a.num_objects)
     build(spark, cells, objects, a.output, a.resolution, a.min_resolution, a.split, a.seed).show()
 
 

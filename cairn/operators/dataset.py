@@ -31,7 +31,8 @@ def chunk_index(samples: DataFrame, key: list[str], count: str, chunk: int | Non
 
 def numbered(rows: DataFrame, key: list[str], order: list[str], out: str = "ray_idx") -> DataFrame:
     """Rows numbered from 0 within ``key``."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    number = ranked(rows, [F.col(c) for c in (*key, *order)], "_number", key)  # over any number of tasks for one key
+    return number.withColumn(out, (F.col("_number") - 1).cast("int")).drop("_number")
 
 
 def fetch_chunk(rows: DataFrame, chunk_idx: int, chunk: int) -> DataFrame:
@@ -68,3 +69,30 @@ def gather(rays: DataFrame, latents: DataFrame, key: str) -> DataFrame:
 def mean_squared_error(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     return df.groupBy(*by).agg(F.avg(d * d).alias("mse"))
+
+
+def existing_samples(samples: DataFrame, present: DataFrame) -> DataFrame:
+    """The samples whose voxels ``present(level, hash)`` has; raises ``ValueError`` if none are left."""
+    out = samples.join(present.select("level", "hash").distinct(), ["level", "hash"], "left_semi")
+    if out.isEmpty():
+        raise ValueError("no samples are left: check the split, the levels and the dataset's voxels")
+    return out
+
+
+def collate_rays(rays: DataFrame, collated: DataFrame, key: str) -> DataFrame:
+    """Rays with their batch and, as ``ray_to_voxel``, their sample's index in it."""
+    return rays.join(collated.select(key, "batch", F.col("voxel_idx").alias("ray_to_voxel")), key)
+
+
+def collate_edges(edges: DataFrame, collated: DataFrame, key: str) -> DataFrame:
+    """Edges of graphs as edges of their batch's graph: node numbers go on where the sample before ends."""
+    j = edges.join(collated.select(key, "batch", "node_offset"), key)
+    return j.select("batch", key, (F.col("src") + F.col("node_offset")).alias("src"), (F.col("dst") + F.col("node_offset")).alias("dst"))
+
+
+def pad_grids(extents: DataFrame, collated: DataFrame, key: str) -> DataFrame:
+    """Each sample's grid ``ni, nj, nk`` with the batch's largest and the zeros that fill it up."""
+    j = extents.join(collated.select(key, "batch"), key)
+    whole = j.groupBy("batch").agg(*[F.max(f"n{a}").alias(f"p{a}") for a in "ijk"])
+    padding = F.col("pi") * F.col("pj") * F.col("pk") - F.col("ni") * F.col("nj") * F.col("nk")
+    return j.join(whole, "batch").select("batch", key, *[f"n{a}" for a in "ijk"], *[f"p{a}" for a in "ijk"], padding.alias("zeros"))

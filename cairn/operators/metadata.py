@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.functions.columns import hash_bits
+
 
 def object_complexity(tree: DataFrame) -> DataFrame:
     return tree.groupBy("object_id").agg(F.countDistinct("hash").alias("unique_hashes"))
@@ -65,3 +67,31 @@ def first_wins(things: DataFrame, key: str, order: str) -> DataFrame:
 
 def level_distribution(samples: DataFrame) -> DataFrame:
     return samples.groupBy("level").agg(F.count("*").alias("count"))
+
+
+def objects_from(objects: DataFrame, start: str | None = None, number: int | None = None) -> DataFrame:
+    """Objects in order of ids from ``start`` on, ``number`` at most."""
+    out = objects if start is None else objects.where(F.col("object_id") >= start)
+    return out if number is None else out.orderBy("object_id").limit(number)
+
+
+def random_objects(objects: DataFrame, number: int = 1, seed: int = 42) -> DataFrame:
+    """``number`` objects that are first in a seeded order."""
+    return objects.orderBy(hash_bits(str(seed), F.col("object_id")), "object_id").limit(number)
+
+
+def durations(runs: DataFrame, by: str, seconds: str) -> DataFrame:
+    """Runs, their mean, extremes and percentiles."""
+    q = lambda p: F.percentile(seconds, F.lit(p))
+    return runs.groupBy(by).agg(
+        F.count("*").alias("n"), F.avg(seconds).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.99).alias("p99")
+    )
+
+
+def batch_totals(processed: DataFrame) -> DataFrame:
+    """One row over ``processed(object_id, error, n_rays, seconds)``: objects, successes, failures, rays and averages over the successes."""
+    good = F.col("error").isNull()
+    return processed.agg(
+        F.count("*").alias("total"), F.count_if(good).alias("successful"), F.count_if(~good).alias("failed"), F.sum(F.when(good, F.col("n_rays"))).alias("total_rays"),
+        F.avg(F.when(good, F.col("n_rays"))).alias("mean_rays"), F.avg(F.when(good, F.col("seconds"))).alias("mean_seconds"),
+    )

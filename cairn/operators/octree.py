@@ -53,12 +53,13 @@ def hashed_blocks(cells: DataFrame, resolution: int, least: int) -> DataFrame:
     return out
 
 
-def subdivide(cells: DataFrame, objects: DataFrame, resolution: int = 16, least: int = 4) -> DataFrame:
-    """The subdivision map: every block of every level below the object itself, empty ones included.
+def subdivide(cells: DataFrame, objects: DataFrame, resolution: int = 16, least: int = 4, max_depth: int | None = None) -> DataFrame:
+    """The subdivision map: every block of every level below the object itself, ``max_depth`` at most, empty ones included.
 
     Occupied blocks are hashed where they are grouped; an empty block's hash is
     a constant of its level. ``is_full`` tells blocks without an empty cell.
     """
+    least = max(least, resolution >> max_depth) if max_depth is not None else least
     sizes = level_sizes(resolution, least)[1:]
     filled = hashed_blocks(cells, resolution, least).withColumnRenamed("hash", "filled")
     empty = F.create_map(*[F.lit(x) for n, s in enumerate(sizes) for x in (n + 1, hashlib.sha256(bytes(s**3)).hexdigest())])
@@ -95,3 +96,11 @@ def lossless(cells: DataFrame, resolution: int, least: int) -> DataFrame:
     want = cells.select("object_id", levels, "i", "j", "k", F.lit(1).alias("side"))
     cell = want.unionByName(back.withColumn("side", F.lit(2))).groupBy("object_id", "level", "i", "j", "k").agg(F.bit_or("side").alias("sides"))
     return cell.groupBy("level").agg(F.count("*").alias("n_cells"), F.count_if(F.col("sides") != 3).alias("n_different"))
+
+
+def first_children(tree: DataFrame, most: int = 8) -> DataFrame:
+    """Of every block the children in octant order, ``most`` at most (a block has eight)."""
+    c = children(tree)
+    at = ["object_id", "level", *(f"global_position_{x}" for x in "xyz")]
+    kids = c.groupBy(*at, "parent_hash").agg(F.slice(F.array_sort(F.collect_list(F.struct("octant_index", "child_hash"))), 1, most).alias("kids"))
+    return kids.select(*at, "parent_hash", F.posexplode("kids").alias("nth", "k")).select(*at, "parent_hash", "nth", "k.octant_index", "k.child_hash")

@@ -67,10 +67,10 @@ def face_rays(spark, samples: int, half: float, seed: str = "42") -> DataFrame:
 
 
 def orthographic_rays(spark, width: int, height: int, extent: float, distance: float) -> DataFrame:
-    """A raster of parallel rays along -Z from the plane z = ``distance``."""
+    """A raster of parallel rays along -Z from the plane z = ``distance``; one of a single row or column begins at the border."""
     r = spark.range(1).select(_axis(0, height - 1).alias("row")).withColumn("col", _axis(0, width - 1))
-    x = -extent / 2 + F.col("col") * (extent / (width - 1))
-    y = -extent / 2 + F.col("row") * (extent / (height - 1))
+    x = -extent / 2 + F.col("col") * (extent / max(1, width - 1))
+    y = -extent / 2 + F.col("row") * (extent / max(1, height - 1))
     zero = F.lit(0.0)
     return r.select("row", "col", x.alias("ox"), y.alias("oy"), F.lit(float(distance)).alias("oz"), zero.alias("dx"), zero.alias("dy"), F.lit(-1.0).alias("dz"))
 
@@ -201,3 +201,16 @@ def normalize_distance(traced: DataFrame, level: Column, base: int = 128) -> Dat
 def occlusion(traced: DataFrame) -> DataFrame:
     """Mean occupied length over all of an object's rays."""
     return traced.groupBy("object_id").agg(F.avg("distance").alias("occlusion"), F.count("*").alias("n_rays"))
+
+
+def trace_rays(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
+    """``trace`` for directions of any length but zero, which raise an error; distances are in cells."""
+    size = F.sqrt(sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "yz"), F.col("dx") * F.col("dx")))
+    unit = F.when(size > 0, size).otherwise(F.raise_error(F.concat(F.lit("no direction: ray "), F.col("ray_id").cast("string"))))
+    return trace(rays.withColumns({f"d{a}": F.col(f"d{a}") / unit for a in "xyz"}), cells, resolution)
+
+
+def level_statistics(traced: DataFrame, occupancy: DataFrame) -> DataFrame:
+    """``ray_statistics`` per level, with the mean occupancy over the objects that the level's rays meet."""
+    met = traced.select("level", "object_id").distinct().join(occupancy.select("object_id", "occupancy_ratio"), "object_id")
+    return ray_statistics(traced, "level").join(met.groupBy("level").agg(F.avg("occupancy_ratio").alias("mean_occupancy")), "level")

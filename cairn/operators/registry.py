@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.plans.stages import materialize
+
 
 def registry(tree: DataFrame) -> DataFrame:
     """One row for each ``(level, hash)``: uses, emptiness, block size and the first object that has it."""
@@ -34,8 +36,9 @@ def new_per_object(tree: DataFrame) -> DataFrame:
     return tree.select("object_id").distinct().join(counts, "object_id", "left").select("object_id", F.coalesce("n", F.lit(0)).alias("new_unique_count"))
 
 
-def most_common(tree: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent contents of each level; ties go to the smaller hash."""
+def most_common(tree: DataFrame, k: int, level: int | None = None) -> DataFrame:
+    """The ``k`` most frequent contents of each level, or of one; ties go to the smaller hash."""
+    tree = tree if level is None else tree.where(F.col("level") == level)
     counts = tree.groupBy("level", "hash").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("count"), "hash"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -53,3 +56,31 @@ def get_count(tree: DataFrame, hashes: DataFrame) -> DataFrame:
 def missing(needed: DataFrame, present: DataFrame) -> DataFrame:
     """Needed contents that aren't there: a finished run has none."""
     return needed.select("level", "hash").distinct().join(present, ["level", "hash"], "left_anti")
+
+
+def new_flags(tree: DataFrame) -> DataFrame:
+    """``tree`` with ``is_new``: whether a block, in order of objects and positions, is the first with its content."""
+    at = F.struct("object_id", *(f"global_position_{x}" for x in "xyz"))
+    firsts = tree.groupBy(F.col("level").alias("_level"), F.col("hash").alias("_hash")).agg(F.min(at).alias("_first"))
+    firsts = materialize(firsts, "firsts")  # a plain table, so that the empty content's skew can be split
+    joined = tree.join(firsts.hint("merge"), (F.col("level") == F.col("_level")) & (F.col("hash") == F.col("_hash")))
+    return joined.select(*tree.columns, (at == F.col("_first")).alias("is_new"))
+
+
+def with_registry(tree: DataFrame, known: DataFrame) -> DataFrame:
+    """Every block with the uses that the registry ``known`` counts for its content; 0 for contents that it lacks."""
+    counts = known.select(F.col("level").alias("_level"), F.col("hash").alias("_hash"), F.col("count").alias("uses"))
+    joined = tree.join(counts.hint("merge"), (F.col("level") == F.col("_level")) & (F.col("hash") == F.col("_hash")), "left")
+    return joined.select(*tree.columns, F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
+def counters(known: DataFrame) -> DataFrame:
+    """Per level, what a loaded registry counted: unique contents, blocks and unique empty contents."""
+    return known.groupBy("level").agg(F.count("*").alias("unique"), F.sum("count").alias("total"), F.count_if("is_empty").alias("empty"))
+
+
+def common_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``hash, side``: which hashes are in both relations, or in one only."""
+    marked = a.select("hash", F.lit(1).alias("in")).union(b.select("hash", F.lit(2)))
+    side = F.when(F.col("sides") == 3, "both").when(F.col("sides") == 1, "first").otherwise("second")
+    return marked.groupBy("hash").agg(F.bit_or("in").alias("sides")).select("hash", side.alias("side"))

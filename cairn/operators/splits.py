@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import hash_bits
-from cairn.plans.stages import ranked
+from cairn.plans.stages import materialize, ranked
 
 SPLITS = ("train", "val", "test")
 
@@ -34,7 +34,9 @@ def assign_splits(objects: DataFrame, train: float = 0.8, val: float = 0.1, test
 def hash_usage(tree: DataFrame, splits: DataFrame) -> DataFrame:
     """``hash, object_id, split, n, trivial``: contents by object, with uses and whether they are empty or full."""
     uses = tree.groupBy("hash", "object_id").agg(F.count("*").alias("n"), F.bool_or("is_empty").alias("is_empty"), F.bool_or(F.col("is_empty") | F.col("is_full")).alias("uniform"))
-    return uses.join(splits, "object_id")
+    found = uses.join(splits.select(F.col("object_id").alias("_object"), F.col("split").alias("_split")), F.col("object_id") == F.col("_object"), "left")
+    known = F.when(F.col("_object").isNull(), F.raise_error(F.concat(F.lit("no split is assigned to object "), "object_id"))).otherwise(F.col("_split"))
+    return found.select(*uses.columns, known.alias("split"))
 
 
 def _mask():
@@ -68,7 +70,7 @@ def distribution(usage: DataFrame, trivial: str = "empty") -> DataFrame:
 
 def purity(usage: DataFrame, trivial: str = "empty") -> DataFrame:
     """Per object, its blocks by who else uses their content: nobody, objects of its split, or of another (leakage)."""
-    c = contents(usage, trivial)
+    c = materialize(contents(usage, trivial), "contents").hint("merge")  # a plain table, so that the empty content's skew can be split
     own = F.when(F.col("split") == "train", 1).when(F.col("split") == "val", 2).otherwise(4)
     j = usage.join(c, "hash").withColumn("leaks", F.col("mask") != own)
     part = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
@@ -98,5 +100,5 @@ def nontrivial_by_split(usage: DataFrame, trivial: str = "empty") -> DataFrame:
 
 def subvolume_split_info(usage: DataFrame, trivial: str = "empty") -> DataFrame:
     """Per content: its splits, how many objects use it, and whether it is trivial."""
-    c = contents(usage, trivial)
-    return splits_using(usage).join(c, "hash").select("hash", "splits", F.col("objects").alias("n_objects"), "trivial")
+    flag = {"empty": "is_empty", "empty_or_full": "uniform"}[trivial]
+    return usage.groupBy("hash").agg(F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits"), F.count("*").alias("n_objects"), F.bool_or(flag).alias("trivial"))

@@ -70,11 +70,22 @@ def sh_coupling(t: DataFrame, n_sh: int) -> DataFrame:
     return t.groupBy("structure", (F.col("out_idx") % n_sh).alias("out_sh"), (F.col("in_idx") % n_sh).alias("in_sh")).agg(F.sum(_size()).alias("energy"))
 
 
-def differences(t: DataFrame, n: int) -> DataFrame:
-    """Every pair of structures: largest and mean absolute, Frobenius and relative difference, and correlation."""
+def star_pairs(names: DataFrame) -> DataFrame:
+    """``a, b``: the first structure by name with each of the others."""
+    first = names.agg(F.min("structure").alias("a"))  # one row
+    return names.select(F.col("structure").alias("b")).distinct().join(F.broadcast(first), F.col("b") > F.col("a")).select("a", "b")
+
+
+def differences(t: DataFrame, n: int, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of structures: largest and mean absolute, Frobenius and relative difference, and correlation.
+
+    ``pairs(a, b)`` says which; without it every pair is taken, which is for
+    few structures: entries are copied once for every pair that they are in.
+    """
     cells = float(n) * n
-    names = t.select("structure").distinct()
-    pairs = names.withColumnRenamed("structure", "a").join(names.withColumnRenamed("structure", "b"), F.col("a") < F.col("b"))
+    if pairs is None:
+        names = t.select("structure").distinct()
+        pairs = names.withColumnRenamed("structure", "a").join(names.withColumnRenamed("structure", "b"), F.col("a") < F.col("b"))
     one = t.join(pairs, F.col("structure") == F.col("a")).select("a", "b", "out_idx", "in_idx", F.col("value").alias("x"), F.lit(0.0).alias("y"))
     two = t.join(pairs, F.col("structure") == F.col("b")).select("a", "b", "out_idx", "in_idx", F.lit(0.0).alias("x"), F.col("value").alias("y"))
     cell = one.union(two).groupBy("a", "b", "out_idx", "in_idx").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
@@ -91,9 +102,10 @@ def differences(t: DataFrame, n: int) -> DataFrame:
     )
 
 
-def view_radiance(t: DataFrame, n_sh: int, per_face: int, illuminated: int) -> DataFrame:
-    """DC to DC radiance of every patch for light on the patches of one face."""
-    dc = t.where((F.col("out_idx") % n_sh == 0) & (F.col("in_idx") % n_sh == 0) & (F.expr(f"in_idx div {per_face}") == illuminated))
+def view_radiance(t: DataFrame, n_sh: int, per_face: int, illuminated: int | None = None) -> DataFrame:
+    """DC to DC radiance of every patch for light on the patches of one face, or of all."""
+    dc = t.where((F.col("out_idx") % n_sh == 0) & (F.col("in_idx") % n_sh == 0))
+    dc = dc if illuminated is None else dc.where(F.expr(f"in_idx div {per_face}") == illuminated)
     return dc.groupBy("structure", F.expr(f"int(out_idx div {n_sh})").alias("patch_id")).agg(F.sum("value").alias("radiance"))
 
 
@@ -160,3 +172,16 @@ def spectral_radius(t: DataFrame, n: int, most: int = 500) -> DataFrame:
         return pd.DataFrame({"structure": [pdf.structure.iloc[0]], "spectral_radius": [e.max()], "least_eigenvalue": [e.min()]})
 
     return t.groupBy("structure").applyInPandas(run, "structure string, spectral_radius double, least_eigenvalue double")
+
+
+def overall_statistics(stats: DataFrame) -> DataFrame:
+    """One row over the matrices of ``statistics``: how many, extremes, and means of mean and share of non-zeros."""
+    return stats.agg(F.count("*").alias("matrices"), F.min("min").alias("min"), F.max("max").alias("max"), F.avg("mean").alias("mean"), F.avg("nnz_ratio").alias("nnz_ratio"))
+
+
+def patch_energy(spark, t: DataFrame, n_sh: int, patches: int) -> DataFrame:
+    """Energy from every incident to every exitant patch, 0 where the matrix has no entry."""
+    own = t.groupBy("structure", F.expr(f"int(in_idx div {n_sh})").alias("in_patch"), F.expr(f"int(out_idx div {n_sh})").alias("out_patch")).agg(F.sum(_size()).alias("energy"))
+    axis = F.sequence(F.lit(0), F.lit(patches - 1))
+    grid = t.select("structure").distinct().withColumn("in_patch", F.explode(axis)).withColumn("out_patch", F.explode(axis))
+    return grid.join(own.hint("merge"), ["structure", "in_patch", "out_patch"], "left").na.fill(0.0, ["energy"])

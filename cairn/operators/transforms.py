@@ -78,3 +78,14 @@ def jitter(cells: DataFrame, objects: DataFrame, resolution: int, p: float, seed
     turned = grid.where(uniform(seed, *[F.col(c) for c in ("object_id", "i", "j", "k")]) < p).withColumn("n", F.lit(1))
     both = cells.select("object_id", "i", "j", "k", F.lit(1).alias("n")).union(turned)
     return both.groupBy("object_id", "i", "j", "k").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+def compose(*steps):
+    """One transform that applies ``steps``, each from DataFrame to DataFrame, in order; none changes nothing."""
+
+    def run(df: DataFrame) -> DataFrame:
+        for step in steps:
+            df = df.transform(step)
+        return df
+
+    return run

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import octree, registry, splits
+from cairn.plans.stages import materialize
 from cairn.sources import sinks
 
 
 def source_hash(sources: DataFrame) -> DataFrame:
-    """SHA-256 of each source's path, by which a later run knows it."""
-    return sources.withColumn("source_hash", F.sha2("source_file", 256))
+    """SHA-256 of each source, by which a later run knows it: of its ``content``, if the table has one, or of its path."""
+    return sources.withColumn("source_hash", F.sha2("content" if "content" in sources.columns else "source_file", 256))
 
 
 def pending(objects: DataFrame, finished: DataFrame, needed: DataFrame | None = None, present: DataFrame | None = None) -> DataFrame:
@@ -23,36 +24,58 @@ def pending(objects: DataFrame, finished: DataFrame, needed: DataFrame | None =
     return objects.join(done, "object_id", "left_anti")
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; ``None`` if nothing is written there."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
 def build(spark: SparkSession, cells: DataFrame, objects: DataFrame, path: str, resolution: int, least: int, ratios=(0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
-    """Write map, registry, splits and statistics under ``path``; objects already there aren't done again.
+    """Write map, blocks, registry, splits and statistics under ``path``; objects that are there whole aren't done again.
 
-    Statistics and splits are always made from the whole map, so a resumed
-    run counts everything.
+    An object is there if its map is and every content that it names has its
+    block. Statistics and splits are always made from the whole map, so a
+    resumed run counts everything.
     """
-    tree_path = f"{path}/subdivision_map"
-    try:
-        known = spark.read.parquet(tree_path).select("object_id").distinct()
-    except Exception as e:  # noqa: BLE001  nothing written so far
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = spark.createDataFrame([], "object_id string")
-    todo = pending(objects, known)
-    fresh = octree.subdivide(cells.join(todo, "object_id", "left_semi"), todo, resolution, least)
+    tree_path, block_path = f"{path}/subdivision_map", f"{path}/blocks"
+    known, held = _read(spark, tree_path), _read(spark, block_path)
+    if known is None or held is None:
+        todo, known = objects, None
+    else:
+        todo = materialize(pending(objects, known, known.where("not is_empty").select("object_id", "level", "hash"), held), "todo")
+        kept = known.join(todo, "object_id", "left_anti")
+        damaged = known.join(todo, "object_id", "left_semi")
+        if not damaged.isEmpty():
+            sinks.write_table(materialize(kept, "kept"), tree_path, "level")
+    new = cells.join(todo, "object_id", "left_semi")
+    fresh = octree.subdivide(new, todo, resolution, least)
     sinks.write_table(fresh, tree_path, "level", mode="append")
+    made = octree.blocks(new, resolution, least).withColumn("hash", octree.content_hash())
+    if held is not None:
+        made = made.join(materialize(held.select("level", "hash").distinct(), "held").hint("merge"), ["level", "hash"], "left_anti")
+    unique = made.groupBy("level", "hash").agg(F.max("size").alias("size"), F.any_value("occ").alias("occ"))
+    sinks.write_table(unique, block_path, "level", mode="append")
     tree = spark.read.parquet(tree_path)
     sinks.write_table(registry.registry(tree), f"{path}/registry", "level")
-    assigned = splits.assign_splits(tree.select("object_id").distinct(), *ratios, seed=seed)
-    sinks.write_table(assigned, f"{path}/object_splits")
-    usage = splits.hash_usage(tree, spark.read.parquet(f"{path}/object_splits"))
-    sinks.write_table(sinks.split_documents(usage, splits.contents(usage)), f"{path}/splits")
+    _write_splits(spark, path, ratios, seed)
     stats = sinks.dataset_metadata(registry.level_stats(tree), registry.overall_stats(tree), "voxels", "1.0", resolution, least)
     stats.write.mode("overwrite").json(f"{path}/metadata")
     return registry.level_stats(tree)
 
 
-def reassign_splits(spark: SparkSession, path: str, ratios, seed: int) -> DataFrame:
-    """New splits for a written dataset."""
+def _write_splits(spark: SparkSession, path: str, ratios, seed: int) -> None:
     tree = spark.read.parquet(f"{path}/subdivision_map")
     assigned = splits.assign_splits(tree.select("object_id").distinct(), *ratios, seed=seed)
     sinks.write_table(assigned, f"{path}/object_splits")
+    usage = splits.hash_usage(tree, spark.read.parquet(f"{path}/object_splits"))
+    sinks.write_table(sinks.split_documents(usage, splits.contents(usage)), f"{path}/splits")
+
+
+def reassign_splits(spark: SparkSession, path: str, ratios, seed: int) -> DataFrame:
+    """New splits for a written dataset, and the documents that tell which splits use a content."""
+    _write_splits(spark, path, ratios, seed)
     return spark.read.parquet(f"{path}/object_splits")

@@ -64,23 +64,68 @@ def mesh(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def read_grids(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all ``.npz`` and ``.npy`` grids under ``path``; values over zero (one half, for floats) are occupied.
+    """Cells of all grids under ``path`` that can be read; see ``scan_grids``."""
+    return scan_grids(spark, path)[0]
 
-    An archive's grid is the first of ``voxels``, ``occupancy``, ``data`` and
-    ``arr_0`` that it has; a leading axis of length 1 is dropped.
+
+def scan_grids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of all ``.npz`` and ``.npy`` grids under ``path``, and ``object_id, error`` of the files that hold none.
+
+    Values over zero (one half, for floats) are occupied. An archive's grid is
+    the first of ``voxels``, ``occupancy``, ``data`` and ``arr_0`` that it has;
+    a leading axis of length 1 is dropped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%.npz' or path like '%.npy'")
 
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                try:
+                    held = np.load(io.BytesIO(bytes(r.content)))
+                    grid = held if isinstance(held, np.ndarray) else held[next(k for k in ("voxels", "occupancy", "data", "arr_0") if k in held.files)]
+                    grid = grid[0] if grid.ndim == 4 else grid
+                    if grid.ndim != 3:
+                        raise ValueError(f"an array of {grid.ndim} axes")
+                    at, error = np.argwhere(grid > (0.5 if grid.dtype.kind == "f" else 0)), None
+                except Exception as e:  # noqa: BLE001  whatever a broken file raises becomes its row
+                    at, error = np.full((1, 3), -1), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"object_id": r.object_id, "i": at[:, 0], "j": at[:, 1], "k": at[:, 2]}).assign(error=error)
+
+    rows = files.select(_object_id("path").alias("object_id"), "content").mapInPandas(run, "object_id string, i int, j int, k int, error string")
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("object_id", "error")
+
+
+def read_mesh_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Triangles of all ``.npz`` meshes under ``path`` that hold ``vertices`` and ``faces``; other archives have none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%.npz'")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                held = np.load(io.BytesIO(bytes(r.content)))
+                if {"vertices", "faces"} <= {*held.files}:
+                    flat = held["vertices"].astype(float)[held["faces"].astype(int)].reshape(-1, 9)
+                    out = pd.DataFrame(flat, columns=[f"{v}{a}" for v in "abc" for a in "xyz"])
+                    out.insert(0, "face_id", np.arange(len(out), dtype=np.int32))
+                    out.insert(0, "object_id", r.object_id)
+                    yield out
+
+    return files.select(_object_id("path").alias("object_id"), "content").mapInPandas(run, TRIANGLES)
+
+
+def read_distance_maps(spark: SparkSession, path: str) -> DataFrame:
+    """``object_id, view_id, row, col, distance, hit`` of the maps that ``sinks.write_distance_maps`` wrote."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%.npz'")
+    files = files.select(F.regexp_extract("path", r"([^/]+)/view_\d+\.npz$", 1).alias("object_id"), F.regexp_extract("path", r"view_(\d+)\.npz$", 1).cast("int").alias("view_id"), "content")
+
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples():
                 held = np.load(io.BytesIO(bytes(r.content)))
-                grid = held if isinstance(held, np.ndarray) else held[next(k for k in ("voxels", "occupancy", "data", "arr_0") if k in held.files)]
-                grid = grid[0] if grid.ndim == 4 else grid
-                at = np.argwhere(grid > (0.5 if grid.dtype.kind == "f" else 0))
-                yield pd.DataFrame({"object_id": r.object_id, "i": at[:, 0], "j": at[:, 1], "k": at[:, 2]})
+                row, col = np.indices(held["distances"].shape).reshape(2, -1)
+                yield pd.DataFrame({"object_id": r.object_id, "view_id": r.view_id, "row": row, "col": col, "distance": held["distances"].reshape(-1), "hit": held["hits"].reshape(-1).astype(np.int32)})
 
-    return files.select(_object_id("path").alias("object_id"), "content").mapInPandas(run, "object_id string, i int, j int, k int")
+    return files.mapInPandas(run, "object_id string, view_id int, row int, col int, distance float, hit int")
 
 
 def read_ray_archives(spark: SparkSession, path: str) -> DataFrame:

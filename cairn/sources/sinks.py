@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import schemas
+from cairn.plans.stages import materialize
+from cairn.sources import store
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str, compressed: bool = True, mode: str = "overwrite") -> None:
@@ -20,7 +26,7 @@ def write_tree(tree: DataFrame, path: str) -> None:
 
 def write_unique_blocks(blocks: DataFrame, hashes: DataFrame, path: str) -> None:
     """One row of cells for every content: ``blocks`` (as of ``octree.blocks`` with a ``hash``) that ``hashes`` names."""
-    unique = blocks.groupBy("level", "hash").agg(F.first("size").alias("size"), F.first("occ").alias("occ"))
+    unique = blocks.groupBy("level", "hash").agg(F.max("size").alias("size"), F.any_value("occ").alias("occ"))  # equal in all of them
     write_table(unique.join(hashes.select("level", "hash"), ["level", "hash"], "left_semi"), path, "level")
 
 
@@ -60,10 +66,17 @@ def dataset_metadata(level_stats: DataFrame, overall: DataFrame, name: str, vers
     )
 
 
-def split_documents(usage: DataFrame, contents: DataFrame) -> DataFrame:
-    """``hash, objects, trivial``: for each content, which objects of which splits use it, as a map."""
-    by_hash = usage.select("hash", "object_id", "split").distinct().groupBy("hash").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("object_id", "split")))).alias("objects"))
-    return by_hash.join(contents.select("hash", "trivial"), "hash")
+def split_documents(usage: DataFrame, contents: DataFrame, most: int = 10_000) -> DataFrame:
+    """``hash, part, objects, trivial``: for each content, which objects of which splits use it, as maps.
+
+    A content has as many parts as keep them at about ``most`` objects, so the
+    empty content, which all objects use, takes many rows.
+    """
+    sized = contents.select(F.col("hash").alias("_hash"), "trivial", F.ceil(F.col("objects") / most).alias("_parts"))
+    sized = materialize(sized, "contents").hint("merge")  # a plain table, so that the empty content's skew can be split
+    uses = usage.select("hash", "object_id", "split").distinct().join(sized, F.col("hash") == F.col("_hash"))
+    part = F.pmod(F.xxhash64("object_id"), F.col("_parts")).cast("int").alias("part")
+    return uses.groupBy("hash", part, "trivial").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("object_id", "split")))).alias("objects")).select("hash", "part", "objects", "trivial")
 
 
 def load_split_documents(documents: DataFrame) -> DataFrame:
@@ -77,15 +90,110 @@ def processing_summary(traced: DataFrame, skipped: DataFrame, **settings) -> Dat
     return totals.crossJoin(skipped.agg(F.count("*").alias("skipped"))).select("*", *[F.lit(v).alias(k) for k, v in settings.items()])
 
 
-def write_transfer(t: DataFrame, path: str) -> None:
-    write_table(t, path, "structure")
+def write_document(spark: SparkSession, path: str, **fields) -> None:
+    """One JSON document, in place of what was there."""
+    spark.createDataFrame([(json.dumps(fields),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    """The document that ``write_document`` wrote."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_transfer(t: DataFrame, path: str, **metadata) -> None:
+    """Transfer matrices by structure, with a document of ``metadata`` beside them."""
+    write_table(t, f"{path}/matrix", "structure")
+    write_document(t.sparkSession, f"{path}/metadata", **metadata)
+
+
+def read_transfer(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Matrices and metadata that ``write_transfer`` wrote."""
+    kept = spark.read.parquet(f"{path}/matrix").schema["value"].dataType.simpleString()
+    schema = schemas.TRANSFER.replace("value float", f"value {kept}")
+    return spark.read.schema(schema).parquet(f"{path}/matrix"), read_document(spark, f"{path}/metadata")
+
 
+def write_morphs(steps: DataFrame, path: str, **metadata) -> None:
+    """Morph sequences by pair, with a document of ``metadata``; steps are read back in order with ``read_morph``."""
+    write_table(steps, f"{path}/steps", "source_id", "target_id")
+    write_document(steps.sparkSession, f"{path}/metadata", **metadata)
 
-def write_morphs(steps: DataFrame, path: str) -> None:
-    """Morph sequences by pair; steps are read back in order with ``read_morph``."""
-    write_table(steps, path, "source_id", "target_id")
+
+def list_morphs(spark: SparkSession, path: str) -> DataFrame:
+    """``source_id, target_id, steps``: the sequences under ``path``."""
+    return spark.read.schema(schemas.MORPH_STEPS).parquet(f"{path}/steps").groupBy("source_id", "target_id").agg(F.countDistinct("step").alias("steps"))
 
 
 def read_morph(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:
-    found = spark.read.schema(schemas.MORPH_STEPS).parquet(path).where((F.col("source_id") == source) & (F.col("target_id") == target))
+    found = spark.read.schema(schemas.MORPH_STEPS).parquet(f"{path}/steps").where((F.col("source_id") == source) & (F.col("target_id") == target))
     return found.orderBy("step", "i", "j", "k")
+
+
+def write_tree_json(tree: DataFrame, path: str) -> None:
+    """Subdivision maps as JSON arrays, a file for each object; see ``read_tree_json``."""
+    columns = [c.split()[0] for c in schemas.SUBDIVISION_MAP.split(", ")]
+    rows = tree.select(F.col("object_id").alias("_object"), F.struct(*columns).alias("r"))
+    rows = rows.groupBy("_object").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("value"))
+    rows.write.mode("overwrite").partitionBy("_object").text(path)
+
+
+def write_registry_json(registry: DataFrame, path: str) -> None:
+    """The registry as JSON documents, a row each."""
+    registry.write.mode("overwrite").json(path)
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry that ``write_registry_json`` wrote; ``registry.counters`` counts it again."""
+    return spark.read.schema("level int, hash string, count bigint, is_empty boolean, resolution int, first_object string").json(path)
+
+
+def write_splits_json(documents: DataFrame, path: str) -> None:
+    """``split_documents`` as JSON documents."""
+    documents.write.mode("overwrite").json(path)
+
+
+def read_splits_json(spark: SparkSession, path: str) -> DataFrame:
+    """``hash, object_id, split`` of the documents under ``path``."""
+    return load_split_documents(spark.read.schema("hash string, part int, objects map<string,string>, trivial boolean").json(path))
+
+
+def _archives(df: DataFrame, key: list[str], order: list[str], write) -> int:
+    """One file for each ``key``, whose rows meet in a task; returns how many. ``write(key values, frame)`` repeats without harm."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        write(pdf.iloc[0][key].tolist(), pdf.sort_values(order))
+        return pd.DataFrame({"n": [1]})
+
+    return df.groupBy(*key).applyInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_rays(rays: DataFrame, path: str) -> int:
+    """Rays of each content as ``level_L/xx/HASH_rays.npz``; see ``files.read_ray_archives``. Returns the number of archives."""
+
+    def write(key, pdf):
+        level, name = key
+        xyz = lambda p: pdf[[f"{p}{a}" for a in "xyz"]].to_numpy(np.float32)
+        whole = lambda c: pdf[c].to_numpy(np.int32)
+        data = store.npz(origins=xyz("o"), directions=xyz("d"), distances=pdf["distance"].to_numpy(np.float32), hits=whole("hit"), face_ids=whole("face_id"), view_ids=whole("view_id"))
+        store.put(f"{path}/level_{level}/{name[:2]}/{name}_rays.npz", data)
+
+    return _archives(rays, ["level", "hash"], ["ray_id"], write)
+
+
+def write_distance_maps(maps: DataFrame, path: str) -> int:
+    """``object_id, view_id, row, col, distance, hit`` as ``OBJECT/view_NNN.npz`` with two images; returns the number of files."""
+
+    def write(key, pdf):
+        tall, wide = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
+        distance, hit = np.zeros((tall, wide), np.float32), np.zeros((tall, wide), np.uint8)
+        distance[pdf["row"], pdf["col"]], hit[pdf["row"], pdf["col"]] = pdf["distance"], pdf["hit"]
+        store.put(f"{path}/{key[0]}/view_{key[1]:03d}.npz", store.npz(distances=distance, hits=hit))
+
+    return _archives(maps, ["object_id", "view_id"], ["row", "col"], write)
+
+
+def light_metadata(matrices: DataFrame, properties: dict, resolution: int, patches: int, n_sh: int) -> DataFrame:
+    """The light-transport dataset's one-row document: structures, matrix size, entries and the medium's properties."""
+    totals = matrices.agg(F.countDistinct("structure").alias("num_structures"), F.count("*").alias("num_entries"))
+    fixed = {"resolution": resolution, "num_patches": patches, "num_sh": n_sh, "matrix_size": patches * n_sh} | properties
+    return totals.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])
