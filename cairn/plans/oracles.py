@@ -363,3 +363,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT object_id, step, num_voxels, {r('num_voxels / 4096.0::DOUBLE')} AS occupancy, num_voxels - lag(num_voxels) OVER (PARTITION BY object_id ORDER BY step) AS delta FROM c""",
 }
 ORACLE_SQL["subvolume_hash_lists"] = ORACLE_SQL["subvolume_hash"]
+
+from cairn.plans import more_oracles  # noqa: E402, F401  adds its queries to these

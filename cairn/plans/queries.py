@@ -692,3 +692,6 @@ def sinkhorn_plan(spark, d):
     p = src.points(spark, d).where("t < 20").groupBy("object_id", "t").agg(*[F.avg(a).alias(a) for a in "xyz"]).withColumn("id", F.col("t").cast("long"))
     pairs = morph.distances(p.where("t < 10"), p.where("t >= 10"), "object_id")
     return morph.transport_cost(morph.sinkhorn(pairs, "object_id", 0.05), "key")
+
+
+from cairn.plans import more_queries  # noqa: E402, F401  adds its queries to these

@@ -149,6 +149,6 @@ def read_ray_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of the ``object_*`` folders under ``path``, by the files in them."""
+    """Ids of the ``object_*`` folders (or partitions) under ``path``, by the files in them, which aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return files.select(F.regexp_extract("path", r"/object_([^/]+)/", 1).alias("object_id")).where("object_id <> ''").distinct()
+    return files.select(F.regexp_extract("path", r"[/=]object_([^/]+)/", 1).alias("object_id")).where("object_id <> ''").distinct()
