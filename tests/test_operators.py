@@ -234,3 +234,60 @@ def test_stream(spark, tmp_path):
     q = stream.keep_counts(stream.record_stream(spark, str(tmp_path / "in")), str(tmp_path / "counts"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [r["count"] for r in stream.read_counts(spark, str(tmp_path / "counts")).collect()] == [8]
+
+
+def test_broken_and_mesh_archives(spark, tmp_path):
+    from cairn.sources import files
+
+    np.savez(tmp_path / "good.npz", voxels=np.ones((2, 2, 2), bool))
+    np.savez(tmp_path / "flat.npz", voxels=np.ones(3))
+    np.savez(tmp_path / "other.npz", something=np.ones(3))
+    (tmp_path / "cut.npz").write_bytes(b"PK\x03\x04 not whole")
+    cells, errors = files.scan_grids(spark, str(tmp_path))
+    assert cells.count() == 8 and {r.object_id for r in errors.collect()} == {"flat", "other", "cut"}
+    (tmp_path / "m").mkdir()
+    np.savez(tmp_path / "m/a.npz", vertices=np.eye(3), faces=np.array([[0, 1, 2]]))
+    (r,) = files.read_mesh_archives(spark, str(tmp_path / "m")).collect()
+    assert (r.object_id, r.ax, r.by, r.cz, r.ay) == ("a", 1.0, 1.0, 1.0, 0.0)
+
+
+def test_objects_without_a_split_and_samples_without_voxels_raise(spark):
+    from cairn.operators import dataset, splits
+
+    tree = spark.createDataFrame([("a", 1, "h", False, False), ("b", 1, "h", False, False)], "object_id string, level int, hash string, is_empty boolean, is_full boolean")
+    assigned = spark.createDataFrame([("a", "train")], "object_id string, split string")
+    with pytest.raises(Exception, match="no split is assigned to object b"):
+        splits.hash_usage(tree, assigned).collect()
+    samples = spark.createDataFrame([(1, "h")], "level int, hash string")
+    assert dataset.existing_samples(samples, samples).count() == 1
+    with pytest.raises(ValueError, match="no samples are left"):
+        dataset.existing_samples(samples, samples.limit(0))
+
+
+def test_reassigned_splits_reach_the_documents(spark, tmp_path):
+    from cairn.plans.build import build, reassign_splits
+    from cairn.sources import sinks
+
+    cells = spark.createDataFrame([(f"{n:04d}", n % 8, n // 8, 3) for n in range(20)], "object_id string, i int, j int, k int")
+    build(spark, cells, cells.select("object_id").distinct(), str(tmp_path), 8, 4)
+    new = {r.object_id: r.split for r in reassign_splits(spark, str(tmp_path), (0.5, 0.25, 0.25), 7).collect()}
+    back = {r.object_id: r.split for r in sinks.load_split_documents(spark.read.parquet(str(tmp_path / "splits"))).collect()}
+    assert back == new and sorted(new.values()).count("train") == 10
+
+
+def test_composition_documents_and_released_tables(spark, tmp_path):
+    from cairn.operators import transforms
+    from cairn.plans import stages
+    from cairn.sources import sinks
+
+    df = spark.range(5)
+    assert transforms.compose()(df) is df
+    assert transforms.compose(lambda d: d.where("id > 1"), lambda d: d.where("id < 4"))(df).count() == 2
+    sinks.write_document(spark, str(tmp_path / "doc"), a=1, b=[2, "é"])
+    assert sinks.read_document(spark, str(tmp_path / "doc")) == {"a": 1, "b": [2, "é"]}
+    before = stages.written()
+    gone, kept = stages.materialize(df, "gone"), stages.materialize(df, "kept")
+    stages.release(spark, since=before, keep=kept)
+    assert kept.count() == 5 and stages.written() == before + 1
+    with pytest.raises(Exception):
+        gone.count()
