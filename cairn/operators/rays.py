@@ -124,11 +124,18 @@ def hits_box() -> Column:
     return (F.col("t_in") <= F.col("t_out")) & (F.col("t_out") >= 0)
 
 
+def _crossed(axis: str, h: float, resolution: int) -> str:
+    """The planes between entry and exit, rounded outwards."""
+    ends = f"o{axis} + d{axis} * begin + {h}, o{axis} + d{axis} * t_out + {h}"
+    low = f"greatest(0, int(floor(least({ends}))))"
+    return f"sequence({low}, greatest({low}, least({resolution}, int(ceil(greatest({ends}))))))"
+
+
 def segments(rays: DataFrame, resolution: int) -> DataFrame:
     """``rays`` with ``cuts``: the sorted distances at which each ray enters, changes cells and leaves; null for misses."""
     h = resolution / 2
     out = _slab(rays, resolution).withColumn("begin", F.greatest("t_in", F.lit(0.0)))
-    planes = ", ".join(f"if(abs(d{a}) > {PARALLEL}, transform(sequence(0, {resolution}), p -> (p - {h} - o{a}) * v{a}), array())" for a in "xyz")
+    planes = ", ".join(f"if(abs(d{a}) > {PARALLEL}, transform({_crossed(a, h, resolution)}, p -> (p - {h} - o{a}) * v{a}), array())" for a in "xyz")
     inner = f"filter(concat({planes}), t -> t > begin AND t < t_out)"
     return out.withColumn("cuts", F.when(hits_box(), F.expr(f"array_sort(array_distinct(concat(array(begin, t_out), {inner})))")))
 
@@ -137,6 +144,12 @@ def _cell(axis: str, h: float) -> str:
     return f"int(floor(o{axis} + d{axis} * (cuts[n] + cuts[n + 1]) / 2 + {h}))"
 
 
+def _steps(h: float) -> str:
+    """Length and cell of every stretch between two cuts."""
+    part = f"named_struct('len', cuts[n + 1] - cuts[n], 'i', {_cell('z', h)}, 'j', {_cell('y', h)}, 'k', {_cell('x', h)})"
+    return f"if(size(cuts) > 1, transform(sequence(0, size(cuts) - 2), n -> {part}), array())"
+
+
 def masks(cells: DataFrame, resolution: int) -> DataFrame:
     """``object_id, planes``: for each occupied i of a grid of up to 62 cells a side, a bigint of occupied k for every j.
 
@@ -159,9 +172,9 @@ def trace(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
     h = resolution / 2
     ready = segments(rays, resolution).select("ray_id", "object_id", *[f"{p}{a}" for p in "od" for a in "xyz"], "cuts")
     joined = ready.join(masks(cells, resolution).hint("merge"), "object_id", "left")
-    inside = " AND ".join(f"{_cell(a, h)} BETWEEN 0 AND {resolution - 1}" for a in "xyz")
-    step = f"if({inside} AND getbit(planes[{_cell('z', h)}][{_cell('y', h)}], {_cell('x', h)}) = 1, cuts[n + 1] - cuts[n], 0D)"
-    total = F.expr(f"if(cuts IS NULL OR planes IS NULL OR size(cuts) < 2, 0D, aggregate(sequence(0, size(cuts) - 2), 0D, (t, n) -> t + {step}))")
+    inside = " AND ".join(f"s.{a} BETWEEN 0 AND {resolution - 1}" for a in "ijk")
+    add = f"if({inside} AND getbit(planes[s.i][s.j], s.k) = 1, s.len, 0D)"
+    total = F.expr(f"if(cuts IS NULL OR planes IS NULL, 0D, aggregate({_steps(h)}, 0D, (t, s) -> t + {add}))")
     return joined.select("ray_id", "object_id", total.alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
 
 
@@ -169,9 +182,8 @@ def trace_cells(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame
     """As ``trace`` for grids of any size: segments are exploded and joined with cells on the cell key."""
     h = resolution / 2
     ready = segments(rays, resolution)
-    part = f"named_struct('len', cuts[n + 1] - cuts[n], 'i', {_cell('z', h)}, 'j', {_cell('y', h)}, 'k', {_cell('x', h)})"
     # not a filter on the cuts: pushed to the scan, it would compute them twice
-    steps = ready.select("ray_id", "object_id", F.expr(f"inline(if(size(cuts) > 1, transform(sequence(0, size(cuts) - 2), n -> {part}), array()))"))
+    steps = ready.select("ray_id", "object_id", F.expr(f"inline({_steps(h)})"))
     sums = steps.join(cells.hint("merge"), ["object_id", "i", "j", "k"], "left_semi").groupBy("ray_id", "object_id").agg(F.sum("len").alias("len"))
     out = rays.select("ray_id", "object_id").join(sums, ["ray_id", "object_id"], "left")
     return out.select("ray_id", "object_id", F.coalesce("len", F.lit(0.0)).alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
