@@ -1,13 +1,14 @@
-"""Voxelization of triangle meshes."""
+"""Voxelization of triangle meshes by separating axes, and cube meshes of voxel grids."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.voxel import fill_interior
+from cairn.plans.stages import materialize, ranked
 
 
 def mesh_points(triangles: DataFrame) -> DataFrame:
@@ -16,27 +17,111 @@ def mesh_points(triangles: DataFrame) -> DataFrame:
     return triangles.select("object_id", corners.alias("p")).select("object_id", "p.x", "p.y", "p.z")
 
 
-def voxelize_mesh(triangles: DataFrame, resolution: int, solid: bool = True) -> DataFrame:
-    """Cells that the triangles pass, and with ``solid`` those that they enclose.
+def _cross(p: list[Column], q: list[Column]) -> list[Column]:
+    return [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+
+
+def _axis(a: list[Column]) -> Column:
+    """``x, y, z, lo, hi``: cells whose centre lies between ``lo`` and ``hi`` along the axis aren't separated by it from the triangle ``a, b, c``."""
+    along = [sum((a[n] * F.col(f"{v}{x}") for n, x in enumerate("xyz")), F.lit(0.0)) for v in "abc"]
+    reach = (F.abs(a[0]) + F.abs(a[1]) + F.abs(a[2])) * (0.5 + 1e-9)
+    return F.struct(a[0].alias("x"), a[1].alias("y"), a[2].alias("z"), (F.least(*along) - reach).alias("lo"), (F.greatest(*along) + reach).alias("hi"))
+
 
-    Every triangle is sampled at half the pitch, so no face neighbour is left
-    out; triangles are independent and spread over tasks.
+def passed_cells(triangles: DataFrame, resolution: int) -> DataFrame:
+    """``object_id, i, j, k`` of the cells that triangles in cell units pass, each once for every triangle.
+
+    A triangle reaches the cells from that of its least to that of its greatest
+    coordinate. Of those, along the axis that its plane faces most, only the
+    few that the plane crosses in a column are made, so candidates grow with
+    its area; they stay if none of the plane's normal and the nine products of
+    its sides with the axes separates them. All of it is column expressions.
     """
+    side = [[F.col(f"{q}{x}") - F.col(f"{p}{x}") for x in "xyz"] for p, q in ("ab", "bc", "ca")]
+    normal = _cross(side[0], side[1])
+    axes = [_axis(normal)]
+    for s, n in product(side, range(3)):
+        axes.append(_axis(_cross([F.lit(float(n == m)) for m in range(3)], s)))
+    t = triangles.withColumns({"normal": F.array(*normal), "axes": F.array(*axes)})
+    cell = lambda f, x: F.greatest(F.lit(0), F.least(F.lit(resolution - 1), F.floor(f(*[F.col(f"{v}{x}") for v in "abc"])))).cast("int")
+    ends = F.array(*[F.struct(cell(F.least, x).alias("lo"), cell(F.greatest, x).alias("hi")) for x in "xyz"])
+    most = F.array_max(F.transform("normal", lambda c: F.abs(c)))
+    main = F.array_position(F.transform("normal", lambda c: F.abs(c) == most), True).cast("int") - 1
+    level = sum((normal[n] * F.col(f"a{x}") for n, x in enumerate("xyz")), F.lit(0.0))  # of the plane along its normal
+    t = t.select("object_id", "normal", "axes", ends.alias("ends"), F.coalesce(main, F.lit(2)).alias("w"), level.alias("level"))
+    t = t.withColumns({"u": (F.col("w") + 1) % 3, "v": (F.col("w") + 2) % 3})
+    for c in "uv":
+        t = t.withColumn(f"c{c}", F.explode(F.expr(f"sequence(ends[{c}].lo, ends[{c}].hi)")))
+    low = "(level - least(normal[u] * cu, normal[u] * (cu + 1)) - least(normal[v] * cv, normal[v] * (cv + 1))) / normal[w]"
+    high = "(level - greatest(normal[u] * cu, normal[u] * (cu + 1)) - greatest(normal[v] * cv, normal[v] * (cv + 1))) / normal[w]"
+    first = F.expr(f"if(normal[w] = 0, ends[w].lo, greatest(ends[w].lo, cast(floor(least({low}, {high}) - 1e-6) AS int)))")
+    last = F.expr(f"if(normal[w] = 0, ends[w].hi, least(ends[w].hi, cast(floor(greatest({low}, {high}) + 1e-6) AS int)))")
+    # the last cell also holds what lies on the grid's far border
+    first = F.least(first, F.expr("ends[w].hi"))
+    t = t.withColumns({"from": first, "to": last}).where("`from` <= `to`").withColumn("cw", F.explode(F.sequence("from", "to")))
+    at = [F.expr(f"CASE {n} WHEN u THEN cu WHEN v THEN cv ELSE cw END").alias(c) for n, c in enumerate("ijk")]
+    t = t.select("object_id", "axes", *at)
+    return t.where(F.expr("forall(axes, a -> a.x * (i + 0.5D) + a.y * (j + 0.5D) + a.z * (k + 0.5D) BETWEEN a.lo AND a.hi)")).select("object_id", "i", "j", "k")
+
+
+def in_cell_units(triangles: DataFrame, resolution: int) -> DataFrame:
+    """``triangles`` moved to their object's least corner and scaled to its pitch; objects without extent are left out."""
     ends = mesh_points(triangles).groupBy("object_id").agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     pitch = F.greatest(*[F.col(f"hi{a}") - F.col(f"lo{a}") for a in "xyz"]) / float(resolution)
-    placed = triangles.join(ends.withColumn("pitch", pitch), "object_id").where("pitch > 0")
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                low = np.array([r.lox, r.loy, r.loz])
-                a, b, c = (np.array([getattr(r, f"{v}{x}") for x in "xyz"]) for v in "abc")
-                n = int(np.ceil(2 * max(np.linalg.norm(b - a), np.linalg.norm(c - a), np.linalg.norm(c - b)) / r.pitch)) + 1
-                u, v = np.meshgrid(np.linspace(0, 1, n + 1), np.linspace(0, 1, n + 1))
-                keep = u + v <= 1 + 1e-12
-                p = a + u[keep][:, None] * (b - a) + v[keep][:, None] * (c - a)
-                at = np.unique(np.clip(np.floor((p - low) / r.pitch), 0, resolution - 1).astype(np.int32), axis=0)
-                yield pd.DataFrame({"object_id": r.object_id, "i": at[:, 0], "j": at[:, 1], "k": at[:, 2]})
-
-    shell = placed.mapInPandas(run, "object_id string, i int, j int, k int").distinct()
+    box = ends.select(F.col("object_id").alias("_id"), "lox", "loy", "loz", pitch.alias("pitch")).where("pitch > 0")
+    placed = triangles.join(box, F.col("object_id") == F.col("_id"))
+    return placed.select("object_id", *[((F.col(f"{v}{a}") - F.col(f"lo{a}")) / F.col("pitch")).alias(f"{v}{a}") for v in "abc" for a in "xyz"])
+
+
+def voxelize_mesh(triangles: DataFrame, resolution: int, solid: bool = True) -> DataFrame:
+    """Cells that the triangles pass, and with ``solid`` those that they enclose; see ``passed_cells``."""
+    shell = passed_cells(in_cell_units(triangles, resolution), resolution).distinct()
     return fill_interior(shell, resolution) if solid else shell
+
+
+#: Corners of a cell's faces -X, +X, -Y, +Y, -Z, +Z, anticlockwise from outside, and the neighbour behind each.
+FACES = tuple(
+    (
+        tuple(sign if a == axis else 0 for a in range(3)),
+        tuple(
+            tuple((sign > 0) if a == axis else (p if a == (axis + 1) % 3 else q) for a in range(3))
+            for p, q in (((0, 0), (1, 0), (1, 1), (0, 1)) if sign > 0 else ((0, 0), (0, 1), (1, 1), (1, 0)))
+        ),
+    )
+    for axis in range(3)
+    for sign in (-1, 1)
+)
+
+
+def boundary_faces(cells: DataFrame) -> DataFrame:
+    """``object_id, i, j, k, face``: sides of cells without an occupied neighbour behind them, numbered -X, +X, -Y, +Y, -Z, +Z along i, j, k."""
+    sides = F.explode(F.array(*[F.struct(F.lit(f).alias("face"), *[F.lit(n).alias(f"d{a}") for n, a in zip(way, "ijk")]) for f, (way, _) in enumerate(FACES)]))
+    every = cells.select("object_id", "i", "j", "k", sides.alias("s")).select("object_id", "i", "j", "k", "s.*")
+    every = every.select("object_id", "i", "j", "k", "face", *[(F.col(a) + F.col(f"d{a}")).alias(f"n{a}") for a in "ijk"])
+    there = cells.select("object_id", *[F.col(a).alias(f"n{a}") for a in "ijk"])
+    return every.join(there.hint("merge"), ["object_id", "ni", "nj", "nk"], "left_anti").select("object_id", "i", "j", "k", "face")
+
+
+def cube_mesh(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The surface of a voxel grid as an indexed mesh: ``object_id, vid, x, y, z`` and ``object_id, fid, a, b, c``.
+
+    Faces between occupied neighbours are left out; the others are two
+    triangles each, seen anticlockwise from outside. Vertices are shared and
+    numbered from 0 within each object, in order of x, y, z, as are triangles
+    in order of cells and faces. Numbers come from range-sorted running totals
+    (``stages.ranked``), so an object may spread over any number of tasks.
+    Repeated cells count once.
+    """
+    cells = cells.select("object_id", "i", "j", "k").distinct()
+    quads = materialize(boundary_faces(cells), "faces")
+    corners = F.element_at(F.array(*[F.array(*[F.struct(*[F.lit(int(n)).alias(a) for n, a in zip(c, "ijk")]) for c in four]) for _, four in FACES]), F.col("face") + 1)
+    at = quads.select("object_id", "i", "j", "k", "face", F.posexplode(corners).alias("corner", "c"))
+    at = at.select("object_id", F.struct("i", "j", "k", "face").alias("quad"), "corner", *[(F.col(a) + F.col(f"c.{a}")).alias(x) for a, x in zip("ijk", "xyz")])
+    spots = at.select("object_id", "x", "y", "z").distinct()
+    vertices = materialize(ranked(spots, [F.col(c) for c in ("object_id", "x", "y", "z")], "n", ["object_id"]).select("object_id", (F.col("n") - 1).alias("vid"), "x", "y", "z"), "vertices")
+    known = at.join(vertices.hint("merge"), ["object_id", "x", "y", "z"])
+    four = known.groupBy("object_id", "quad").agg(*[F.max(F.when(F.col("corner") == n, F.col("vid"))).alias(f"v{n}") for n in range(4)])
+    numbered = ranked(four, [F.col("object_id"), F.col("quad")], "n", ["object_id"])
+    two = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), *[F.col(f"v{n}").alias(v) for n, v in zip(t, "abc")]) for h, t in enumerate(((0, 1, 2), (0, 2, 3)))]))
+    faces = numbered.select("object_id", "n", two.alias("t")).select("object_id", (2 * (F.col("n") - 1) + F.col("t.h")).alias("fid"), "t.a", "t.b", "t.c")
+    return vertices, faces

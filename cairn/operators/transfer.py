@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.operators.spectrum import leading_eigenvalues
+
 def _size():
     return F.abs(F.col("value"))
 
@@ -160,18 +160,11 @@ def relative_to_max(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.join(top, list(by)).withColumn(value, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
-def spectral_radius(t: DataFrame, n: int, most: int = 500) -> DataFrame:
-    """Largest and smallest absolute eigenvalue of matrices of at most ``most`` rows, each dense in one task."""
-    if n > most:
-        raise ValueError(f"eigenvalues are for matrices of at most {most} rows")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((n, n))
-        m[pdf.out_idx, pdf.in_idx] = pdf.value
-        e = np.abs(np.linalg.eigvals(m))
-        return pd.DataFrame({"structure": [pdf.structure.iloc[0]], "spectral_radius": [e.max()], "least_eigenvalue": [e.min()]})
-
-    return t.groupBy("structure").applyInPandas(run, "structure string, spectral_radius double, least_eigenvalue double")
+def spectral_radius(t: DataFrame, rounds: int = 300, tolerance: float = 1e-7) -> DataFrame:
+    """``structure, spectral_radius, residual``: the size of every matrix's leading eigenvalue, for any number of rows; see ``spectrum.leading_eigenvalues``."""
+    values, _ = leading_eigenvalues(t, 1, rounds, tolerance)
+    size = F.sqrt(F.col("eigenvalue") * F.col("eigenvalue") + F.col("imaginary") * F.col("imaginary"))
+    return values.select("structure", size.alias("spectral_radius"), "residual")
 
 
 def overall_statistics(stats: DataFrame) -> DataFrame:

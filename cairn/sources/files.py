@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
-import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources import archives
+from cairn.sources.stl import read_stl  # noqa: F401  beside the other readers
+
 TRIANGLES = "object_id string, face_id int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double"
 
 
@@ -18,42 +21,6 @@ def _object_id(path):
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
 
 
-def parse_stl(data: bytes) -> np.ndarray:
-    """Triangles of a binary or text STL as an array of shape (n, 9); raises ``ValueError`` if it is neither."""
-    if len(data) >= 84 and len(data) == 84 + 50 * struct.unpack_from("<I", data, 80)[0]:
-        rows = np.frombuffer(data, np.dtype([("n", "<f4", 3), ("v", "<f4", 9), ("a", "<u2")]), offset=84)
-        return rows["v"].astype(np.float64)
-    if not data.lstrip()[:5].lower() == b"solid":
-        raise ValueError("not an STL file")
-    words = data.split()
-    at = [n for n, w in enumerate(words) if w == b"vertex"]
-    try:
-        flat = np.array([[float(x) for x in words[n + 1 : n + 4]] for n in at], dtype=float)
-        return flat.reshape(-1, 9)
-    except ValueError as e:
-        raise ValueError("broken text STL") from e
-
-
-def read_stl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Triangles of all meshes under ``path``, and ``object_id, error`` of the files that aren't meshes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_object_id("path").alias("object_id"), "content")
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                try:
-                    t, error = parse_stl(bytes(r.content)), None
-                except ValueError as e:
-                    t, error = np.full((1, 9), np.nan), str(e)
-                out = pd.DataFrame(t, columns=[f"{v}{a}" for v in "abc" for a in "xyz"])
-                out.insert(0, "face_id", np.arange(len(out), dtype=np.int32))
-                out.insert(0, "object_id", r.object_id)
-                yield out.assign(error=error)
-
-    rows = files.mapInPandas(run, TRIANGLES + ", error string")
-    return rows.where("error is null").drop("error"), rows.where("error is not null").select("object_id", "error")
-
-
 def mesh(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Triangles from ``vertices(object_id, vid, x, y, z)`` and ``faces(object_id, fid, a, b, c)``."""
     out = faces.select("object_id", F.col("fid").alias("face_id"), *[F.col(v).alias(f"_{v}") for v in "abc"])
@@ -96,56 +63,44 @@ def scan_grids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_mesh_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Triangles of all ``.npz`` meshes under ``path`` that hold ``vertices`` and ``faces``; other archives have none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%.npz'")
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                held = np.load(io.BytesIO(bytes(r.content)))
-                if {"vertices", "faces"} <= {*held.files}:
-                    flat = held["vertices"].astype(float)[held["faces"].astype(int)].reshape(-1, 9)
-                    out = pd.DataFrame(flat, columns=[f"{v}{a}" for v in "abc" for a in "xyz"])
-                    out.insert(0, "face_id", np.arange(len(out), dtype=np.int32))
-                    out.insert(0, "object_id", r.object_id)
-                    yield out
+    """Triangles of all meshes under ``path`` that can be read; see ``scan_mesh_archives``."""
+    return scan_mesh_archives(spark, path)[0]
 
-    return files.select(_object_id("path").alias("object_id"), "content").mapInPandas(run, TRIANGLES)
 
+def scan_mesh_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Triangles of all ``.npz`` meshes under ``path`` that hold ``vertices`` and ``faces``, and ``object_id, error`` of archives that can't be read.
 
-def read_distance_maps(spark: SparkSession, path: str) -> DataFrame:
-    """``object_id, view_id, row, col, distance, hit`` of the maps that ``sinks.write_distance_maps`` wrote."""
+    Archives without these arrays are no meshes and give nothing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%.npz'")
-    files = files.select(F.regexp_extract("path", r"([^/]+)/view_\d+\.npz$", 1).alias("object_id"), F.regexp_extract("path", r"view_(\d+)\.npz$", 1).cast("int").alias("view_id"), "content")
+    corners = [f"{v}{a}" for v in "abc" for a in "xyz"]
 
     def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                held = np.load(io.BytesIO(bytes(r.content)))
-                row, col = np.indices(held["distances"].shape).reshape(2, -1)
-                yield pd.DataFrame({"object_id": r.object_id, "view_id": r.view_id, "row": row, "col": col, "distance": held["distances"].reshape(-1), "hit": held["hits"].reshape(-1).astype(np.int32)})
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    held = np.load(io.BytesIO(content.as_py()))
+                    if not {"vertices", "faces"} <= {*held.files}:
+                        continue
+                    flat, error = held["vertices"].astype(float)[held["faces"].astype(int)].reshape(-1, 9), None
+                except Exception as e:  # noqa: BLE001  whatever a broken file raises becomes its row
+                    flat, error = np.full((1, 9), np.nan), f"{type(e).__name__}: {e}"
+                n = len(flat)
+                values = [pa.array([name] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(np.ascontiguousarray(flat[:, c])) for c in range(9)), pa.array([error] * n, pa.string())]
+                yield pa.RecordBatch.from_arrays(values, names=["object_id", "face_id", *corners, "error"])
 
-    return files.mapInPandas(run, "object_id string, view_id int, row int, col int, distance float, hit int")
+    rows = files.select(_object_id("path").alias("object_id"), "content").mapInArrow(run, TRIANGLES + ", error string")
+    return rows.where("error is null").drop("error"), rows.where("error is not null").select("object_id", "error")
 
 
-def read_ray_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Rays of ``level_L/xx/HASH_rays.npz`` archives, with level and hash from the path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%_rays.npz'")
-    files = files.select(F.regexp_extract("path", r"level_(\d+)/", 1).cast("int").alias("level"), F.regexp_extract("path", r"([^/]+)_rays\.npz$", 1).alias("hash"), "content")
-    schema = "level int, hash string, ray_id int, ox float, oy float, oz float, dx float, dy float, dz float, distance float, hit int, face_id int, view_id int"
+def read_distance_maps(spark: SparkSession, path: str) -> DataFrame:
+    """``object_id, view_id, row, col, distance, hit`` of the maps that ``archives.write_distance_maps`` wrote; see ``archives`` for those that can't be read."""
+    return archives.read_archives(spark, path, "maps").where("error IS NULL").drop("error")
 
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                held = np.load(io.BytesIO(bytes(r.content)))
-                n = len(held["distances"])
-                extra = {c: held[k].astype(np.int32) if k in held.files else np.full(n, -1, np.int32) for c, k in (("hit", "hits"), ("face_id", "face_ids"), ("view_id", "view_ids"))}
-                o, d = held["origins"].reshape(n, 3), held["directions"].reshape(n, 3)
-                yield pd.DataFrame(
-                    {"level": r.level, "hash": r.hash, "ray_id": np.arange(n, dtype=np.int32)} | {f"o{a}": o[:, i] for i, a in enumerate("xyz")} | {f"d{a}": d[:, i] for i, a in enumerate("xyz")} | {"distance": held["distances"]} | extra
-                )
-
-    return files.mapInPandas(run, schema)
+
+def read_ray_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Rays of ``level_L/xx/HASH_rays.npz`` archives, with level and hash from the path; see ``archives`` for those that can't be read."""
+    return archives.read_archives(spark, path, "rays").where("error IS NULL").drop("error")
 
 
 def discover_objects(spark: SparkSession, path: str) -> DataFrame:

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import schemas
 from cairn.plans.stages import materialize
-from cairn.sources import store
+from cairn.sources.archives import write_distance_maps, write_rays  # noqa: F401  beside the other sinks
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str, compressed: bool = True, mode: str = "overwrite") -> None:
@@ -157,41 +155,6 @@ def read_splits_json(spark: SparkSession, path: str) -> DataFrame:
     return load_split_documents(spark.read.schema("hash string, part int, objects map<string,string>, trivial boolean").json(path))
 
 
-def _archives(df: DataFrame, key: list[str], order: list[str], write) -> int:
-    """One file for each ``key``, whose rows meet in a task; returns how many. ``write(key values, frame)`` repeats without harm."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        write(pdf.iloc[0][key].tolist(), pdf.sort_values(order))
-        return pd.DataFrame({"n": [1]})
-
-    return df.groupBy(*key).applyInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def write_rays(rays: DataFrame, path: str) -> int:
-    """Rays of each content as ``level_L/xx/HASH_rays.npz``; see ``files.read_ray_archives``. Returns the number of archives."""
-
-    def write(key, pdf):
-        level, name = key
-        xyz = lambda p: pdf[[f"{p}{a}" for a in "xyz"]].to_numpy(np.float32)
-        whole = lambda c: pdf[c].to_numpy(np.int32)
-        data = store.npz(origins=xyz("o"), directions=xyz("d"), distances=pdf["distance"].to_numpy(np.float32), hits=whole("hit"), face_ids=whole("face_id"), view_ids=whole("view_id"))
-        store.put(f"{path}/level_{level}/{name[:2]}/{name}_rays.npz", data)
-
-    return _archives(rays, ["level", "hash"], ["ray_id"], write)
-
-
-def write_distance_maps(maps: DataFrame, path: str) -> int:
-    """``object_id, view_id, row, col, distance, hit`` as ``OBJECT/view_NNN.npz`` with two images; returns the number of files."""
-
-    def write(key, pdf):
-        tall, wide = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
-        distance, hit = np.zeros((tall, wide), np.float32), np.zeros((tall, wide), np.uint8)
-        distance[pdf["row"], pdf["col"]], hit[pdf["row"], pdf["col"]] = pdf["distance"], pdf["hit"]
-        store.put(f"{path}/{key[0]}/view_{key[1]:03d}.npz", store.npz(distances=distance, hits=hit))
-
-    return _archives(maps, ["object_id", "view_id"], ["row", "col"], write)
-
-
 def light_metadata(matrices: DataFrame, properties: dict, resolution: int, patches: int, n_sh: int) -> DataFrame:
     """The light-transport dataset's one-row document: structures, matrix size, entries and the medium's properties."""
     totals = matrices.agg(F.countDistinct("structure").alias("num_structures"), F.count("*").alias("num_entries"))

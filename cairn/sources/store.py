@@ -28,3 +28,68 @@ def npz(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez_compressed(out, **arrays)
     return out.getvalue()
+
+
+def canonical(uri: str) -> str:
+    """The URI that ``files`` gives for ``uri``."""
+    return uri if "://" in uri else "file://" + uri.removeprefix("file:")
+
+
+def files(uri: str, endings: tuple[str, ...], missing_ok: bool = False) -> list[tuple[str, int]]:
+    """``(URI, size)`` of the files under ``uri`` with these endings, in order of names; folders that begin with ``_`` are passed over.
+
+    A path that isn't there raises ``FileNotFoundError`` unless ``missing_ok``.
+    """
+    from pyarrow import fs as pafs
+
+    fs, path = filesystem(uri)
+    kind = fs.get_file_info(path).type
+    if kind == pafs.FileType.NotFound:
+        if missing_ok:
+            return []
+        raise FileNotFoundError(f"no such path: {uri}")
+    head = canonical(uri).rstrip("/")
+    if kind == pafs.FileType.File:
+        return [(head, fs.get_file_info(path).size)] if path.endswith(endings) else []
+    root = path.rstrip("/")
+    inside = ((f.path[len(root) :], f) for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)))
+    found = [(head + rest, f.size) for rest, f in inside if f.type == pafs.FileType.File and rest.endswith(endings) and "/_" not in rest and "/." not in rest]
+    return sorted(found)
+
+
+def reader(uri: str):
+    """An open file that can seek."""
+    fs, path = filesystem(uri)
+    return fs.open_input_file(path)
+
+
+def writer(uri: str):
+    """An output stream to a new file, whose folders are made."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return fs.open_output_stream(path)
+
+
+def move(source: str, target: str) -> None:
+    """Rename a file, in place of what was there."""
+    fs, a = filesystem(source)
+    _, b = filesystem(target)
+    fs.create_dir(b.rsplit("/", 1)[0], recursive=True)
+    fs.move(a, b)
+
+
+def delete(uri: str) -> None:
+    fs, path = filesystem(uri)
+    fs.delete_file(path)
+
+
+def delete_folder(uri: str) -> None:
+    """Delete a folder, and the one above it if that is empty then; nothing happens if it isn't there."""
+    from pyarrow import fs as pafs
+
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
+    above = path.rsplit("/", 1)[0]
+    if fs.get_file_info(above).type != pafs.FileType.NotFound and not fs.get_file_info(pafs.FileSelector(above)):
+        fs.delete_dir(above)

@@ -218,7 +218,7 @@ def test_matrix_and_morph(spark):
     s = transfer.statistics(t, 3).first()
     assert (s.min, s.max, s.mean, s.std, s.nnz_ratio) == pytest.approx((-3, 4, m.mean(), m.std(), 4 / 9))
     assert transfer.symmetry_error(t).first().symmetry_error == 3
-    assert transfer.spectral_radius(t, 3).first().spectral_radius == pytest.approx(4)
+    assert transfer.spectral_radius(t).first().spectral_radius == pytest.approx(4)
     pts = spark.createDataFrame([("k", n, float(n), 0.0, 0.0) for n in range(5)], "key string, id long, x double, y double, z double")
     plan = morph.sinkhorn(morph.distances(pts, pts, "key"), "key", 0.05)
     total = plan.agg(F.sum("weight"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")))).first()
