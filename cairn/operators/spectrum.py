@@ -59,15 +59,20 @@ def _fits(vectors: DataFrame, tolerance: float) -> DataFrame:
     """``structure, real, size, eigenvalue, imaginary, residual, converged`` from three successive products."""
     dots = vectors.groupBy("structure").agg(*[F.sum(F.col(f"w{i}") * F.col(f"w{j}")).alias(f"g{i}{j}") for i in range(3) for j in range(i, 3)])
     c = {k: F.col(k) for k in ("g00", "g01", "g02", "g11", "g12", "g22")}
-    root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x))
-    one = dots.withColumn("lambda", F.when(c["g00"] > 0, c["g01"] / c["g00"]).otherwise(0.0))
-    one = one.withColumn("one", F.when(c["g11"] > 0, root(1 - c["g01"] * c["g01"] / (c["g00"] * c["g11"]))).otherwise(0.0))
     spread = c["g00"] * c["g11"] - c["g01"] * c["g01"]
-    two = one.withColumns({"a": F.when(spread > 0, (c["g12"] * c["g00"] - c["g02"] * c["g01"]) / spread), "b": F.when(spread > 0, (c["g02"] * c["g11"] - c["g12"] * c["g01"]) / spread)})
-    two = two.withColumn("two", F.when(c["g22"] > 0, root(1 - (F.col("a") * c["g12"] + F.col("b") * c["g02"]) / c["g22"])).otherwise(0.0))
+    one = dots.select(
+        "structure", "g11", "g22", F.when(c["g00"] > 0, c["g01"] / c["g00"]).otherwise(0.0).alias("lambda"),
+        F.when(spread > 0, (c["g12"] * c["g00"] - c["g02"] * c["g01"]) / spread).alias("a"), F.when(spread > 0, (c["g02"] * c["g11"] - c["g12"] * c["g01"]) / spread).alias("b"),
+    )
+    # the gaps themselves are added up, as differences of inner products would lose half of the digits
+    gap = F.col("w1") - F.col("lambda") * F.col("w0")
+    gap2 = F.col("w2") - F.col("a") * F.col("w1") - F.col("b") * F.col("w0")
+    gaps = vectors.join(one, "structure").groupBy(*one.columns).agg(F.sum(gap * gap).alias("s1"), F.sum(gap2 * gap2).alias("s2"))
+    share = lambda s, g: F.when(F.col(g) > 0, F.sqrt(F.col(s) / F.col(g))).otherwise(0.0)
+    two = gaps.withColumns({"one": share("s1", "g11"), "two": share("s2", "g22")})
     disc = F.col("a") * F.col("a") / 4 + F.col("b")
-    real = (F.col("one") <= tolerance) | F.col("two").isNull() | (F.col("one") <= F.col("two")) | (disc >= 0)
     # two real ones of unlike size: the greater leads, and its own fit tells how far it has got
+    real = (F.col("one") <= tolerance) | F.col("a").isNull() | (F.col("one") <= F.col("two")) | (disc >= 0)
     return two.select(
         "structure", real.alias("real"), F.sqrt("g22").alias("size"), F.when(real, F.col("lambda")).otherwise(F.col("a") / 2).alias("eigenvalue"),
         F.when(real, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), -disc))).alias("imaginary"), F.when(real, F.col("one")).otherwise(F.col("two")).alias("residual"),
@@ -79,14 +84,16 @@ def _start(t: DataFrame, seed: str) -> DataFrame:
     return rows.select("structure", "idx", (0.5 + uniform(seed, F.col("idx"))).alias("x"))
 
 
-def leading_eigenvalues(t: DataFrame, count: int = 1, rounds: int = 300, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
+def leading_eigenvalues(t: DataFrame, count: int = 1, rounds: int = 300, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """The ``count`` eigenvalues of largest size of every matrix ``t(structure, out_idx, in_idx, value)``, and their vectors.
 
     Returns ``structure, nth, eigenvalue, imaginary, residual, converged`` and
     ``structure, nth, idx, right`` with unit vectors. ``residual`` is
     ``|T v - eigenvalue v| / |T v|``, or for a complex pair, of which only that
     with the positive imaginary part is listed, that of the plane it turns in.
-    The spectral radius is the size of the first.
+    The spectral radius is the size of the first. ``converged`` tells that the
+    iteration has; from the second on its matrix is only as good as the pairs
+    taken out, while ``residual`` is always of the matrix itself.
 
     Power iteration: a product is a join on the column and an aggregation by
     row, so neither a matrix nor a vector is held by one task, and rows may be
@@ -100,7 +107,7 @@ def leading_eigenvalues(t: DataFrame, count: int = 1, rounds: int = 300, toleran
     """
     t = t.groupBy("structure", "out_idx", "in_idx").agg(F.sum(F.coalesce("value", F.lit(0.0)).cast("double")).alias("value"))
     t = materialize(t.dropna(), "matrix")
-    found, values, vectors = None, None, None
+    whole, found, values, vectors = t, None, None, None
     for nth in range(count):
         right, fit = _iterate(t, _start(t, f"right{nth}"), found, rounds, tolerance)
         gone = t.select("structure").distinct().join(fit, "structure", "left_anti")  # their products have vanished
@@ -121,7 +128,13 @@ def leading_eigenvalues(t: DataFrame, count: int = 1, rounds: int = 300, toleran
             scale = both.groupBy("structure").agg(F.sum(F.col("left") * F.col("right")).alias("s")).where("s <> 0")
             more = both.join(scale, "structure").join(going, "structure").select("structure", "nth", "idx", "eigenvalue", "right", (F.col("left") / F.col("s")).alias("left"))
             found = materialize(more if found is None else found.union(more), "found")
-    return values, vectors
+    if count == 1:
+        return values, vectors
+    own = residuals(whole, values, vectors).withColumnRenamed("residual", "own")
+    size = F.abs("eigenvalue")
+    exact = F.when(F.col("nth") > 0, F.when(size > 0, F.col("own") / size).otherwise(F.col("own")))
+    values = values.join(own, ["structure", "nth"], "left").withColumn("residual", F.coalesce(exact, "residual")).drop("own")
+    return values.select("structure", "nth", "eigenvalue", "imaginary", "residual", "converged"), vectors
 
 
 def residuals(t: DataFrame, values: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def relative_to_max(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.join(top, list(by)).withColumn(value, F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
-def spectral_radius(t: DataFrame, rounds: int = 300, tolerance: float = 1e-7) -> DataFrame:
+def spectral_radius(t: DataFrame, rounds: int = 300, tolerance: float = 1e-9) -> DataFrame:
     """``structure, spectral_radius, residual``: the size of every matrix's leading eigenvalue, for any number of rows; see ``spectrum.leading_eigenvalues``."""
     values, _ = leading_eigenvalues(t, 1, rounds, tolerance)
     size = F.sqrt(F.col("eigenvalue") * F.col("eigenvalue") + F.col("imaginary") * F.col("imaginary"))

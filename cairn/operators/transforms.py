@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,11 +62,10 @@ def subsample(rays: DataFrame, key: str, row: str, k: int, seed: str = "sub") ->
     return rays.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
 
 
-def add_noise(rays: DataFrame, origin: float = 0.01, direction: float = 0.01, seed: int = 42) -> DataFrame:
-    """Gaussian noise on origins and directions, which stay unit vectors."""
-    out = rays
-    for n, a in enumerate("xyz"):
-        out = out.withColumns({f"o{a}": F.col(f"o{a}") + origin * F.randn(seed + n), f"d{a}": F.col(f"d{a}") + direction * F.randn(seed + 3 + n)})
+def add_noise(rays: DataFrame, origin: float = 0.01, direction: float = 0.01, seed: int = 42, key: str = "ray_id") -> DataFrame:
+    """Gaussian noise on origins and directions, which stay unit vectors; it follows from seed and ``key`` alone, so a task run again adds the same."""
+    gauss = lambda s: F.sqrt(-2.0 * F.ln(1.0 - uniform(f"{seed}{s}r", F.col(key)))) * F.cos(2 * math.pi * uniform(f"{seed}{s}a", F.col(key)))
+    out = rays.withColumns({f"{p}{a}": F.col(f"{p}{a}") + size * gauss(f"{p}{a}") for p, size in (("o", origin), ("d", direction)) for a in "xyz"})
     size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
     return out.withColumn("_n", size).withColumns({f"d{a}": F.col(f"d{a}") / F.col("_n") for a in "xyz"}).drop("_n")
 

@@ -90,7 +90,7 @@ def exact_transport(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, scal
     held_schema = "key {}, dst long, src long, cost long, price long, units long".format(pairs.schema["key"].dataType.simpleString())
     prices = materialize(sinks.withColumn("first_price", F.lit(0).cast("long")), "prices")
     held = pairs.sparkSession.createDataFrame([], held_schema)
-    epsilon, rounds = max(1, widest // 2), written()
+    epsilon, rounds = max(1, widest // scaling), written()
     while need:
         held = pairs.sparkSession.createDataFrame([], held_schema)
         while True:

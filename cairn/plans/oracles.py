@@ -213,9 +213,8 @@ ORACLE_SQL: dict[str, str] = {
     "empty_ratio": f"WITH {TREE} SELECT level::BIGINT AS level, count(*) AS total, count(*) FILTER (is_empty) AS empty, {r('100.0::DOUBLE * count(*) FILTER (is_empty) / count(*)')} AS empty_pct FROM tree GROUP BY level",
     "octant_distribution": f"WITH {TREE} SELECT level::BIGINT AS level, octant_index::BIGINT AS octant_index, count(*) AS count, count(*) FILTER (NOT is_empty) AS occupied FROM tree GROUP BY level, octant_index",
     "level_hash_frequency": f"WITH {TREE} SELECT level::BIGINT AS level, hash, count(*) AS count FROM tree GROUP BY level, hash",
-    "cooccurrence_pairs": f"""WITH {TREE}, own AS (SELECT DISTINCT object_id, hash FROM tree WHERE level = 1 AND NOT is_empty AND NOT is_full),
-        few AS (SELECT * FROM own WHERE hash IN (SELECT hash FROM own GROUP BY hash HAVING count(*) <= 1000))
-        SELECT a.hash AS hash_a, b.hash AS hash_b, count(*) AS objects FROM few a JOIN few b ON a.object_id = b.object_id AND a.hash < b.hash GROUP BY a.hash, b.hash""",
+    "cooccurrence_pairs": f"""WITH {TREE}, own AS (SELECT DISTINCT object_id, hash FROM tree WHERE level = 1 AND NOT is_empty AND NOT is_full)
+        SELECT a.hash AS hash_a, b.hash AS hash_b, count(*) AS objects FROM own a JOIN own b ON a.object_id = b.object_id AND a.hash < b.hash GROUP BY a.hash, b.hash""",
     "common_contents": f"""WITH {TREE} SELECT hash, count(DISTINCT object_id) AS objects FROM tree WHERE level = 1 AND NOT is_empty AND NOT is_full GROUP BY hash HAVING count(DISTINCT object_id) > 1000""",
     "thing_first_wins": "SELECT user_id AS thing_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "dedup_documents": "SELECT lang AS level, count(*) AS total, count(DISTINCT sha256(text)) AS \"unique\", count(DISTINCT source) AS objects FROM documents GROUP BY lang",
@@ -364,4 +363,4 @@ ORACLE_SQL: dict[str, str] = {
 }
 ORACLE_SQL["subvolume_hash_lists"] = ORACLE_SQL["subvolume_hash"]
 
-from cairn.plans import more_oracles  # noqa: E402, F401  adds its queries to these
+from cairn.plans import more_oracles, spatial_oracles  # noqa: E402, F401  add their queries to these

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import rounded, uniform
-from cairn.operators import dataset, harmonics, metadata, morph, octree, patches, rays, registry, scatter, sparse, splits, transfer, transforms, voxel
+from cairn.operators import dataset, harmonics, metadata, morph, octree, patches, raygen, rays, registry, scatter, sparse, splits, transfer, transforms, voxel
 from cairn.plans.stages import materialize, table
 from cairn.sources import adapters as src
 
@@ -392,12 +392,12 @@ def views_sphere(spark, d):
 
 @query
 def rays_sphere(spark, d):
-    return rays.sphere_rays(spark, 6, 30, 8.0)
+    return raygen.sphere_rays(raygen.object_boxes(src.cells(spark, d), R), 3, 6)
 
 
 @query
 def rays_all_faces(spark, d):
-    return rays.face_rays(spark, 50, 8.0)
+    return raygen.face_rays(raygen.object_boxes(src.cells(spark, d), R), 5)
 
 
 @query
@@ -629,7 +629,7 @@ def sh_error_summary(spark, d):
 
 @query
 def spectral_radius(spark, d):
-    return transfer.spectral_radius(src.matrix(spark, d), N)
+    return transfer.spectral_radius(src.matrix(spark, d).withColumn("value", F.abs("value")))
 
 
 @query
@@ -694,4 +694,4 @@ def sinkhorn_plan(spark, d):
     return morph.transport_cost(morph.sinkhorn(pairs, "object_id", 0.05), "key")
 
 
-from cairn.plans import more_queries  # noqa: E402, F401  adds its queries to these
+from cairn.plans import more_queries, spatial_queries  # noqa: E402, F401  add their queries to these

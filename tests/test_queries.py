@@ -7,7 +7,7 @@ from cairn.plans.oracles import ORACLE_SQL
 from cairn.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY = {"interior_fill", "add_noise", "spectral_radius", "monte_carlo_transfer", "sinkhorn_plan"}
+ROWS_ONLY = {"interior_fill", "monte_carlo_transfer", "sinkhorn_plan"}
 #: These tables have fewer objects than the one's threshold and no light on the other's face.
 EMPTY_HERE = {"common_contents", "view_radiance"}
 
