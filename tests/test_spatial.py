@@ -242,7 +242,13 @@ def test_versions(spark, tmp_path):
         two.update(sources(a="7", b="2"), cells, 8, 4)  # version 3 is there already
     with pytest.raises(ValueError):
         three.update(sources(a="1").union(sources(a="2")), cells, 8, 4)
-    assert len(three.vacuum(keep=1)) == 1 and three.versions() == [3] and three.differences(sources(a="1", b="2")).isEmpty()
+    # nothing to make, only an object to leave out
+    four = three.update(sources(a="1"), cells, 8, 4)
+    assert {r.object_id for r in four.tree().collect()} == {"a"} and four.differences(sources(a="1")).isEmpty()
+    five = four.update(sources(a="1", b="2"), cells, 8, 4)  # its contents are still there
+    assert {r.object_id: r.made_in for r in five.manifest().collect()} == {"a": 3, "b": 5} and five.differences(sources(a="1", b="2")).isEmpty()
+    three = five
+    assert len(three.vacuum(keep=1)) == 1 and three.versions() == [5] and three.differences(sources(a="1", b="2")).isEmpty()
 
 
 # rays, containment, sketches, pictures
