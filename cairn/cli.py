@@ -1,18 +1,37 @@
-"""Command line: ``python -m cairn.cli build|splits``."""
+"""Command line: ``python -m cairn.cli build|update|splits``."""
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from cairn.operators import mesh, metadata, voxel
 from cairn.plans.build import build, reassign_splits
+from cairn.plans.manifest import Dataset
 from cairn.session import session
 from cairn.sources import files
 
 
+def update(spark: SparkSession, source: str, path: str, resolution: int, least: int, kind: str, solid: bool) -> Dataset:
+    """The next version of the dataset at ``path``: objects whose file in ``source`` is new or has changed are made, those without a file left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    sources = found.select(name.alias("object_id"), F.sha2("content", 256).alias("source_hash"))
+
+    def cells(todo: DataFrame) -> DataFrame:
+        if kind == "stl":
+            return mesh.voxelize_mesh(files.read_stl(spark, source)[0].join(todo, "object_id", "left_semi"), resolution, solid)
+        grids = files.scan_grids(spark, source)[0].join(todo, "object_id", "left_semi")
+        return voxel.fill_interior(grids, resolution) if solid else grids
+
+    return Dataset(spark, path).update(sources, cells, resolution, least)
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="cairn")
-    p.add_argument("command", choices=["build", "splits"])
+    p.add_argument("command", choices=["build", "update", "splits"])
     p.add_argument("--input", help="folder of STL meshes or npz grids")
     p.add_argument("--output", required=True)
     p.add_argument("--resolution", type=int, default=128)
@@ -29,7 +48,11 @@ def main(argv: list[str] | None = None) -> None:
         reassign_splits(spark, a.output, a.split, a.seed).groupBy("split").count().show()
         return
     if not a.input:
-        p.error("build needs --input")
+        p.error(f"{a.command} needs --input")
+    if a.command == "update":
+        done = update(spark, a.input, a.output, a.resolution, a.min_resolution, a.format, a.solid)
+        print(f"version {done.version}: {done.manifest().count()} objects")
+        return
     if a.format == "stl":
         triangles, errors = files.read_stl(spark, a.input)
         for r in errors.limit(20).collect():

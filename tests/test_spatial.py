@@ -251,6 +251,23 @@ def test_versions(spark, tmp_path):
     assert len(three.vacuum(keep=1)) == 1 and three.versions() == [5] and three.differences(sources(a="1", b="2")).isEmpty()
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from cairn.cli import main
+
+    (tmp_path / "in").mkdir()
+    for n, name in enumerate("ab"):
+        np.save(tmp_path / f"in/{name}.npy", np.indices((8, 8, 8)).sum(0) < 5 + n)
+    args = ["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--format", "npz", "--resolution", "8", "--no-solid"]
+    main(["update", *args])
+    np.save(tmp_path / "in/b.npy", np.indices((8, 8, 8)).sum(0) < 3)
+    main(["update", *args])
+    assert "version 1: 2 objects" in (said := capsys.readouterr().out) and "version 2: 2 objects" in said
+    assert {r.object_id: r.made_in for r in Dataset(spark, str(tmp_path / "out")).manifest().collect()} == {"a": 1, "b": 2}
+    for bad in (["build", "--output", "x"], ["nothing", "--output", "x"], ["update", "--input", "x"]):
+        with pytest.raises(SystemExit):
+            main(bad)
+
+
 # rays, containment, sketches, pictures
 
 
