@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def template(source: SparkSession | DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows that a fixed pattern (rays, patches, cells) is made for, and what names them: one row of a session, or each object of a table."""
+    if isinstance(source, DataFrame):
+        return source, ["object_id"]
+    return source.range(1), []
+
+
+def number(value: float | Column) -> Column:
+    """A number that is the same for all rows, or the rows' own."""
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
 def hash_bits(seed: str, *cols: Column) -> Column:
     """60 pseudo-random bits of ``seed|col|col...`` as a bigint, the same in any engine with SHA-256."""
     digest = F.sha2(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in cols]), 256)

@@ -41,11 +41,14 @@ def inner_products(directions: DataFrame, order: int = 2) -> DataFrame:
     return sums.select("n", rows.alias("r")).select("r.a", "r.b", (F.col("r.p") * (4 * math.pi) / F.col("n")).alias("product"))
 
 
-def triple_product(spark, i: int, j: int, k: int, samples: int = 10_000, seed: str = "42") -> DataFrame:
-    """Monte-Carlo integral of three harmonics of order 2 over the sphere; 0 for an index of 9 or more."""
+def triple_product(source, i: int, j: int, k: int, samples: int = 10_000, seed: str = "42") -> DataFrame:
+    """Monte-Carlo integral of three harmonics of order 2 over the sphere; 0 for an index of 9 or more.
+
+    With a session, over ``samples`` hashed directions, else over those of a table, ``x, y, z``.
+    """
+    d = source if isinstance(source, DataFrame) else sphere_directions(source.range(samples), "id", seed)
     if max(i, j, k) >= 9:
-        return spark.range(1).select(F.lit(0.0).alias("integral"))
-    d = sphere_directions(spark.range(samples), "id", seed)
+        return d.agg(F.lit(0.0).alias("integral"))
     y = sh_basis(F.col("x"), F.col("y"), F.col("z"), 2)
     return d.agg((F.avg(y[i] * y[j] * y[k]) * (4 * math.pi)).alias("integral"))
 

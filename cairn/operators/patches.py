@@ -10,15 +10,26 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.columns import number, template
+
+
+def _names(patches: DataFrame) -> list[str]:
+    return [c for c in ("object_id", "patch_id") if c in patches.columns]
+
 
 def _sign(face: Column) -> Column:
     return F.when(face % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def boundary_patches(spark, low: tuple[float, float, float], high: tuple[float, float, float], per_face: int = 8) -> DataFrame:
-    """``6 * per_face²`` patches; on each face u runs fastest. u is the first axis that the face isn't perpendicular to."""
-    axis_of = lambda values, axis: F.when(axis == 0, float(values[0])).when(axis == 1, float(values[1])).otherwise(float(values[2]))
-    p = spark.range(6 * per_face * per_face).select(F.col("id").cast("int").alias("patch_id"))
+def boundary_patches(source, low, high, per_face: int = 8) -> DataFrame:
+    """``6 * per_face²`` patches; on each face u runs fastest. u is the first axis that the face isn't perpendicular to.
+
+    ``source`` is a session, with numbers as the box's ends, or a table of
+    objects, each of which has patches by the columns given as its ends.
+    """
+    axis_of = lambda values, axis: F.when(axis == 0, number(values[0])).when(axis == 1, number(values[1])).otherwise(number(values[2]))
+    rows, names = template(source)
+    p = rows.withColumn("patch_id", F.explode(F.sequence(F.lit(0), F.lit(6 * per_face * per_face - 1))))
     p = p.withColumns({"face_id": F.expr(f"int(patch_id div {per_face * per_face})"), "local_idx": F.expr(f"patch_id % {per_face * per_face}")})
     axis = F.expr("face_id div 2")
     u_axis, v_axis = F.when(axis == 0, 1).otherwise(0), F.when(axis == 2, 1).otherwise(2)
@@ -31,7 +42,7 @@ def boundary_patches(spark, low: tuple[float, float, float], high: tuple[float,
     centre = lambda n: F.when(axis == n, at).when(u_axis == n, u_mid).otherwise(v_mid)
     normal = lambda n: F.when(axis == n, _sign(F.col("face_id"))).otherwise(0.0)
     return p.select(
-        "patch_id", "face_id", "local_idx", *[centre(n).alias(f"center_{a}") for n, a in enumerate("xyz")], *[normal(n).alias(f"normal_{a}") for n, a in enumerate("xyz")],
+        *names, "patch_id", "face_id", "local_idx", *[centre(n).alias(f"center_{a}") for n, a in enumerate("xyz")], *[normal(n).alias(f"normal_{a}") for n, a in enumerate("xyz")],
         (u_step * v_step).alias("area"), "u_min", "u_max", "v_min", "v_max",
     )
 
@@ -49,7 +60,7 @@ def sample_points(patches: DataFrame, u: Column, v: Column) -> DataFrame:
     pu, pv = F.col("u_min") + u * (F.col("u_max") - F.col("u_min")), F.col("v_min") + v * (F.col("v_max") - F.col("v_min"))
     axis = F.expr("face_id div 2")
     coordinate = {"x": F.when(axis == 0, F.col("center_x")).otherwise(pu), "y": F.when(axis == 1, F.col("center_y")).when(axis == 0, pu).otherwise(pv), "z": F.when(axis == 2, F.col("center_z")).otherwise(pv)}
-    return patches.select("patch_id", *[c.alias(a) for a, c in coordinate.items()])
+    return patches.select(*_names(patches), *[c.alias(a) for a, c in coordinate.items()])
 
 
 def exit_patch(points: DataFrame, low: float, high: float, per_face: int) -> DataFrame:
@@ -82,4 +93,4 @@ def solid_angle(patches: DataFrame, point: tuple[float, float, float]) -> DataFr
     r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
     r = F.sqrt(r2)
     cos = -(d[0] * F.col("normal_x") + d[1] * F.col("normal_y") + d[2] * F.col("normal_z")) / r
-    return patches.select("patch_id", F.when(r < 1e-8, 2 * math.pi).when(cos <= 0, 0.0).otherwise(F.col("area") * cos / r2).alias("solid_angle"))
+    return patches.select(*_names(patches), F.when(r < 1e-8, 2 * math.pi).when(cos <= 0, 0.0).otherwise(F.col("area") * cos / r2).alias("solid_angle"))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.columns import uniform
+from cairn.functions.columns import number, template, uniform
 
 PARALLEL = 1e-8
 
@@ -25,13 +25,18 @@ def _unit(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     return df.withColumn("_n", n).withColumns({c: F.col(c) / F.col("_n") for c in (x, y, z)}).drop("_n")
 
 
-def sphere_views(spark, divisions: int, radius: float) -> DataFrame:
-    """``divisions``² cameras on a sphere, ``view_id, px, py, pz``: elevations from 0.1 to 0.9 pi, azimuths once round."""
+def sphere_views(source, divisions: int, radius) -> DataFrame:
+    """``divisions``² cameras on a sphere, ``view_id, px, py, pz``: elevations from 0.1 to 0.9 pi, azimuths once round.
+
+    Like the other samplers it takes a session, for one set, or a table of
+    objects, each of which gets its own by columns in place of numbers.
+    """
+    (rows, names), radius = template(source), number(radius)
     step = 0.8 * math.pi / (divisions - 1) if divisions > 1 else 0.0
-    v = spark.range(1).select(_axis(0, divisions - 1).alias("e")).withColumn("a", _axis(0, divisions - 1))
+    v = rows.withColumn("e", _axis(0, divisions - 1)).withColumn("a", _axis(0, divisions - 1))
     elev, azim = F.lit(0.1 * math.pi) + F.col("e") * step, F.col("a") * (2 * math.pi / divisions)
     return v.select(
-        (F.col("e") * divisions + F.col("a")).cast("int").alias("view_id"),
+        *names, (F.col("e") * divisions + F.col("a")).cast("int").alias("view_id"),
         (radius * F.sin(elev) * F.cos(azim)).alias("px"), (radius * F.sin(elev) * F.sin(azim)).alias("py"), (radius * F.cos(elev)).alias("pz"),
     )
 
@@ -66,13 +71,14 @@ def face_rays(spark, samples: int, half: float, seed: str = "42") -> DataFrame:
     )
 
 
-def orthographic_rays(spark, width: int, height: int, extent: float, distance: float) -> DataFrame:
+def orthographic_rays(source, width: int, height: int, extent, distance) -> DataFrame:
     """A raster of parallel rays along -Z from the plane z = ``distance``; one of a single row or column begins at the border."""
-    r = spark.range(1).select(_axis(0, height - 1).alias("row")).withColumn("col", _axis(0, width - 1))
+    (rows, names), extent = template(source), number(extent)
+    r = rows.withColumn("row", _axis(0, height - 1)).withColumn("col", _axis(0, width - 1))
     x = -extent / 2 + F.col("col") * (extent / max(1, width - 1))
     y = -extent / 2 + F.col("row") * (extent / max(1, height - 1))
     zero = F.lit(0.0)
-    return r.select("row", "col", x.alias("ox"), y.alias("oy"), F.lit(float(distance)).alias("oz"), zero.alias("dx"), zero.alias("dy"), F.lit(-1.0).alias("dz"))
+    return r.select(*names, "row", "col", x.alias("ox"), y.alias("oy"), number(distance).alias("oz"), zero.alias("dx"), zero.alias("dy"), F.lit(-1.0).alias("dz"))
 
 
 def _cross(a, b):
@@ -84,23 +90,25 @@ def _norm(v):
     return [c / n for c in v]
 
 
-def perspective_rays(spark, width: int, height: int, camera, look_at, up, fov: float = 60.0) -> DataFrame:
-    """Rays of a pinhole camera through pixel centres; ``fov`` is vertical, in degrees."""
+def perspective_rays(source, width: int, height: int, camera, look_at, up, fov: float = 60.0, size=1.0) -> DataFrame:
+    """Rays of a pinhole camera through pixel centres; ``fov`` is vertical, in degrees. Camera and ``look_at`` are in units of ``size``."""
     forward = _norm([b - a for a, b in zip(camera, look_at, strict=True)])
     right = _norm(_cross(forward, up))
     above = _norm(_cross(right, forward))
     tall = math.tan(math.radians(fov) / 2)
     wide = width / height * tall
-    r = spark.range(1).select(_axis(0, height - 1).alias("row")).withColumn("col", _axis(0, width - 1))
+    rows, names = template(source)
+    r = rows.withColumn("row", _axis(0, height - 1)).withColumn("col", _axis(0, width - 1))
     sx, sy = (2 * (F.col("col") + 0.5) / width - 1) * wide, (1 - 2 * (F.col("row") + 0.5) / height) * tall
     r = r.withColumns({f"d{c}": F.lit(forward[n]) + sx * right[n] + sy * above[n] for n, c in enumerate("xyz")})
-    return _unit(r, "dx", "dy", "dz").select("row", "col", *[F.lit(float(camera[n])).alias(f"o{c}") for n, c in enumerate("xyz")], "dx", "dy", "dz")
+    return _unit(r, "dx", "dy", "dz").select(*names, "row", "col", *[(number(size) * float(camera[n])).alias(f"o{c}") for n, c in enumerate("xyz")], "dx", "dy", "dz")
 
 
-def turntable(spark, views: int, radius: float) -> DataFrame:
+def turntable(source, views: int, radius) -> DataFrame:
     """Cameras evenly round the z axis at 0.3 of the radius above the plane."""
-    a = F.col("id") * (2 * math.pi / views)
-    return spark.range(views).select(F.col("id").cast("int").alias("view_id"), (radius * F.cos(a)).alias("px"), (radius * F.sin(a)).alias("py"), F.lit(0.3 * radius).alias("pz"))
+    (rows, names), radius = template(source), number(radius)
+    a = F.col("view_id") * (2 * math.pi / views)
+    return rows.withColumn("view_id", _axis(0, views - 1)).select(*names, "view_id", (radius * F.cos(a)).alias("px"), (radius * F.sin(a)).alias("py"), (0.3 * radius).alias("pz"))
 
 
 def adaptive_samples(tree: DataFrame, samples: int, least: int) -> DataFrame:

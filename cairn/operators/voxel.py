@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.functions.columns import number, template
+
 
 def voxel_pitch(points: DataFrame, resolution: int) -> DataFrame:
     """``object_id``, the bounding box, its extents and ``pitch``: the largest extent over ``resolution``."""
@@ -87,12 +89,14 @@ def point_cloud(cells: DataFrame) -> DataFrame:
     return cells.select("object_id", *[F.col(c).cast("double").alias(a) for c, a in zip("ijk", "xyz", strict=True)], weight.alias("weight"))
 
 
-def sphere(spark, resolution: int, radius: float | None = None) -> DataFrame:
-    """The analytic ball around the grid's centre, a quarter of the grid in radius by default."""
-    c, r = resolution / 2, resolution / 4 if radius is None else radius
+def sphere(source, resolution: int, radius=None) -> DataFrame:
+    """The analytic ball around the grid's centre, a quarter of the grid in radius by default: one for a session, or one for every object of a table."""
+    c, r = resolution / 2, number(resolution / 4 if radius is None else radius)
     axis = F.sequence(F.lit(0), F.lit(resolution - 1))
-    grid = spark.range(1).select(F.lit("sphere").alias("object_id"), F.explode(axis).alias("i")).withColumn("j", F.explode(axis)).withColumn("k", F.explode(axis))
-    return grid.where((F.col("i") - c) ** 2 + (F.col("j") - c) ** 2 + (F.col("k") - c) ** 2 <= r * r)
+    rows, names = template(source)
+    grid = rows if names else rows.select(F.lit("sphere").alias("object_id"))
+    grid = grid.withColumn("_r", r).withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis)).withColumn("k", F.explode(axis))
+    return grid.where((F.col("i") - c) ** 2 + (F.col("j") - c) ** 2 + (F.col("k") - c) ** 2 <= F.col("_r") * F.col("_r")).select("object_id", "i", "j", "k")
 
 
 def fill_interior(cells: DataFrame, resolution: int) -> DataFrame:

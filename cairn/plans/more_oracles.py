@@ -65,7 +65,6 @@ MORE = {
     "objects_range": f"WITH {OBJECTS} SELECT object_id FROM objects WHERE object_id >= '0050' ORDER BY 1 LIMIT 100",
     "random_object": f"WITH {OBJECTS} SELECT object_id FROM objects ORDER BY {bits('42', 'object_id')}, object_id LIMIT 1",
     "binarized": f"WITH {CELLS} SELECT object_id, count(*) AS n, sum(i * 10000 + j * 100 + k)::BIGINT AS checksum FROM cells WHERE (i + j + k) / 45.0::DOUBLE > 0.5 GROUP BY 1",
-    "sphere_grid": "SELECT 'sphere' AS object_id, i, j, k FROM range(16) a(i), range(16) b(j), range(16) c(k) WHERE (i - 8) * (i - 8) + (j - 8) * (j - 8) + (k - 8) * (k - 8) <= 16",
     "power_of_two_keys": "SELECT o_orderkey FROM orders WHERE o_orderkey > 0 AND o_orderkey & (o_orderkey - 1) = 0",
     "shallow_tree": f"SELECT * FROM {of('octree_map')} WHERE level = 1",
     "first_children": f"""WITH {TREE}, k AS (
@@ -109,10 +108,8 @@ MORE = {
     "ray_stats_level_occupancy": f"""WITH {TRACED}, n AS (SELECT object_id, count(*) / 4096.0::DOUBLE AS occ FROM cells GROUP BY 1), ids AS (SELECT printf('%04d', p_partkey) AS object_id FROM part),
         met AS (SELECT DISTINCT level, object_id FROM traced), a AS (SELECT level, avg(coalesce(occ, 0)) AS mean FROM met JOIN ids USING (object_id) LEFT JOIN n USING (object_id) GROUP BY 1)
         SELECT level, count(*) AS n_rays, {r('any_value(mean)')} AS mean_occupancy FROM traced JOIN a USING (level) GROUP BY 1""",
-    "raster_of_one_column": f"""SELECT "row", 0::BIGINT AS col, -32.0::DOUBLE AS ox, {r('-32 + "row" * (64.0::DOUBLE / 29)')} AS oy, 100.0::DOUBLE AS oz, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, -1.0::DOUBLE AS dz FROM range(30) a("row")""",
     "sh_basis_4": f"WITH {DIRECTIONS} SELECT event_id, {', '.join(r(y) + f' AS y{n + 9}' for n, y in enumerate(HIGH))} FROM dirs",
-    "sh_triple": f"""WITH g AS (SELECT 1 - 2 * {u('42u', 'id')} AS z, {u('42v', 'id')} * 2 * pi() AS phi FROM range(10000) t(id)),
-        s AS (SELECT sqrt(greatest(0, 1 - z * z)) * cos(phi) AS x, sqrt(greatest(0, 1 - z * z)) * sin(phi) AS y, z FROM g)
+    "sh_triple": f"""WITH {DIRECTIONS}, s AS (SELECT x, y, z FROM dirs)
         {' UNION ALL '.join(f"SELECT '{i}{j}{k}' AS indices, {r(f'avg(({Y[i]}) * ({Y[j]}) * ({Y[k]})) * 4 * pi()')} AS integral FROM s" for i, j, k in TRIPLES)} UNION ALL SELECT '900', 0.0::DOUBLE""",
     "cosine_directions": f"WITH {UV} SELECT event_id, {', '.join(r(c) + f' AS {a}' for a, c in zip('xyz', LOCAL, strict=True))} FROM uv",
     "world_directions": f"""WITH {UV}, {DIRECTIONS}, l AS (SELECT event_id, x AS nx, y AS ny, z AS nz, {', '.join(f'{c} AS l{a}' for a, c in zip('xyz', LOCAL, strict=True))} FROM uv JOIN dirs USING (event_id)),

@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from cairn.functions.columns import is_power_of_two, rounded, sh_basis, uniform
+from cairn.functions.columns import is_power_of_two, padded_id, rounded, sh_basis, uniform
 from cairn.operators import dataset, harmonics, metadata, morph, octree, rays, registry, sparse, splits, transfer, transforms, voxel
 from cairn.plans import queries as q
 from cairn.plans.build import build, pending, source_hash
@@ -194,7 +194,7 @@ def binarized(spark, d):
 
 @query
 def sphere_grid(spark, d):
-    return voxel.sphere(spark, R)
+    return q._cell_digest(voxel.sphere(table(spark, d, "part").select(padded_id(F.col("p_partkey")).alias("object_id"), "p_size"), R, F.col("p_size") % 9))
 
 
 @query
@@ -330,7 +330,7 @@ def ray_stats_level_occupancy(spark, d):
 
 @query
 def raster_of_one_column(spark, d):
-    return rays.orthographic_rays(spark, 1, 30, 64.0, 100.0)
+    return rays.orthographic_rays(q.reaches(spark, d), 1, 6, 2 * F.col("reach"), 3 * F.col("reach"))
 
 
 @query
@@ -343,7 +343,7 @@ def sh_basis_4(spark, d):
 def sh_triple(spark, d):
     out = None
     for i, j, k in ((0, 0, 0), (1, 1, 0), (2, 2, 6), (3, 4, 5), (9, 0, 0)):
-        one = harmonics.triple_product(spark, i, j, k).select(F.lit(f"{i}{j}{k}").alias("indices"), "integral")
+        one = harmonics.triple_product(src.directions(spark, d), i, j, k).select(F.lit(f"{i}{j}{k}").alias("indices"), "integral")
         out = one if out is None else out.union(one)
     return out
 

@@ -109,21 +109,9 @@ g AS (SELECT object_id, vec_id * 10 + t - 10 AS src, t AS dst, x AS tx, y AS ty,
 plan AS (
   SELECT s.*, dst, tx, ty, tz, 0.75::DOUBLE AS weight FROM s JOIN g USING (object_id, src)
   UNION ALL SELECT s.*, dst + 100, tx, ty, tz, 0.25::DOUBLE FROM s JOIN g ON s.object_id = g.object_id AND s.src = g.src + 1)"""
-PATCHES = """ids AS (SELECT n::BIGINT AS patch_id, n // 64 AS face_id, n % 64 AS local_idx, n % 8 AS u, n % 64 // 8 AS v, n // 128 AS axis FROM range(384) g(n)),
-patches AS (
-  SELECT patch_id, face_id, local_idx, u, v, axis, CASE face_id % 2 WHEN 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sgn,
-         -8 + 2.0::DOUBLE * u AS u_min, -8 + 2.0::DOUBLE * (u + 1) AS u_max, -8 + 2.0::DOUBLE * v AS v_min, -8 + 2.0::DOUBLE * (v + 1) AS v_max FROM ids),
-mid AS (
-  SELECT *, CASE axis WHEN 0 THEN 8 * sgn ELSE u_min + 1 END AS center_x, CASE axis WHEN 1 THEN 8 * sgn WHEN 0 THEN u_min + 1 ELSE v_min + 1 END AS center_y,
-         CASE axis WHEN 2 THEN 8 * sgn ELSE v_min + 1 END AS center_z,
-         CASE axis WHEN 0 THEN sgn ELSE 0.0 END AS normal_x, CASE axis WHEN 1 THEN sgn ELSE 0.0 END AS normal_y, CASE axis WHEN 2 THEN sgn ELSE 0.0 END AS normal_z FROM patches)"""
 TURNS = f"turns AS (SELECT object_id, CASE WHEN {u('rot', 'object_id')} <= 0.5 THEN ({bits('rotk', 'object_id')} % 3 + 1) ELSE 0 END AS turns FROM objects)"
 FLIPS = f"flips AS (SELECT object_id, {u('flipi', 'object_id')} < 0.5 AS fi, {u('flipj', 'object_id')} < 0.5 AS fj, {u('flipk', 'object_id')} < 0.5 AS fk FROM objects)"
 DIGEST = "count(*) AS n, sum(i * 10000 + j * 100 + k)::BIGINT AS checksum"
-VIEWS = """views AS (
-  SELECT e * 6 + a AS view_id, 16 * sin(0.1 * pi() + e * (0.8 * pi() / 5)) * cos(a * (2 * pi() / 6)) AS px,
-         16 * sin(0.1 * pi() + e * (0.8 * pi() / 5)) * sin(a * (2 * pi() / 6)) AS py, 16 * cos(0.1 * pi() + e * (0.8 * pi() / 5)) AS pz
-  FROM range(6) x(e), range(6) y(a))"""
 BATCHES = f"keyed AS (SELECT object_id, row_number() OVER (ORDER BY {bits('42', 'object_id')}, object_id) - 1 AS position FROM objects), batched AS (SELECT object_id, position, position // 16 AS batch FROM keyed)"
 OFFSETS = "offs AS (SELECT a::INT AS di, b::INT AS dj, c::INT AS dk, abs(a) + abs(b) + abs(c) AS reach FROM range(-1, 2) x(a), range(-1, 2) y(b), range(-1, 2) z(c))"
 NODES = "nodes AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY i, j, k) - 1 AS id FROM cells)"
@@ -148,12 +136,6 @@ def _rounded(*cols: str) -> str:
     return ", ".join(f"{r(c)} AS {c}" for c in cols)
 
 
-def _face_rays(extra: str, by: str, key: str) -> str:
-    a, b = (f"(2 * {u('42' + s, *key.split(', '))} - 1) * 8" for s in "uv")
-    return f"""SELECT *, CASE axis WHEN 0 THEN 8 * sgn ELSE a END AS ox, CASE axis WHEN 1 THEN 8 * sgn WHEN 0 THEN a ELSE b END AS oy, CASE axis WHEN 2 THEN 8 * sgn ELSE b END AS oz
-      FROM (SELECT {extra}, face_id, n, face_id // 2 AS axis, CASE face_id % 2 WHEN 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sgn, {a} AS a, {b} AS b FROM {by})"""
-
-
 SIZES = "sizes AS (SELECT object_id, coalesce(n, 0) AS num_nodes FROM objects LEFT JOIN (SELECT object_id, count(*) AS n FROM cells GROUP BY object_id) USING (object_id))"
 DIFF_T = "(distance / sqrt(3 * (16.0::DOUBLE / pow(2.0, level)) * (16.0::DOUBLE / pow(2.0, level))))"
 HG = f"""g AS (SELECT event_id, {u('u', 'event_id')} AS u, {u('v', 'event_id')} AS v FROM events),
@@ -168,7 +150,6 @@ ERRORS = """errors AS (
 judged AS (
   SELECT *, CASE WHEN sample_count >= 10 AND weight_sq_sum / sample_count > 1e-10
     THEN 1 - greatest(0.0, least(1.0, sh_energy * 100.0::DOUBLE * 100.0 / sample_count / (weight_sq_sum / sample_count))) END AS error FROM errors)"""
-FORWARD = "camera AS (SELECT 40.0::DOUBLE AS cx, 30.0::DOUBLE AS cy, 20.0::DOUBLE AS cz, sqrt(2900.0::DOUBLE) AS n), ax AS (SELECT *, -cx / n AS fx, -cy / n AS fy, -cz / n AS fz FROM camera)"
 
 ORACLE_SQL: dict[str, str] = {
     "voxelize_points": f"""WITH {POINTS}, {BOX} SELECT DISTINCT object_id, least(15, floor((x - x0) / pitch))::BIGINT AS i, least(15, floor((y - y0) / pitch))::BIGINT AS j,
@@ -269,22 +250,6 @@ ORACLE_SQL: dict[str, str] = {
     "occupancy_jitter": f"""WITH {CELLS}, {OBJECTS}, grid AS (SELECT object_id, a.i, b.j, c.k FROM objects, range(16) a(i), range(16) b(j), range(16) c(k)),
         m AS (SELECT g.*, (c.i IS NOT NULL) <> ({u('jit', 'g.object_id', 'g.i', 'g.j', 'g.k')} < 0.01) AS lit FROM grid g LEFT JOIN cells c ON c.object_id = g.object_id AND c.i = g.i AND c.j = g.j AND c.k = g.k)
         SELECT object_id, {DIGEST} FROM m WHERE lit GROUP BY object_id""",
-    "views_sphere": f"WITH {VIEWS} SELECT view_id, {_rounded('px', 'py', 'pz')} FROM views",
-    "rays_sphere": f"""WITH {VIEWS}, src AS (SELECT * FROM views, range(6) f(face_id), range(10) m(n)), placed AS ({_face_rays('view_id, px, py, pz', 'src', 'view_id, face_id, n')}),
-        d AS (SELECT *, px - ox AS vx, py - oy AS vy, pz - oz AS vz FROM placed WHERE -(CASE axis WHEN 0 THEN px WHEN 1 THEN py ELSE pz END) * sgn / 16 > 1e-9)
-        SELECT view_id, face_id, n, {_rounded('ox', 'oy', 'oz')}, {r('vx / sqrt(vx * vx + vy * vy + vz * vz)')} AS dx, {r('vy / sqrt(vx * vx + vy * vy + vz * vz)')} AS dy,
-          {r('vz / sqrt(vx * vx + vy * vy + vz * vz)')} AS dz FROM d""",
-    "rays_all_faces": f"""WITH src AS (SELECT * FROM range(6) f(face_id), range(50) m(n)), placed AS ({_face_rays('1 AS one', 'src', 'face_id, n')})
-        SELECT face_id, n, {_rounded('ox', 'oy', 'oz')}, {r('CASE axis WHEN 0 THEN -sgn ELSE 0 END')} AS dx, {r('CASE axis WHEN 1 THEN -sgn ELSE 0 END')} AS dy, {r('CASE axis WHEN 2 THEN -sgn ELSE 0 END')} AS dz FROM placed""",
-    "rays_orthographic": f"""SELECT "row", col, {r('-32 + col * (64.0::DOUBLE / 39)')} AS ox, {r('-32 + "row" * (64.0::DOUBLE / 29)')} AS oy, 100.0::DOUBLE AS oz, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, -1.0::DOUBLE AS dz
-        FROM range(30) a("row"), range(40) b(col)""",
-    "rays_perspective": f"""WITH {FORWARD}, r1 AS (SELECT *, fy / sqrt(fx * fx + fy * fy) AS rx, -fx / sqrt(fx * fx + fy * fy) AS ry FROM ax),
-        u1 AS (SELECT *, ry * fz AS ux, -rx * fz AS uy, rx * fy - ry * fx AS uz FROM r1),
-        p AS (SELECT "row", col, cx, cy, cz, fx, fy, fz, rx, ry, ux, uy, uz, (2 * (col + 0.5::DOUBLE) / 40 - 1) * (40 / 30.0::DOUBLE * tan(pi() / 6)) AS sx, (1 - 2 * ("row" + 0.5::DOUBLE) / 30) * tan(pi() / 6) AS sy
-          FROM u1, range(30) a("row"), range(40) b(col)),
-        v AS (SELECT *, fx + sx * rx + sy * ux AS vx, fy + sx * ry + sy * uy AS vy, fz + sy * uz AS vz FROM p)
-        SELECT "row", col, cx AS ox, cy AS oy, cz AS oz, {r('vx / sqrt(vx * vx + vy * vy + vz * vz)')} AS dx, {r('vy / sqrt(vx * vx + vy * vy + vz * vz)')} AS dy, {r('vz / sqrt(vx * vx + vy * vy + vz * vz)')} AS dz FROM v""",
-    "turntable_views": f"SELECT n AS view_id, {r('32 * cos(n * (2 * pi() / 8))')} AS px, {r('32 * sin(n * (2 * pi() / 8))')} AS py, {r('0.3 * 32')} AS pz FROM range(8) g(n)",
     "adaptive_samples": "SELECT level::BIGINT AS level, greatest(300, 1000 // (1 << level))::BIGINT AS samples FROM (VALUES (1), (2)) l(level)",
     "trace_dda": f"WITH {TRACED} SELECT ray_id, object_id, {r('distance')} AS distance, hit FROM traced",
     "trace_dda_cells": f"WITH {TRACED} SELECT ray_id, object_id, {r('distance')} AS distance, hit FROM traced",
@@ -295,17 +260,10 @@ ORACLE_SQL: dict[str, str] = {
     "distance_normalize": f"WITH {TRACED} SELECT ray_id, {r(DIFF_T)} AS distance FROM traced",
     "occlusion_field": f"WITH {TRACED} SELECT object_id, {r('avg(distance)')} AS occlusion, count(*) AS n_rays FROM traced GROUP BY object_id",
     "distance_mse": f"WITH {TRACED} SELECT level, {r(f'avg(({DIFF_T} - 0.1) * ({DIFF_T} - 0.1))')} AS mse FROM traced GROUP BY level",
-    "boundary_patches": f"""WITH {PATCHES} SELECT patch_id, face_id, local_idx, {_rounded('center_x', 'center_y', 'center_z', 'normal_x', 'normal_y', 'normal_z')}, 4.0::DOUBLE AS area,
-        {_rounded('u_min', 'u_max', 'v_min', 'v_max')} FROM mid""",
     "patch_index_decode": """SELECT DISTINCT l_partkey % 384 AS patch_id, l_partkey % 384 // 64 AS face_id, l_partkey % 384 % 64 // 8 AS v, l_partkey % 384 % 8 AS u, xor(l_partkey % 384 // 64, 1) AS opposite_face FROM lineitem""",
-    "patch_points": f"""WITH {PATCHES}, p AS (SELECT *, u_min + {u('u', 'patch_id')} * (u_max - u_min) AS pu, v_min + {u('v', 'patch_id')} * (v_max - v_min) AS pv FROM mid)
-        SELECT patch_id, {r('CASE axis WHEN 0 THEN center_x ELSE pu END')} AS x, {r('CASE axis WHEN 1 THEN center_y WHEN 0 THEN pu ELSE pv END')} AS y, {r('CASE axis WHEN 2 THEN center_z ELSE pv END')} AS z FROM p""",
     "exit_patch": f"""WITH {SLAB}, {EXITS} SELECT ray_id, exit_face::BIGINT AS exit_face,
         (exit_face * 64 + CASE exit_face // 2 WHEN 2 THEN {CELL8.format(c='ey')} ELSE {CELL8.format(c='ez')} END * 8 + CASE exit_face // 2 WHEN 0 THEN {CELL8.format(c='ey')} ELSE {CELL8.format(c='ex')} END)::BIGINT AS exit_patch
         FROM exits""",
-    "patch_solid_angle": f"""WITH {PATCHES}, d AS (SELECT patch_id, center_x - 20 AS x, center_y - 3 AS y, center_z + 12.5 AS z, normal_x, normal_y, normal_z FROM mid),
-        c AS (SELECT *, x * x + y * y + z * z AS r2, -(x * normal_x + y * normal_y + z * normal_z) / sqrt(x * x + y * y + z * z) AS cosine FROM d)
-        SELECT patch_id, {r('CASE WHEN cosine <= 0 THEN 0 ELSE 4.0::DOUBLE * cosine / r2 END')} AS solid_angle FROM c""",
     "sh_basis": f"WITH {DIRECTIONS} SELECT event_id, {', '.join(f'{r(b)} AS y{i}' for i, b in enumerate(BASIS))} FROM dirs",
     "sh_project": f"""WITH {DIRECTIONS}, l AS (SELECT event_type, value, unnest([{', '.join(BASIS)}]) AS y, unnest(range(9)) AS sh_idx FROM dirs)
         SELECT event_type, sh_idx, {r('4 * pi() * sum(value * y) / count(*)')} AS coefficient FROM l GROUP BY event_type, sh_idx""",

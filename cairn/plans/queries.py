@@ -385,9 +385,15 @@ def add_noise(spark, d):
 # rays
 
 
+def reaches(spark, d) -> DataFrame:
+    """``object_id, lo_x .. hi_z, reach``: every object's own box, and how far it extends from the grid's centre."""
+    box = raygen.object_boxes(src.cells(spark, d), R)
+    return box.withColumn("reach", F.greatest(*[F.abs(c) for c in raygen.BOX]))
+
+
 @query
 def views_sphere(spark, d):
-    return rays.sphere_views(spark, 6, 16.0)
+    return rays.sphere_views(reaches(spark, d), 6, 2 * F.col("reach"))
 
 
 @query
@@ -402,17 +408,17 @@ def rays_all_faces(spark, d):
 
 @query
 def rays_orthographic(spark, d):
-    return rays.orthographic_rays(spark, 40, 30, 64.0, 100.0)
+    return rays.orthographic_rays(reaches(spark, d), 8, 6, 2 * F.col("reach"), 3 * F.col("reach"))
 
 
 @query
 def rays_perspective(spark, d):
-    return rays.perspective_rays(spark, 40, 30, (40.0, 30.0, 20.0), (0.0, 0.0, 0.0), (0.0, 0.0, 1.0))
+    return rays.perspective_rays(reaches(spark, d), 8, 6, (4.0, 3.0, 2.0), (0.0, 0.0, 0.0), (0.0, 0.0, 1.0), size=F.col("reach"))
 
 
 @query
 def turntable_views(spark, d):
-    return rays.turntable(spark, 8, 32.0)
+    return rays.turntable(reaches(spark, d), 8, 2 * F.col("reach"))
 
 
 @query
@@ -474,13 +480,14 @@ def distance_mse(spark, d):
 # patches and harmonics
 
 
-def _box(spark, per_face=8) -> DataFrame:
-    return patches.boundary_patches(spark, (-8.0, -8.0, -8.0), (8.0, 8.0, 8.0), per_face)
+def _patches(spark, d, per_face=4) -> DataFrame:
+    low, high = ([F.col(f"{e}_{a}") for a in "xyz"] for e in ("lo", "hi"))
+    return patches.boundary_patches(reaches(spark, d), low, high, per_face)
 
 
 @query
 def boundary_patches(spark, d):
-    return _box(spark)
+    return _patches(spark, d)
 
 
 @query
@@ -491,8 +498,8 @@ def patch_index_decode(spark, d):
 
 @query
 def patch_points(spark, d):
-    p = _box(spark)
-    return patches.sample_points(p, uniform("u", F.col("patch_id")), uniform("v", F.col("patch_id")))
+    at = [uniform(s, F.col("object_id"), F.col("patch_id")) for s in "uv"]
+    return patches.sample_points(_patches(spark, d), *at)
 
 
 @query
@@ -503,7 +510,7 @@ def exit_patch(spark, d):
 
 @query
 def patch_solid_angle(spark, d):
-    return patches.solid_angle(_box(spark), (20.0, 3.0, -12.5))
+    return patches.solid_angle(_patches(spark, d), (20.0, 3.0, -12.5))
 
 
 @query

@@ -90,6 +90,26 @@ SELECT object_id, view_id, face_id, n, {', '.join(f"{r(f'o{a}')} AS o{a}, {r(f'(
 FACE_RAYS = f"""WITH {BOXES}, src AS (SELECT boxes.*, 0 AS view_id, face_id, n FROM boxes, range(6) f(face_id), range(5) m(n)), placed AS ({_side_points('src')})
 SELECT object_id, 0::BIGINT AS view_id, face_id, n, {', '.join(f"{r(f'o{a}')} AS o{a}, {r(f'CASE WHEN face_id // 2 = {n} THEN CASE WHEN face_id % 2 = 1 THEN -1 ELSE 1 END ELSE 0 END')} AS d{a}" for n, a in enumerate('xyz'))} FROM placed"""
 
+REACH = f"{BOXES}, reaches AS (SELECT *, greatest(abs(lo_x), abs(lo_y), abs(lo_z), abs(hi_x), abs(hi_y), abs(hi_z)) AS reach FROM boxes)"
+
+
+def _patches() -> str:
+    """Four by four patches on each side +X, -X, +Y, -Y, +Z, -Z of every object's box; u is the side's first own axis and runs fastest."""
+    pick = lambda axis, e: f"CASE {axis} WHEN 0 THEN {e}_x WHEN 1 THEN {e}_y ELSE {e}_z END"
+    steps = ", ".join(f"{pick(f'{c}a', 'lo')} AS {c}0, ({pick(f'{c}a', 'hi')} - {pick(f'{c}a', 'lo')}) / 4 AS {c}s" for c in "uv")
+    centre = ", ".join(f"CASE {n} WHEN axis THEN CASE face_id % 2 WHEN 0 THEN hi_{a} ELSE lo_{a} END WHEN ua THEN (u_min + u_max) / 2 ELSE (v_min + v_max) / 2 END AS center_{a}" for n, a in enumerate("xyz"))
+    normal = ", ".join(f"CASE axis WHEN {n} THEN CASE face_id % 2 WHEN 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ELSE 0.0::DOUBLE END AS normal_{a}" for n, a in enumerate("xyz"))
+    return f"""{REACH}, ids AS (SELECT n AS patch_id, n // 16 AS face_id, n % 16 AS local_idx, n % 4 AS u, n % 16 // 4 AS v, n // 32 AS axis, CASE n // 32 WHEN 0 THEN 1 ELSE 0 END AS ua, CASE n // 32 WHEN 2 THEN 1 ELSE 2 END AS va FROM range(96) g(n)),
+      steps AS (SELECT *, {steps} FROM reaches, ids), spans AS (SELECT *, u0 + u * us AS u_min, u0 + (u + 1) * us AS u_max, v0 + v * vs AS v_min, v0 + (v + 1) * vs AS v_max, us * vs AS area FROM steps),
+      mid AS (SELECT *, {centre}, {normal} FROM spans)"""
+
+
+PATCHES = _patches()
+#: Directions from the camera at (4, 3, 2), which looks at the origin, with z up: forward, right, above.
+CAMERA = """camera AS (SELECT -4 / sqrt(29.0::DOUBLE) AS fx, -3 / sqrt(29.0::DOUBLE) AS fy, -2 / sqrt(29.0::DOUBLE) AS fz, -3 / 5.0::DOUBLE AS rx, 4 / 5.0::DOUBLE AS ry),
+  frame AS (SELECT *, ry * fz AS ux, -rx * fz AS uy, rx * fy - ry * fx AS uz FROM camera)"""
+
+
 def _gauss(seed: str) -> str:
     return f"(sqrt(-2 * ln(1 - {u(f'{seed}r', 'ray_id')})) * cos(2 * pi() * {u(f'{seed}a', 'ray_id')}))"
 
@@ -125,6 +145,24 @@ SPATIAL = {
         WHEN bit_count(mask) = 1 THEN CASE mask WHEN 1 THEN 'train' WHEN 2 THEN 'val' ELSE 'test' END || ' only'
         ELSE 'shared: ' || array_to_string(list_filter([CASE WHEN mask & 4 > 0 THEN 'test' END, CASE WHEN mask & 1 > 0 THEN 'train' END, CASE WHEN mask & 2 > 0 THEN 'val' END], lambda x: x IS NOT NULL), ', ') END AS badge
         FROM tree JOIN contents USING (hash)""",
+    "views_sphere": f"""WITH {REACH}, placed AS (SELECT object_id, e * 6 + a AS view_id, 2 * reach AS d, 0.1 * pi() + e * (0.8 * pi() / 5) AS elev, a * (2 * pi() / 6) AS azim FROM reaches, range(6) x(e), range(6) y(a))
+        SELECT object_id, view_id, {r('d * sin(elev) * cos(azim)')} AS px, {r('d * sin(elev) * sin(azim)')} AS py, {r('d * cos(elev)')} AS pz FROM placed""",
+    "turntable_views": f"WITH {REACH} SELECT object_id, n AS view_id, {r('2 * reach * cos(n * (2 * pi() / 8))')} AS px, {r('2 * reach * sin(n * (2 * pi() / 8))')} AS py, {r('0.6::DOUBLE * reach')} AS pz FROM reaches, range(8) g(n)",
+    "rays_orthographic": f"""WITH {REACH} SELECT object_id, "row", col, {r('-reach + col * (2 * reach / 7)')} AS ox, {r('-reach + "row" * (2 * reach / 5)')} AS oy, {r('3 * reach')} AS oz, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, -1.0::DOUBLE AS dz
+        FROM reaches, range(6) a("row"), range(8) b(col)""",
+    "raster_of_one_column": f"""WITH {REACH} SELECT object_id, "row", 0::BIGINT AS col, {r('-reach')} AS ox, {r('-reach + "row" * (2 * reach / 5)')} AS oy, {r('3 * reach')} AS oz, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy, -1.0::DOUBLE AS dz
+        FROM reaches, range(6) a("row")""",
+    "rays_perspective": f"""WITH {REACH}, {CAMERA}, p AS (SELECT object_id, reach, "row", col, frame.*, (2 * (col + 0.5::DOUBLE) / 8 - 1) * (8 / 6.0::DOUBLE * tan(pi() / 6)) AS sx, (1 - 2 * ("row" + 0.5::DOUBLE) / 6) * tan(pi() / 6) AS sy
+          FROM reaches, frame, range(6) a("row"), range(8) b(col)),
+        v AS (SELECT *, fx + sx * rx + sy * ux AS vx, fy + sx * ry + sy * uy AS vy, fz + sy * uz AS vz FROM p)
+        SELECT object_id, "row", col, {r('4 * reach')} AS ox, {r('3 * reach')} AS oy, {r('2 * reach')} AS oz, {', '.join(f"{r(f'v{a} / sqrt(vx * vx + vy * vy + vz * vz)')} AS d{a}" for a in 'xyz')} FROM v""",
+    "boundary_patches": f"""WITH {PATCHES} SELECT object_id, patch_id, face_id, local_idx, {', '.join(f'{r(c)} AS {c}' for c in ('center_x', 'center_y', 'center_z', 'normal_x', 'normal_y', 'normal_z', 'area', 'u_min', 'u_max', 'v_min', 'v_max'))} FROM mid""",
+    "patch_points": f"""WITH {PATCHES}, p AS (SELECT *, u_min + {u('u', 'object_id', 'patch_id')} * (u_max - u_min) AS pu, v_min + {u('v', 'object_id', 'patch_id')} * (v_max - v_min) AS pv FROM mid)
+        SELECT object_id, patch_id, {', '.join(f"{r(f'CASE {n} WHEN axis THEN center_{a} WHEN ua THEN pu ELSE pv END')} AS {a}" for n, a in enumerate('xyz'))} FROM p""",
+    "patch_solid_angle": f"""WITH {PATCHES}, d AS (SELECT *, center_x - 20 AS x, center_y - 3 AS y, center_z + 12.5 AS z FROM mid), c AS (SELECT *, x * x + y * y + z * z AS r2, -(x * normal_x + y * normal_y + z * normal_z) / sqrt(x * x + y * y + z * z) AS cosine FROM d)
+        SELECT object_id, patch_id, {r('CASE WHEN cosine <= 0 THEN 0 ELSE area * cosine / r2 END')} AS solid_angle FROM c""",
+    "sphere_grid": """WITH g AS (SELECT printf('%04d', p_partkey) AS object_id, i, j, k FROM part, range(16) a(i), range(16) b(j), range(16) c(k) WHERE (i - 8) * (i - 8) + (j - 8) * (j - 8) + (k - 8) * (k - 8) <= (p_size % 9) * (p_size % 9))
+        SELECT object_id, count(*) AS n, sum(i * 10000 + j * 100 + k)::BIGINT AS checksum FROM g GROUP BY object_id""",
     "rays_sphere": SPHERE,
     "rays_all_faces": FACE_RAYS,
     "add_noise": f"""WITH {RAYS}, g AS (SELECT ray_id, {', '.join(f"{a} + 0.01::DOUBLE * {_gauss(f'42{a}')} AS {a}" for a in ('ox', 'oy', 'oz', 'dx', 'dy', 'dz'))} FROM rays),
