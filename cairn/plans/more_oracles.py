@@ -39,8 +39,8 @@ def _position(c: str = "") -> str:
 
 MORE = {
     "tree_json_roundtrip": f"""SELECT object_id, level, octant_index, position_x, position_y, position_z, {_position()}, hash, is_empty FROM {of('octree_map')}""",
-    "tree_ndjson_roundtrip": f"SELECT object_id, level, count(*) AS n, count(*) FILTER (is_empty) AS n_empty, min(hash) AS least_hash FROM {of('octree_map')} GROUP BY 1, 2",
-    "tree_csv_roundtrip": f"SELECT object_id, level, count(*) AS n, sum(octant_index)::BIGINT AS octants FROM {of('octree_map')} GROUP BY 1, 2",
+    "tree_ndjson_roundtrip": f"""SELECT object_id, level, octant_index, position_x, position_y, position_z, {_position()}, hash, is_empty FROM {of('octree_map')}""",
+    "tree_csv_roundtrip": of("octree_map")[1:-1],
     "blocks_roundtrip": f"""WITH {TREE}, b AS (SELECT DISTINCT ON (level, h) object_id AS o, level AS l, size AS s, bi AS a, bj AS b, bk AS c, h FROM filled),
         f AS (SELECT l, h, s, count(*) AS n_cells, sum(n) AS checksum FROM b JOIN occ ON o = object_id AND l = level AND a = bi AND b.b = bj AND c = bk GROUP BY 1, 2, 3)
         SELECT DISTINCT level::BIGINT AS level, hash, s::BIGINT AS size, n_cells, checksum::BIGINT AS checksum FROM tree LEFT JOIN f ON l = level AND h = hash""",
@@ -97,8 +97,9 @@ MORE = {
         SELECT *, pi * pj * pk - ni * nj * nk AS zeros FROM w""",
     "gathered_latents": f"WITH {COUNTS}, {RAYS} SELECT ray_id, object_id, {r('n / 4096.0::DOUBLE')} AS latent FROM rays JOIN counts USING (object_id)",
     "composed_transforms": f"""WITH {CELLS}, {OBJECTS}, {TURNS}, {FLIPS},
-        t AS (SELECT object_id, i, CASE turns WHEN 1 THEN 15 - k WHEN 2 THEN 15 - j WHEN 3 THEN k ELSE j END AS j, CASE turns WHEN 1 THEN j WHEN 2 THEN 15 - k WHEN 3 THEN 15 - j ELSE k END AS k FROM cells JOIN turns USING (object_id))
-        SELECT object_id, count(*) AS n, sum(CASE WHEN fi THEN 15 - i ELSE i END + CASE WHEN fj THEN 15 - j ELSE j END + CASE WHEN fk THEN 15 - k ELSE k END)::BIGINT AS total FROM t JOIN flips USING (object_id) GROUP BY 1""",
+        t AS (SELECT object_id, i, CASE turns WHEN 1 THEN 15 - k WHEN 2 THEN 15 - j WHEN 3 THEN k ELSE j END AS j, CASE turns WHEN 1 THEN j WHEN 2 THEN 15 - k WHEN 3 THEN 15 - j ELSE k END AS k FROM cells JOIN turns USING (object_id)),
+        f AS (SELECT object_id, CASE WHEN fi THEN 15 - i ELSE i END AS i, CASE WHEN fj THEN 15 - j ELSE j END AS j, CASE WHEN fk THEN 15 - k ELSE k END AS k FROM t JOIN flips USING (object_id))
+        SELECT object_id, count(*) AS n, sum(i * 10000 + j * 100 + k)::BIGINT AS checksum FROM f GROUP BY 1""",
     "timing_percentiles": f"""SELECT event_type, count(*) AS n, {r('avg(value)')} AS mean, {r('min(value)')} AS least, {r('max(value)')} AS most,
         {', '.join(r(f'quantile_cont(value, {p})') + f' AS p{n}' for n, p in ((50, 0.5), (90, 0.9), (95, 0.95), (99, 0.99)))} FROM events GROUP BY 1""",
     "batch_totals": f"""WITH {TRACED}, o AS (SELECT object_id, count(*) AS n_rays, sum(distance) AS seconds, sum(hit) > 0 AS good FROM traced GROUP BY 1)

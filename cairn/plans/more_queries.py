@@ -6,10 +6,12 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from cairn import schemas
 from cairn.functions.columns import is_power_of_two, padded_id, rounded, sh_basis, uniform
 from cairn.operators import dataset, harmonics, metadata, morph, octree, rays, registry, sparse, splits, transfer, transforms, voxel
 from cairn.plans import queries as q
 from cairn.plans.build import build, pending, source_hash
+from cairn.plans.manifest import KINDS
 from cairn.plans.queries import LEAST, N, N_SH, PATCHES, PER_FACE, R, query
 from cairn.plans.stages import materialize, new_path, table
 from cairn.sources import adapters as src
@@ -29,16 +31,14 @@ def tree_json_roundtrip(spark, d):
 def tree_ndjson_roundtrip(spark, d):
     path = new_path(spark, "maps")
     sinks.write_ndjson(q.tree(spark, d), path)
-    back = spark.read.schema("object_id string, level int, hash string, is_empty boolean").json(path)
-    return back.groupBy("object_id", "level").agg(F.count("*").alias("n"), F.count_if("is_empty").alias("n_empty"), F.min("hash").alias("least_hash"))
+    return spark.read.schema(schemas.SUBDIVISION_MAP).json(path)
 
 
 @query
 def tree_csv_roundtrip(spark, d):
     path = new_path(spark, "maps")
     sinks.export_csv(q.tree(spark, d), path)
-    back = spark.read.option("header", "true").csv(path)
-    return back.groupBy("object_id", F.col("level").cast("int").alias("level")).agg(F.count("*").alias("n"), F.sum(F.col("octant_index").cast("int")).alias("octants"))
+    return spark.read.schema(KINDS["map"]).option("header", "true").csv(path).drop("size")
 
 
 @query
@@ -298,7 +298,7 @@ def gathered_latents(spark, d):
 def composed_transforms(spark, d):
     o = src.objects(spark, d)
     step = transforms.compose(lambda c: transforms.rotate_cells(c, transforms.quarter_turns(o), R), partial(transforms.flip_cells, flip=transforms.flips(o), resolution=R))
-    return src.cells(spark, d).transform(step).groupBy("object_id").agg(F.count("*").alias("n"), F.sum(F.col("i") + F.col("j") + F.col("k")).alias("total"))
+    return q._cell_digest(src.cells(spark, d).transform(step))
 
 
 @query

@@ -18,11 +18,14 @@ _written: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a temporary folder becomes the
-    context's checkpoint folder.
+    Where a local session names none (tests), a temporary folder becomes the
+    context's checkpoint folder; on a cluster, whose machines wouldn't see each
+    other's, that raises ``ValueError``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
