@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from cairn.plans.stages import materialize, running_totals
 
 
 def coo(cells: DataFrame) -> DataFrame:
@@ -12,10 +13,34 @@ def coo(cells: DataFrame) -> DataFrame:
     return cells.select("object_id", F.col("k").alias("x"), F.col("j").alias("y"), F.col("i").alias("z"), F.lit(1.0).alias("feature"))
 
 
+#: Cells along k that one word of a row's bit mask holds.
+WORD = 62
+
+
+def _rows(cells: DataFrame) -> DataFrame:
+    """``object_id, i, j, w, mask, first``: words of the rows along k as bits, and the number of the first node in each.
+
+    Written once; numbers are running totals over range-sorted words, so a grid may spread over any number of tasks.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(k % {WORD} AS int))")
+    rows = cells.groupBy("object_id", "i", "j", F.expr(f"int(k div {WORD})").alias("w")).agg(F.bit_or(bit).alias("mask"))
+    rows = rows.withColumn("n", F.bit_count("mask").cast("long"))
+    upto = running_totals(rows, ["object_id"], [F.col(c) for c in ("object_id", "i", "j", "w")], "n", "upto")
+    return materialize(upto.select("object_id", "i", "j", "w", "mask", (F.col("upto") - F.col("n")).alias("first")), "rows")
+
+
+def _nth(first: str, mask: str, bit: str) -> str:
+    """The number of the node at a bit of a word."""
+    return f"{first} + bit_count({mask} & (shiftleft(1L, {bit}) - 1L))"
+
+
 def nodes(cells: DataFrame) -> DataFrame:
-    """``coo`` with ``node_id``: row-major numbers from 0 within each grid."""
-    order = Window.partitionBy("object_id").orderBy("z", "y", "x")
-    return coo(cells).withColumn("node_id", F.row_number().over(order) - 1)
+    """``coo`` with ``node_id``: row-major numbers from 0 within each grid; a cell counts once."""
+    bits = F.expr(f"filter(sequence(0, {WORD - 1}), b -> getbit(mask, b) = 1)")
+    each = _rows(cells).withColumn("b", F.explode(bits))
+    return each.select(
+        "object_id", F.expr(f"w * {WORD} + b").alias("x"), F.col("j").alias("y"), F.col("i").alias("z"), F.lit(1.0).alias("feature"), F.expr(_nth("first", "mask", "b")).alias("node_id")
+    )
 
 
 def offsets(connectivity: int) -> list[tuple[int, int, int]]:
@@ -27,12 +52,24 @@ def offsets(connectivity: int) -> list[tuple[int, int, int]]:
 
 
 def edges(cells: DataFrame, connectivity: int = 6, loops: bool = False) -> DataFrame:
-    """Directed edges between occupied neighbours, ``object_id, src, dst``."""
-    n = nodes(cells)
-    steps = offsets(connectivity) + [(0, 0, 0)] * loops
-    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("z"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a, b, c in steps]))
-    asks = n.withColumn("m", moves).select("object_id", F.col("node_id").alias("src"), *[(F.col(a) + F.col(f"m.{a}")).alias(a) for a in "zyx"])
-    return asks.join(n.select("object_id", "z", "y", "x", F.col("node_id").alias("dst")).hint("merge"), ["object_id", "z", "y", "x"]).select("object_id", "src", "dst")
+    """Directed edges between occupied neighbours, ``object_id, src, dst``, in numbers of ``nodes``; a cell counts once.
+
+    Words of bits meet their neighbours, not cells: the bits that two words
+    share after a shift are the edges between them, and both ends' numbers
+    follow from the bits below.
+    """
+    rows = _rows(cells)
+    steps = [(a, b, c, w) for a, b, c in offsets(connectivity) + [(0, 0, 0)] * loops for w in ((0, c) if c else (0,))]
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("di", "dj", "dk", "dw"), s)]) for s in steps]))
+    asks = rows.withColumn("m", moves).select(
+        "object_id", "mask", "first", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), (F.col("w") + F.col("m.dw")).alias("w"), F.expr(f"m.dk - {WORD} * m.dw").alias("by")
+    )  # bit b of a word is beside bit b + by of the other
+    other = rows.select("object_id", "i", "j", "w", F.col("mask").alias("other"), F.col("first").alias("other_first"))
+    met = asks.join(other.hint("merge"), ["object_id", "i", "j", "w"])
+    shared = F.expr("mask & if(by < 0, shiftleft(other, -by), shiftright(other, by))")
+    bits = F.expr(f"filter(sequence(0, {WORD - 1}), b -> getbit(shared, b) = 1)")
+    each = met.withColumn("shared", shared).where("shared <> 0").withColumn("b", F.explode(bits))
+    return each.select("object_id", F.expr(_nth("first", "mask", "b")).alias("src"), F.expr(_nth("other_first", "other", "b + by")).alias("dst"))
 
 
 def neighbour_counts(cells: DataFrame, connectivity: int = 6) -> DataFrame:

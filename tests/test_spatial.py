@@ -206,6 +206,22 @@ def test_broken_mesh_archives_are_rows(spark, tmp_path):
     assert [(r.object_id, r.ax, r.by, r.cz) for r in good.collect()] == [("m", 1, 1, 1)] and [r.object_id for r in bad.collect()] == ["bad"]
 
 
+def test_edges_over_long_rows(spark):
+    from cairn.operators import sparse
+
+    rng = np.random.default_rng(7)
+    grids = {"a": rng.random((3, 3, 140)) < 0.6, "b": rng.random((2, 3, 62)) < 0.5, "full": np.ones((2, 2, 63), bool)}
+    rows = [(o, *map(int, at)) for o, g in grids.items() for at in np.argwhere(g)]
+    cells = spark.createDataFrame(rows + rows[:5], "object_id string, i int, j int, k int")
+    number = {}
+    for o, g in grids.items():
+        number |= {(o, *map(int, at)): n for n, at in enumerate(np.argwhere(g))}
+    assert {(r.object_id, r.z, r.y, r.x): r.node_id for r in sparse.nodes(cells).collect()} == number
+    for kind in (6, 18, 26):
+        want = sorted((o, n, number[(o, i + a, j + b, k + c)]) for (o, i, j, k), n in number.items() for a, b, c in [*sparse.offsets(kind), (0, 0, 0)] if (o, i + a, j + b, k + c) in number)
+        assert sorted(map(tuple, sparse.edges(cells, kind, loops=True).collect())) == want
+
+
 # versions
 
 
