@@ -622,6 +622,51 @@ def brute_groups(prints):
     return [find(a) for a in range(len(prints))]
 
 
+def brute_similar(texts, words=5, similarity=0.8):
+    """The group of each text, by its first member, and the pairs that are similar."""
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    group, pairs = list(range(len(texts))), []
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                pairs.append((b, a))
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    return group, pairs
+
+
+def test_one_of_each_against_brute_force(spark, monkeypatch):
+    rng, texts = random.Random(31), ["", None, "Word", "word ", "a b c d e", "A b c d e f"]
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n in (40, 120, 300, 600):
+        for _ in range(30):
+            w = rng.choices(vocabulary, k=n)
+            texts.append(" ".join(w))
+            for share in rng.sample((0.003, 0.01, 0.015, 0.02, 0.03, 0.05), 2):
+                texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else x for x in w))
+    base = rng.choices(vocabulary, k=200)  # one crowd of near copies, not all of which are near each other
+    for _ in range(60):
+        w = list(base)
+        for i in rng.sample(range(200), 2):
+            w[i] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    group, pairs = brute_similar(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept >= set(group)
+    assert len(pairs) > 1000 and sum(a in kept and b in kept for a, b in pairs) <= len(pairs) / 10
+    fuzzy = [(a, b) for a, b in pairs if b < len(texts) - 60 and a > 5]
+    assert sum(a in kept and b in kept for a, b in fuzzy) <= len(fuzzy) / 10
+    # every candidate whatever its distance, all in one bucket: the groups are exactly those of brute force
+    monkeypatch.setattr(simhash, "_sketch", lambda t, words, real=simhash._sketch: (*real(t, words)[:1], 0, [0] * simhash.SEGMENTS, [0] * 63, real(t, words)[4]))
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(group)
+
+
 @pytest.mark.parametrize("crowded", [64, 2])
 def test_simhash_links(spark, monkeypatch, crowded):
     monkeypatch.setattr(simhash, "CROWDED", crowded)
@@ -691,8 +736,9 @@ def test_pipeline(spark, sf_dir):
     scores = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).collect()
     assert kept["toxicity"].keys() == {r.doc_id for r in scores if not r.predicted}
     ids = sorted(kept["toxicity"])
-    groups = brute_groups([simhash.fingerprint(texts[i]) for i in ids])
-    assert kept["simhash"].keys() == {ids[g] for g in set(groups)}
+    groups, pairs = brute_similar([texts[i] for i in ids])
+    assert kept["simhash"].keys() >= {ids[g] for g in set(groups)}
+    assert pairs and sum(ids[a] in kept["simhash"] and ids[b] in kept["simhash"] for a, b in pairs) <= len(pairs) / 10
     tokens = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     items = [" ".join(tokens(r.text)) for r in table(spark, sf_dir, "benchmark").collect()]
     whole = {i for i in kept["simhash"] if any(f" {x} " in f" {' '.join(tokens(texts[i]))} " for x in items)}
