@@ -4,7 +4,7 @@ Every stage takes all that the one before kept and, but for the last, returns
 the columns of its input, of any names:
 
 1. ``toxicity`` drops documents that score 0.5 or more,
-2. ``simhash`` keeps one document of each near-duplicate group,
+2. ``simhash`` keeps one document of each group of near copies (five-word shingles, similarity 0.8),
 3. ``decontamination`` drops documents that overlap with a benchmark item,
 4. ``pii`` replaces personal data by its kind and sets ``n_chars`` anew,
 5. ``mixing`` takes words of each source to its target and returns what is taken.
@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, that with the least id. Null and empty texts are one group; a null id counts as largest."""
+    """One row of each group of texts whose five-word shingles agree by 0.8 or more, that with the least id. Null and empty texts are one group; a null id counts as largest."""
     return one_of_each(docs)
 
 
