@@ -222,7 +222,9 @@ def _joined(spans):
 
 def secrets_query(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # a lambda of two parameters would be given each span's place in the array as its second
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    count = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", "added"))).alias("spans")
     )

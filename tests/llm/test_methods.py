@@ -560,6 +560,16 @@ def test_secrets_beside_fixed_patterns():
             assert bool(before and ends[before - 1] > a) == any(a < e and s < b for s, _, e in base)
 
 
+def test_secrets_query_counts_each_kind(spark, tmp_path):
+    hexes = "deadbeef" * 4
+    texts = {1: f" token=AKIA{'Q7' * 8} ", 2: f"AKIA{'Q7' * 8} {hexes} {hexes}", 3: f"{hexes} password=abcdefgh", 4: "nothing", 5: None}
+    spark.createDataFrame(list(texts.items()), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in secrets.secrets_query(spark, str(tmp_path)).collect():
+        base = secrets.base_spans(texts[r.doc_id] or "")
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for _, k, _ in base) for kind in range(3)], r
+        assert r.base_sha256 == secrets.digest(base)
+
+
 def test_quotes_equal_brute_force(spark):
     rng, talks, want = random.Random(28), [], {}
     for conv in range(40):
