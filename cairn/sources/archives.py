@@ -180,9 +180,15 @@ class ArchiveSource(DataSource):
         return ArchiveWriter(self.options, overwrite)
 
 
+def register(spark: SparkSession) -> None:
+    """Make the source known; its reader takes filters over, which Spark refuses unless the session allows it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ArchiveSource)
+
+
 def read_archives(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All rows of the archives of a kind, with ``error`` for those that can't be read."""
-    spark.dataSource.register(ArchiveSource)
+    register(spark)
     return spark.read.format("npz_archives").option("kind", kind).load(path)
 
 
@@ -204,6 +210,6 @@ def write_distance_maps(maps: DataFrame, path: str, most: int = 4096) -> None:
 
 
 def _save(rows: DataFrame, key: list[str], order: list[str], kind: str, path: str) -> None:
-    rows.sparkSession.dataSource.register(ArchiveSource)
+    register(rows.sparkSession)
     dealt = rows.repartition(*key).sortWithinPartitions(*key, *order)
     dealt.write.format("npz_archives").option("kind", kind).mode("overwrite").save(path)

@@ -186,6 +186,16 @@ def test_archive_reader_opens_what_filters_ask_for(spark, tmp_path):
     assert [uri.rsplit("/", 3)[1:] for p in reader.partitions() for uri, _ in p.found] == [["level_1", "ab", "ab3_rays.npz"]]
 
 
+def test_archives_need_no_setting(spark, tmp_path):
+    was = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        archives.write_rays(contents(spark, 50), str(tmp_path / "r"))
+        assert files.read_ray_archives(spark, str(tmp_path / "r")).where("level = 1").count() > 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", was)
+
+
 def test_failed_jobs_leave_no_archives(spark, tmp_path):
     broken = contents(spark).withColumn("distance", F.expr("if(ray_id = 599, raise_error('stop'), distance)"))
     with pytest.raises(Exception, match="stop"):
