@@ -149,5 +149,6 @@ def transfer_matrix(conditions: DataFrame, cells: DataFrame, resolution: int, pr
             if len(pdf):
                 yield run(pdf)
 
-    ready = conditions.join(rows, "structure", "left").withColumn("cells", F.coalesce("cells", F.expr("cast(array() AS array<struct<i:int,j:int,k:int>>)")))
+    # a merge, as Spark knows only the cells' size before they are exploded and would broadcast all lists
+    ready = conditions.join(rows.hint("merge"), "structure", "left").withColumn("cells", F.coalesce("cells", F.expr("cast(array() AS array<struct<i:int,j:int,k:int>>)")))
     return ready.repartition("structure", "in_idx").mapInPandas(batches, "structure string, in_idx int, out_idx int, value double")

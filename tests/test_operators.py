@@ -291,3 +291,9 @@ def test_composition_documents_and_released_tables(spark, tmp_path):
     assert kept.count() == 5 and stages.written() == before + 1
     with pytest.raises(Exception):
         gone.count()
+
+
+def test_lists_of_cells_are_not_broadcast(spark, sf_dir):
+    from cairn.plans.queries import QUERIES
+
+    assert "BroadcastExchange" not in QUERIES["monte_carlo_transfer"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
