@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.columns import hash_bits, uniform
+from cairn.functions.columns import hash_bits, rarely, uniform
 
 
 def quarter_turns(objects: DataFrame, p: float = 0.5, seed: str = "rot") -> DataFrame:
@@ -76,7 +76,7 @@ def jitter(cells: DataFrame, objects: DataFrame, resolution: int, p: float, seed
     grid = objects.select("object_id")
     for a in "ijk":
         grid = grid.withColumn(a, F.explode(axis))
-    turned = grid.where(uniform(seed, *[F.col(c) for c in ("object_id", "i", "j", "k")]) < p).withColumn("n", F.lit(1))
+    turned = grid.where(rarely(p, seed, *[F.col(c) for c in ("object_id", "i", "j", "k")])).withColumn("n", F.lit(1))
     both = cells.select("object_id", "i", "j", "k", F.lit(1).alias("n")).union(turned)
     return both.groupBy("object_id", "i", "j", "k").agg(F.count("*").alias("n")).where("n = 1").drop("n")
 

@@ -297,3 +297,11 @@ def test_lists_of_cells_are_not_broadcast(spark, sf_dir):
     from cairn.plans.queries import QUERIES
 
     assert "BroadcastExchange" not in QUERIES["monte_carlo_transfer"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_draws_are_those_of_the_uniform_numbers(spark):
+    from cairn.functions.columns import rarely, uniform
+
+    for p in (0.0, 0.01, 1 / 3, 0.999, 1.0):
+        both = spark.range(5000).where(rarely(p, "jit", F.col("id")) != (uniform("jit", F.col("id")) < p))
+        assert both.isEmpty() and (p in (0.0, 1.0) or not spark.range(5000).where(rarely(p, "jit", F.col("id"))).isEmpty())
