@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,28 +99,38 @@ def sphere(source, resolution: int, radius=None) -> DataFrame:
     return grid.where((F.col("i") - c) ** 2 + (F.col("j") - c) ** 2 + (F.col("k") - c) ** 2 <= F.col("_r") * F.col("_r")).select("object_id", "i", "j", "k")
 
 
+def _spread(free: int, seen: int, size: int) -> int:
+    """The bits of ``free`` that steps along one axis or another join to those of ``seen``, in a cube of ``size`` bits a side."""
+    while True:
+        before = seen
+        for step in (1, size, size * size):
+            for up in (True, False):
+                open_, by = free, step
+                while by < size * step:  # bits move 1, 2, 4 ... places through open cells, so a whole row takes few steps
+                    seen |= open_ & (seen << by if up else seen >> by)
+                    open_ &= open_ << by if up else open_ >> by
+                    by *= 2
+        if seen == before:
+            return seen
+
+
 def fill_interior(cells: DataFrame, resolution: int) -> DataFrame:
     """Add the cells that no path of face neighbours joins to the grid's outside.
 
-    One grid at a time in Arrow batches; memory is that of one dense grid.
+    One grid at a time, as bits of one integer; memory is that of one dense grid.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        solid = np.zeros((resolution + 2,) * 3, bool)
-        solid[pdf.i + 1, pdf.j + 1, pdf.k + 1] = True
-        outside = np.zeros_like(solid)
-        outside[0, 0, 0] = True
-        while True:  # a front sweeps along whole axes, so few rounds are needed
-            grown = outside.copy()
-            for axis in range(3):
-                for way in (slice(None), slice(None, None, -1)):
-                    view, wall = np.moveaxis(grown, axis, 0)[way], np.moveaxis(solid, axis, 0)[way]
-                    for n in range(1, len(view)):
-                        view[n] |= view[n - 1] & ~wall[n]
-            if (grown == outside).all():
-                break
-            outside = grown
-        at = np.argwhere(~outside[1:-1, 1:-1, 1:-1])
-        return pd.DataFrame({"object_id": pdf.object_id.iloc[0], "i": at[:, 0], "j": at[:, 1], "k": at[:, 2]})
-
-    return cells.select("object_id", "i", "j", "k").groupBy("object_id").applyInPandas(run, "object_id string, i int, j int, k int")
+    size = resolution + 2  # an empty border joins all of the outside, also where bits leave one row for the next
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j, k = (rows[a].to_numpy() + 1 for a in "ijk")
+        solid = np.zeros(size**3, bool)
+        solid[(i * size + j) * size + k] = True
+        every = (1 << size**3) - 1
+        free = every ^ int.from_bytes(np.packbits(solid, bitorder="little").tobytes(), "little")
+        kept = every ^ _spread(free, 1, size)
+        bits = np.unpackbits(np.frombuffer(kept.to_bytes(-(-(size**3) // 8), "little"), np.uint8), bitorder="little")
+        at = np.flatnonzero(bits)
+        found = [pa.array((at // d % size - 1).astype(np.int32)) for d in (size * size, size, 1)]
+        return pa.Table.from_arrays([pa.repeat(rows["object_id"][0], len(at)), *found], names=["object_id", "i", "j", "k"])
+
+    return cells.select("object_id", "i", "j", "k").groupBy("object_id").applyInArrow(run, "object_id string, i int, j int, k int")

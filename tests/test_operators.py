@@ -305,3 +305,22 @@ def test_rare_draws_are_those_of_the_uniform_numbers(spark):
     for p in (0.0, 0.01, 1 / 3, 0.999, 1.0):
         both = spark.range(5000).where(rarely(p, "jit", F.col("id")) != (uniform("jit", F.col("id")) < p))
         assert both.isEmpty() and (p in (0.0, 1.0) or not spark.range(5000).where(rarely(p, "jit", F.col("id"))).isEmpty())
+
+
+def test_interiors_of_random_grids_equal_a_search(spark):
+    rng, rows, want = np.random.default_rng(17), [], set()
+    for n in range(60):
+        solid = np.ones((8, 8, 8), bool)
+        solid[1:-1, 1:-1, 1:-1] = False
+        solid[1:-1, 1:-1, 1:-1] = rng.random((6, 6, 6)) < rng.choice([0.3, 0.6, 0.8])
+        solid = np.pad(np.delete(solid, [0, 7][: n % 2], 0)[:8], ((0, n % 2), (0, 0), (0, 0)))
+        outside, todo, wall = np.zeros((10, 10, 10), bool), [(0, 0, 0)], np.pad(solid, 1)
+        while todo:
+            at = todo.pop()
+            if min(at) >= 0 and max(at) < 10 and not wall[at] and not outside[at]:
+                outside[at] = True
+                todo += [tuple(np.add(at, d * s)) for d in np.eye(3, dtype=int) for s in (-1, 1)]
+        rows += [(str(n), *map(int, c)) for c in np.argwhere(solid)]
+        want |= {(str(n), *map(int, c)) for c in np.argwhere(~outside[1:-1, 1:-1, 1:-1])}
+    got = voxel.fill_interior(spark.createDataFrame(rows, "object_id string, i int, j int, k int"), 8).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
