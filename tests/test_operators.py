@@ -293,6 +293,17 @@ def test_composition_documents_and_released_tables(spark, tmp_path):
         gone.count()
 
 
+def test_objects_are_dealt_in_bounded_tasks_and_joined_where_they_are(spark, sf_dir, monkeypatch):
+    from cairn.plans.queries import QUERIES
+    from cairn.sources import adapters
+
+    monkeypatch.setattr(adapters, "DEALT", 20)  # of 200 objects; four shuffle partitions
+    assert adapters.cells(spark, sf_dir).rdd.getNumPartitions() == adapters.objects(spark, sf_dir).rdd.getNumPartitions() == 10
+    for name in ("coo_to_dense", "sparse_edges_18", "sparse_stats", "upsample_diff"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan, name
+
+
 def test_lists_of_cells_are_not_broadcast(spark, sf_dir):
     from cairn.plans.queries import QUERIES
 
