@@ -18,16 +18,16 @@ def _served(order: list[Column], upto: Column, *by: str) -> Column:
 def _segments(held: DataFrame, sinks: DataFrame) -> DataFrame:
     """Units of every sink at their prices: held ones with their source, free ones (null) at the sink's first price."""
     taken = held.groupBy("key", "dst").agg(F.sum("units").alias("taken"))
-    free = sinks.join(taken, ["key", "dst"], "left").withColumn("units", F.col("demand") - F.coalesce("taken", F.lit(0))).where("units > 0")
+    free = sinks.join(taken.hint("merge"), ["key", "dst"], "left").withColumn("units", F.col("demand") - F.coalesce("taken", F.lit(0))).where("units > 0")
     return held.select("key", "dst", "src", "price", "units").union(free.select("key", "dst", F.lit(None).cast("long"), "first_price", "units"))
 
 
 def _round(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, held: DataFrame, epsilon: int) -> DataFrame:
     """Holdings after every source with units to place has bid, and every sink has kept its highest bids."""
     placed = held.groupBy("key", "src").agg(F.sum("units").alias("placed"))
-    need = sources.join(placed, ["key", "src"], "left").withColumn("need", F.col("supply") - F.coalesce("placed", F.lit(0))).where("need > 0")
+    need = sources.join(placed.hint("merge"), ["key", "src"], "left").withColumn("need", F.col("supply") - F.coalesce("placed", F.lit(0))).where("need > 0")
     market = _segments(held, sinks)
-    offers = pairs.join(need.select("key", "src", "need"), ["key", "src"]).join(market.withColumnRenamed("src", "holder"), ["key", "dst"])
+    offers = pairs.join(need.select("key", "src", "need").hint("merge"), ["key", "src"]).join(market.withColumnRenamed("src", "holder").hint("merge"), ["key", "dst"])
     offers = offers.where("holder IS NULL OR holder <> src").withColumn("total", F.col("cost") + F.col("price"))
     cheap = [F.col("total"), F.col("dst"), F.col("price"), F.col("holder").asc_nulls_first()]
     mine = Window.partitionBy("key", "src")
@@ -37,7 +37,7 @@ def _round(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, held: DataFra
     offers = offers.withColumn("level", other + epsilon).where("bid > 0").withColumn("price", F.col("level") - F.col("cost"))
     bids = offers.groupBy("key", "dst", "src", "cost", "price").agg(F.sum("bid").alias("units"), F.any_value("level").alias("level"))
     # what a bidder holds is worth as much to it as what it bids for, so its price rises to that, too
-    rows = held.withColumn("level", F.lit(None).cast("long")).unionByName(bids).join(sinks.select("key", "dst", "demand"), ["key", "dst"])
+    rows = held.withColumn("level", F.lit(None).cast("long")).unionByName(bids).join(sinks.select("key", "dst", "demand").hint("merge"), ["key", "dst"])
     rows = rows.withColumns({"age": F.col("level").isNotNull(), "level": F.max("level").over(mine)})
     rows = rows.withColumn("price", F.greatest("price", F.col("level") - F.col("cost")))
     best = [F.col("price").desc(), F.col("age"), F.col("src")]
@@ -63,7 +63,9 @@ def exact_transport(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, scal
     the next begins from them with an ``epsilon`` of ``1 / scaling``, so that
     rounds grow with the logarithm of the costs. A source's offers are one
     window (one row of a cost matrix), a sink's holdings another; no task needs
-    a whole problem. Rounds are written to the shared folder.
+    a whole problem. Rounds are written to the shared folder. Joins are merges:
+    written tables look small by their packed size, and to broadcast them in
+    every round would fill the driver.
 
     Zero weights take no part. A problem whose weights differ in sum, a
     negative weight, a repeated pair, or a source that no allowed sink can
@@ -77,13 +79,13 @@ def exact_transport(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, scal
     sums = sums.groupBy("key").agg(F.sum("s").alias("units"), F.sum("d").alias("asked"), F.min("w").alias("least"))
     if not sums.where("units <> asked OR least < 0").isEmpty():
         raise ValueError("supply and demand differ, or a weight is negative")
-    pairs = pairs.join(sources.select("key", "src"), ["key", "src"], "left_semi").join(sinks.select("key", "dst"), ["key", "dst"], "left_semi")
-    pairs = materialize(pairs.join(sums.select("key", "units"), "key").select("key", "src", "dst", (F.col("cost") * (F.col("units") + 1)).alias("cost")), "pairs")
+    pairs = pairs.join(sources.select("key", "src").hint("merge"), ["key", "src"], "left_semi").join(sinks.select("key", "dst").hint("merge"), ["key", "dst"], "left_semi")
+    pairs = materialize(pairs.join(sums.select("key", "units").hint("merge"), "key").select("key", "src", "dst", (F.col("cost") * (F.col("units") + 1)).alias("cost")), "pairs")
     if not pairs.groupBy("key", "src", "dst").count().where("count > 1").isEmpty():
         raise ValueError("a pair has more than one cost")
     need, widest, units = sources.agg(F.coalesce(F.sum("supply"), F.lit(0))).first()[0], *pairs.agg(F.coalesce(F.max(F.abs("cost")), F.lit(0)), F.count("*")).first()
     served = pairs.select("key", "src").distinct()
-    if not sources.join(served, ["key", "src"], "left_anti").isEmpty():
+    if not sources.join(served.hint("merge"), ["key", "src"], "left_anti").isEmpty():
         raise ValueError("a source may send nowhere")
     # no price of a feasible problem rises beyond costs times sources; what does is bid for a unit that can't be had
     highest = (2 * widest + 2) * (2 + sources.groupBy("key").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
@@ -103,7 +105,7 @@ def exact_transport(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, scal
         if epsilon == 1:
             break
         low = held.groupBy("key", "dst").agg(F.min("price").alias("first_price"))
-        prices = materialize(sinks.join(low, ["key", "dst"]), "prices")
+        prices = materialize(sinks.join(low.hint("merge"), ["key", "dst"]), "prices")
         release(pairs.sparkSession, since=rounds, keep=prices)
         epsilon = max(1, epsilon // scaling)
     plan = held.groupBy("key", "src", "dst").agg(F.sum("units").alias("units"))
@@ -113,11 +115,11 @@ def exact_transport(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, scal
 def _certificate(pairs: DataFrame, sources: DataFrame, sinks: DataFrame, held: DataFrame, sums: DataFrame) -> DataFrame:
     """Primal cost and dual bound of each problem, in the costs' own units."""
     low = held.groupBy("key", "dst").agg(F.min("price").alias("price"))
-    primal = held.groupBy("key", "src", "dst").agg(F.sum("units").alias("units")).join(pairs, ["key", "src", "dst"]).groupBy("key").agg(F.sum(F.col("units") * F.col("cost")).alias("primal"))
-    profit = pairs.join(low, ["key", "dst"]).groupBy("key", "src").agg(F.min(F.col("cost") + F.col("price")).alias("p")).join(sources, ["key", "src"])
-    paid = low.join(sinks, ["key", "dst"]).groupBy("key").agg(F.sum(F.col("price") * F.col("demand")).alias("paid"))
-    dual = profit.groupBy("key").agg(F.sum(F.col("p") * F.col("supply")).alias("earned")).join(paid, "key")
-    rows = primal.join(dual, "key").join(sums, "key")
+    primal = held.groupBy("key", "src", "dst").agg(F.sum("units").alias("units")).join(pairs.hint("merge"), ["key", "src", "dst"]).groupBy("key").agg(F.sum(F.col("units") * F.col("cost")).alias("primal"))
+    profit = pairs.join(low.hint("merge"), ["key", "dst"]).groupBy("key", "src").agg(F.min(F.col("cost") + F.col("price")).alias("p")).join(sources.hint("merge"), ["key", "src"])
+    paid = low.join(sinks.hint("merge"), ["key", "dst"]).groupBy("key").agg(F.sum(F.col("price") * F.col("demand")).alias("paid"))
+    dual = profit.groupBy("key").agg(F.sum(F.col("p") * F.col("supply")).alias("earned")).join(paid.hint("merge"), "key")
+    rows = primal.join(dual.hint("merge"), "key").join(sums.hint("merge"), "key")
     scale = F.col("units") + 1
     # the least cost is a multiple of the scale, so the bound is rounded up to one
     rows = rows.select("key", "units", F.expr("primal div (units + 1)").alias("cost"), F.ceil((F.col("earned") - F.col("paid")) / scale).alias("bound"))

@@ -347,3 +347,16 @@ def test_pictures(spark):
     tree = spark.createDataFrame([(h, h == "e") for h in "etabcz"], "hash string, is_empty boolean")
     known = spark.createDataFrame([("e", 7, True), ("t", 7, True), ("a", 1, False), ("b", 5, False), ("c", 7, False)], "hash string, mask int, trivial boolean")
     assert {r.hash: r.badge for r in layout.octant_badges(tree, known).collect()} == {"e": "empty", "t": "trivial", "a": "train only", "b": "shared: test, train", "c": "shared: test, train, val", "z": "unknown"}
+
+
+def test_transport_rounds_broadcast_nothing(spark):
+    pairs = spark.range(2).selectExpr("string(id div 10) AS key", "0L AS src", "id AS dst", "1 + 4 * id AS cost")
+    sources = spark.range(1).selectExpr("string(id div 10) AS key", "0L AS src", "2L AS supply")
+    sinks = spark.range(2).selectExpr("string(id div 10) AS key", "id AS dst", "1L AS demand")
+    held = spark.createDataFrame([], "key string, dst long, src long, cost long, price long, units long")
+    prices = sinks.withColumn("first_price", F.lit(0).cast("long"))
+    rounds = transport._round(pairs, sources, prices, held, 1)
+    assert "Broadcast" not in rounds._jdf.queryExecution().executedPlan().toString()
+    plan, certificate = transport.exact_transport(pairs, sources, sinks)
+    assert sorted(map(tuple, plan.collect())) == [("0", 0, 0, 1), ("0", 0, 1, 1)]
+    assert "Broadcast" not in certificate._jdf.queryExecution().executedPlan().toString()
