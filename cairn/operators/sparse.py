@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from cairn.plans.stages import materialize, running_totals
+from pyspark.sql.window import Window
 
 
 def coo(cells: DataFrame) -> DataFrame:
@@ -17,16 +16,24 @@ def coo(cells: DataFrame) -> DataFrame:
 WORD = 62
 
 
-def _rows(cells: DataFrame) -> DataFrame:
-    """``object_id, i, j, w, mask, first``: words of the rows along k as bits, and the number of the first node in each.
+def words(cells: DataFrame) -> DataFrame:
+    """``object_id, i, j, w, mask``: the occupied cells of every row along k as bits of words; a cell counts once."""
+    bit = F.expr(f"shiftleft(1L, int(pmod(k, {WORD})))")
+    return cells.groupBy("object_id", "i", "j", F.expr(f"int((k - pmod(k, {WORD})) div {WORD})").alias("w")).agg(F.bit_or(bit).alias("mask"))
+
 
-    Written once; numbers are running totals over range-sorted words, so a grid may spread over any number of tasks.
+def numbered(rows: DataFrame, order: list[str], count: Column, out: str = "first") -> DataFrame:
+    """``rows`` with ``out``: how many of ``count`` lie before a row in ``order``, within its object.
+
+    A window over words, never over cells; where objects were dealt to tasks, it needs no exchange.
     """
-    bit = F.expr(f"shiftleft(1L, cast(k % {WORD} AS int))")
-    rows = cells.groupBy("object_id", "i", "j", F.expr(f"int(k div {WORD})").alias("w")).agg(F.bit_or(bit).alias("mask"))
-    rows = rows.withColumn("n", F.bit_count("mask").cast("long"))
-    upto = running_totals(rows, ["object_id"], [F.col(c) for c in ("object_id", "i", "j", "w")], "n", "upto")
-    return materialize(upto.select("object_id", "i", "j", "w", "mask", (F.col("upto") - F.col("n")).alias("first")), "rows")
+    before = Window.partitionBy("object_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.coalesce(F.sum(count.cast("long")).over(before), F.lit(0).cast("long")))
+
+
+def _rows(cells: DataFrame) -> DataFrame:
+    """``object_id, i, j, w, mask, first``: words of the rows along k as bits, and the number of the first node in each."""
+    return numbered(words(cells), ["i", "j", "w"], F.bit_count("mask"))
 
 
 def _nth(first: str, mask: str, bit: str) -> str:
@@ -34,10 +41,15 @@ def _nth(first: str, mask: str, bit: str) -> str:
     return f"{first} + bit_count({mask} & (shiftleft(1L, {bit}) - 1L))"
 
 
+def with_bits(rows: DataFrame, mask: str) -> DataFrame:
+    """``rows`` once for each bit ``b`` of ``mask`` that is set."""
+    upto = F.expr(f"sequence(0, length(bin({mask})) - 1)")
+    return rows.where(f"{mask} <> 0").withColumn("b", F.explode(upto)).where(f"shiftrightunsigned({mask}, b) & 1L = 1L")
+
+
 def nodes(cells: DataFrame) -> DataFrame:
     """``coo`` with ``node_id``: row-major numbers from 0 within each grid; a cell counts once."""
-    bits = F.expr(f"filter(sequence(0, {WORD - 1}), b -> getbit(mask, b) = 1)")
-    each = _rows(cells).withColumn("b", F.explode(bits))
+    each = with_bits(_rows(cells), "mask")
     return each.select(
         "object_id", F.expr(f"w * {WORD} + b").alias("x"), F.col("j").alias("y"), F.col("i").alias("z"), F.lit(1.0).alias("feature"), F.expr(_nth("first", "mask", "b")).alias("node_id")
     )
@@ -59,17 +71,22 @@ def edges(cells: DataFrame, connectivity: int = 6, loops: bool = False) -> DataF
     follow from the bits below.
     """
     rows = _rows(cells)
-    steps = [(a, b, c, w) for a, b, c in offsets(connectivity) + [(0, 0, 0)] * loops for w in ((0, c) if c else (0,))]
-    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("di", "dj", "dk", "dw"), s)]) for s in steps]))
-    asks = rows.withColumn("m", moves).select(
-        "object_id", "mask", "first", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), (F.col("w") + F.col("m.dw")).alias("w"), F.expr(f"m.dk - {WORD} * m.dw").alias("by")
+    steps: dict[tuple[int, int, int], list[int]] = {}
+    for a, b, c in [o for o in offsets(connectivity) if o > (0, 0, 0)] + [(0, 0, 0)] * loops:  # edges go both ways
+        for w in (0, c) if c else (0,):
+            steps.setdefault((a, b, w), []).append(c - WORD * w)
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("di", "dj", "dw"), s)], F.array(*map(F.lit, by)).alias("by")) for s, by in steps.items()]))
+    asks = rows.withColumn("m", moves).where(f"m.dw = 0 OR shiftrightunsigned(mask, if(m.dw > 0, {WORD - 1}, 0)) & 1L = 1L")
+    asks = asks.select(
+        "object_id", "mask", "first", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), (F.col("w") + F.col("m.dw")).alias("w"), F.col("m.by").alias("by")
     )  # bit b of a word is beside bit b + by of the other
     other = rows.select("object_id", "i", "j", "w", F.col("mask").alias("other"), F.col("first").alias("other_first"))
-    met = asks.join(other.hint("merge"), ["object_id", "i", "j", "w"])
+    met = asks.join(other.hint("merge"), ["object_id", "i", "j", "w"]).select("object_id", "mask", "first", "other", "other_first", F.explode("by").alias("by"))
     shared = F.expr("mask & if(by < 0, shiftleft(other, -by), shiftright(other, by))")
-    bits = F.expr(f"filter(sequence(0, {WORD - 1}), b -> getbit(shared, b) = 1)")
-    each = met.withColumn("shared", shared).where("shared <> 0").withColumn("b", F.explode(bits))
-    return each.select("object_id", F.expr(_nth("first", "mask", "b")).alias("src"), F.expr(_nth("other_first", "other", "b + by")).alias("dst"))
+    each = with_bits(met.withColumn("shared", shared), "shared")
+    each = each.select("object_id", "by", F.expr(_nth("first", "mask", "b")).alias("one"), F.expr(_nth("other_first", "other", "b + by")).alias("two"))
+    ways = F.explode(F.expr("if(one = two, array(struct(one AS src, two AS dst)), array(struct(one AS src, two AS dst), struct(two AS src, one AS dst)))"))
+    return each.select("object_id", ways.alias("e")).select("object_id", "e.src", "e.dst")
 
 
 def neighbour_counts(cells: DataFrame, connectivity: int = 6) -> DataFrame:

@@ -304,6 +304,15 @@ def test_objects_are_dealt_in_bounded_tasks_and_joined_where_they_are(spark, sf_
         assert "ENSURE_REQUIREMENTS" not in plan, name
 
 
+def test_nodes_are_numbered_where_their_objects_are(spark, sf_dir):
+    from cairn.plans import stages
+    from cairn.plans.queries import QUERIES
+
+    before = stages.written()
+    plan = QUERIES["sparse_edges_6"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert stages.written() == before and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_lists_of_cells_are_not_broadcast(spark, sf_dir):
     from cairn.plans.queries import QUERIES
 
