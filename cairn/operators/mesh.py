@@ -7,8 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.sparse import WORD, numbered, with_bits, words
 from cairn.operators.voxel import fill_interior
-from cairn.plans.stages import materialize, ranked
 
 
 def mesh_points(triangles: DataFrame) -> DataFrame:
@@ -102,26 +102,76 @@ def boundary_faces(cells: DataFrame) -> DataFrame:
     return every.join(there.hint("merge"), ["object_id", "ni", "nj", "nk"], "left_anti").select("object_id", "i", "j", "k", "face")
 
 
+def _columns(cells: DataFrame) -> DataFrame:
+    """``object_id, i, j, w, mask, below, above``: words of cells along k, with the cell before their first and that after their last bit."""
+    last = WORD - 1
+    parts = F.array(
+        *[
+            F.struct(F.lit(d).alias("dw"), F.expr(m).alias("mask"), F.expr(b).alias("below"), F.expr(a).alias("above"))
+            for d, m, b, a in ((0, "mask", "0L", "0L"), (1, "0L", f"shiftrightunsigned(mask, {last}) & 1L", "0L"), (-1, "0L", "0L", "mask & 1L"))
+        ]
+    )
+    each = words(cells).select("object_id", "i", "j", "w", F.explode(parts).alias("p")).where("p.mask <> 0 OR p.below <> 0 OR p.above <> 0")
+    each = each.select("object_id", "i", "j", (F.col("w") + F.col("p.dw")).alias("w"), "p.mask", "p.below", "p.above")
+    return each.groupBy("object_id", "i", "j", "w").agg(*[F.bit_or(c).alias(c) for c in ("mask", "below", "above")])
+
+
+def _corners(columns: DataFrame) -> DataFrame:
+    """``object_id, x, y, w, spots, vid``: words of the corners along z that are vertices, and the number of the first.
+
+    A corner lies on the surface if some of the eight cells around it are
+    occupied and some aren't.
+    """
+    every = (1 << WORD) - 1
+    pairs = columns.withColumn("under", F.expr(f"(shiftleft(mask, 1) | below) & {every}L")).where("mask <> 0 OR below <> 0")
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (0, 1) for y in (0, 1)]))
+    at = pairs.select("object_id", "i", "j", "w", F.expr("mask | under").alias("some"), F.expr("mask & under").alias("both"), sides.alias("d"))
+    at = at.select("object_id", (F.col("i") + F.col("d.x")).alias("x"), (F.col("j") + F.col("d.y")).alias("y"), "w", "some", "both")
+    at = at.groupBy("object_id", "x", "y", "w").agg(F.expr("bit_or(some) & ~if(count(*) = 4, bit_and(both), 0L)").alias("spots"))
+    return numbered(at, ["x", "y", "w"], F.bit_count("spots"), "vid")
+
+
 def cube_mesh(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The surface of a voxel grid as an indexed mesh: ``object_id, vid, x, y, z`` and ``object_id, fid, a, b, c``.
 
     Faces between occupied neighbours are left out; the others are two
     triangles each, seen anticlockwise from outside. Vertices are shared and
     numbered from 0 within each object, in order of x, y, z, as are triangles
-    in order of cells and faces. Numbers come from range-sorted running totals
-    (``stages.ranked``), so an object may spread over any number of tasks.
-    Repeated cells count once.
+    in order of cells and faces. Repeated cells count once.
+
+    Words of cells along k meet their neighbours and the words of the four
+    columns of corners around them; numbers follow from the bits below. So
+    corners and faces are made at last only, and neither is shuffled.
     """
-    cells = cells.select("object_id", "i", "j", "k").distinct()
-    quads = materialize(boundary_faces(cells), "faces")
-    corners = F.element_at(F.array(*[F.array(*[F.struct(*[F.lit(int(n)).alias(a) for n, a in zip(c, "ijk")]) for c in four]) for _, four in FACES]), F.col("face") + 1)
-    at = quads.select("object_id", "i", "j", "k", "face", F.posexplode(corners).alias("corner", "c"))
-    at = at.select("object_id", F.struct("i", "j", "k", "face").alias("quad"), "corner", *[(F.col(a) + F.col(f"c.{a}")).alias(x) for a, x in zip("ijk", "xyz")])
-    spots = at.select("object_id", "x", "y", "z").distinct()
-    vertices = materialize(ranked(spots, [F.col(c) for c in ("object_id", "x", "y", "z")], "n", ["object_id"]).select("object_id", (F.col("n") - 1).alias("vid"), "x", "y", "z"), "vertices")
-    known = at.join(vertices.hint("merge"), ["object_id", "x", "y", "z"])
-    four = known.groupBy("object_id", "quad").agg(*[F.max(F.when(F.col("corner") == n, F.col("vid"))).alias(f"v{n}") for n in range(4)])
-    numbered = ranked(four, [F.col("object_id"), F.col("quad")], "n", ["object_id"])
+    columns = _columns(cells)
+    corners = _corners(columns)
+    vertices = with_bits(corners, "spots").select(
+        "object_id", F.expr("vid + bit_count(spots & (shiftleft(1L, b) - 1L))").alias("vid"), "x", "y", F.expr(f"w * {WORD} + b").alias("z")
+    )
+
+    moves = F.explode(F.array(*[F.struct(F.lit(f).alias("face"), F.lit(-way[0]).alias("di"), F.lit(-way[1]).alias("dj")) for f, (way, _) in enumerate([*FACES[:4], ((0, 0, 0), None)])]))
+    asks = columns.select("object_id", "i", "j", "w", "mask", "below", "above", moves.alias("m"))
+    asks = asks.select("object_id", (F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), "w", "mask", "below", "above", F.col("m.face").alias("face"))
+    own = [F.expr(f"bit_or(if(face = 4, {c}, 0L))").alias(c) for c in ("mask", "below", "above")]
+    met = asks.groupBy("object_id", "i", "j", "w").agg(*own, *[F.expr(f"bit_or(if(face = {f}, mask, 0L))").alias(f"n{f}") for f in range(4)]).where("mask <> 0")
+    behind = [*[f"n{f}" for f in range(4)], "(shiftleft(mask, 1) | below)", f"(shiftrightunsigned(mask, 1) | shiftleft(above, {WORD - 1}))"]
+    open_ = met.select("object_id", "i", "j", "w", *[F.expr(f"mask & ~{n}").alias(f"g{f}") for f, n in enumerate(behind)])
+    quads = numbered(open_, ["i", "j", "w"], sum((F.bit_count(f"g{f}") for f in range(1, 6)), F.bit_count("g0")))
+
+    around = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(2 * x + y).alias("slot")) for x in (0, 1) for y in (0, 1)]))
+    near = corners.select("object_id", "x", "y", "w", "spots", "vid", around.alias("d"))
+    near = near.select("object_id", (F.col("x") - F.col("d.x")).alias("i"), (F.col("y") - F.col("d.y")).alias("j"), "w", "spots", "vid", F.col("d.slot").alias("slot"))
+    near = near.groupBy("object_id", "i", "j", "w").agg(*[F.expr(f"max(if(slot = {s}, {c}, 0L))").alias(f"{c}{s}") for s in range(4) for c in ("spots", "vid")])
+
+    sides = []
+    for f, (_, four) in enumerate(FACES):
+        ends = [c for n, (x, y, z) in enumerate(four) for c in (F.col(f"spots{2 * x + y}").alias(f"s{n}"), F.col(f"vid{2 * x + y}").alias(f"v{n}"), F.lit(int(z)).alias(f"z{n}"))]
+        sides.append(F.struct(F.lit(f).alias("face"), F.col(f"g{f}").alias("shown"), *ends))
+    side = quads.join(near.hint("merge"), ["object_id", "i", "j", "w"]).select("object_id", "first", *[f"g{f}" for f in range(6)], F.explode(F.array(*sides)).alias("s"))
+    each = with_bits(side.select("object_id", "first", *[f"g{f}" for f in range(6)], "s.*"), "shown")
+    # quads of the cells before, and of this cell's faces before
+    nth = " + ".join(["first", *[f"bit_count(g{f} & (shiftleft(1L, b + if(face > {f}, 1, 0)) - 1L))" for f in range(6)]])
+    each = each.select("object_id", F.expr(nth).alias("n"), *[F.expr(f"v{n} + bit_count(s{n} & (shiftleft(1L, b + z{n}) - 1L))").alias(f"v{n}") for n in range(4)])
     two = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), *[F.col(f"v{n}").alias(v) for n, v in zip(t, "abc")]) for h, t in enumerate(((0, 1, 2), (0, 2, 3)))]))
-    faces = numbered.select("object_id", "n", two.alias("t")).select("object_id", (2 * (F.col("n") - 1) + F.col("t.h")).alias("fid"), "t.a", "t.b", "t.c")
+    faces = each.select("object_id", "n", two.alias("t")).select("object_id", (2 * F.col("n") + F.col("t.h")).alias("fid"), "t.a", "t.b", "t.c")
     return vertices, faces

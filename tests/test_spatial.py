@@ -135,6 +135,28 @@ def test_cube_mesh_encloses_its_cells(spark):
         assert sum(at[a] @ np.cross(at[b], at[c]) for _, a, b, c in tri) / 6 == pytest.approx(g.sum())
 
 
+def test_cube_mesh_over_long_rows_meets_words_where_objects_are(spark, sf_dir):
+    """A mesh of rows over several words is closed, and the query shuffles neither corners nor faces and writes nothing."""
+    from cairn.plans import stages
+    from cairn.plans.queries import QUERIES
+
+    rng = np.random.default_rng(8)
+    cells = {(int(i), int(j), int(k)) for i, j in itertools.product(range(2), range(3)) for k in np.flatnonzero(rng.random(200) < 0.6)} | {(4, 0, 61), (6, 0, 62), (8, 0, 123)}
+    vertices, faces = mesh.cube_mesh(spark.createDataFrame([("o", *c) for c in cells], "object_id string, i int, j int, k int"))
+    at = {r.vid: (r.x, r.y, r.z) for r in vertices.collect()}
+    assert [at[n] for n in range(len(at))] == sorted(at.values())
+    tri = {r.fid: (r.a, r.b, r.c) for r in faces.collect()}
+    shown = [(c, f) for c in sorted(cells) for f, (way, _) in enumerate(mesh.FACES) if tuple(np.add(c, way)) not in cells]
+    want = {}
+    for n, (c, f) in enumerate(shown):
+        four = [tuple(np.add(c, [int(x) for x in p]).tolist()) for p in mesh.FACES[f][1]]
+        want |= {2 * n: (four[0], four[1], four[2]), 2 * n + 1: (four[0], four[2], four[3])}
+    assert {n: tuple(at[v] for v in t) for n, t in tri.items()} == want
+    before = stages.written()
+    plan = QUERIES["cube_mesh"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert stages.written() == before and "ENSURE_REQUIREMENTS" not in plan
+
+
 # files
 
 
