@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.sources import archives
+from cairn.plans.stages import partitions
+from cairn.sources import archives, store
 from cairn.sources.stl import read_stl  # noqa: F401  beside the other readers
 
 TRIANGLES = "object_id string, face_id int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double"
@@ -104,6 +106,16 @@ def read_ray_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of the ``object_*`` folders (or partitions) under ``path``, by the files in them, which aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return files.select(F.regexp_extract("path", r"[/=]object_([^/]+)/", 1).alias("object_id")).where("object_id <> ''").distinct()
+    """Ids of the ``object_*`` folders (or partitions) under ``path``, by the files in them, which aren't read.
+
+    The folders right under ``path`` are listed once, what is in them by tasks.
+    """
+    tops = spark.createDataFrame([(n,) for n in store.names(path)], "name string").repartition(partitions(spark))
+    root = path.rstrip("/")
+
+    def run(batches):
+        for batch in batches:
+            found = {m[1] for name in batch.column(0).to_pylist() for rest in store.inside(root, name) if (m := re.search(r"[/=]object_([^/]+)/", rest))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["object_id"])
+
+    return tops.mapInArrow(run, "object_id string").distinct()

@@ -57,6 +57,25 @@ def files(uri: str, endings: tuple[str, ...], missing_ok: bool = False) -> list[
     return sorted(found)
 
 
+def names(uri: str) -> list[str]:
+    """What lies right under ``uri``, but for names that begin with ``_`` or ``.``; a path that isn't there raises ``FileNotFoundError``."""
+    from pyarrow import fs as pafs
+
+    fs, path = filesystem(uri)
+    return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name[0] not in "_.")
+
+
+def inside(uri: str, name: str) -> list[str]:
+    """Paths below ``uri``, beginning with ``/``, of the files at or under its entry ``name``; hidden ones are passed over."""
+    from pyarrow import fs as pafs
+
+    fs, path = filesystem(uri)
+    if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.File:
+        return [f"/{name}"]
+    paths = (f.path[len(path) :] for f in fs.get_file_info(pafs.FileSelector(f"{path}/{name}", recursive=True)) if f.type == pafs.FileType.File)
+    return [p for p in paths if "/_" not in p and "/." not in p]
+
+
 def reader(uri: str):
     """An open file that can seek."""
     fs, path = filesystem(uri)

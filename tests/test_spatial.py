@@ -382,3 +382,35 @@ def test_transport_rounds_broadcast_nothing(spark):
     plan, certificate = transport.exact_transport(pairs, sources, sinks)
     assert sorted(map(tuple, plan.collect())) == [("0", 0, 0, 1), ("0", 0, 1, 1)]
     assert "Broadcast" not in certificate._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folders_of_objects_are_found_below_the_asked_path(spark, tmp_path):
+    from cairn.sources import sinks
+
+    path = tmp_path / "object_base" / "found"  # a name above the asked path is no object
+    rows = spark.createDataFrame([(f"object_{n}", "x") for n in range(300)], "folder string, value string")
+    sinks.write_folders(rows, str(path))
+    for extra in ("folder=object_a/part.txt", "deep/object_b/in/part.txt", "_hidden/object_c/part.txt", "object_d/.part", "other/part.txt", "object_file"):
+        (path / extra).parent.mkdir(parents=True, exist_ok=True)
+        (path / extra).write_text("x")
+    (path / "object_empty").mkdir()
+    assert sorted(r.object_id for r in files.discover_objects(spark, str(path)).collect()) == sorted([*map(str, range(300)), "a", "b"])
+
+
+def test_maps_as_json_take_a_file_a_task(spark, sf_dir, tmp_path):
+    from cairn import schemas
+    from cairn.plans import queries
+    from cairn.sources import sinks
+
+    path, tree = tmp_path / "maps", queries.tree(spark, sf_dir)
+    sinks.write_tree_json(tree, str(path))
+    parts = [p for p in path.rglob("*") if p.suffix in (".txt", ".gz") and p.name[0] != "."]
+    assert 0 < len(parts) <= tree.rdd.getNumPartitions() and all(p.suffix == ".gz" for p in parts)
+    columns = [c.split()[0] for c in schemas.SUBDIVISION_MAP.split(", ")]
+    want = sorted(map(tuple, tree.select(*columns).collect()))
+    assert sorted(map(tuple, sinks.read_tree_json(spark, str(path)).collect())) == want
+    sinks.write_ndjson(tree, str(path))
+    assert all(p.suffix == ".gz" for p in path.glob("part-*"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "map.json").write_text('[\n {"object_id": "7", "level": 1},\n {"object_id": "7", "level": 2}\n]')
+    assert sinks.read_tree_json(spark, str(tmp_path / "one"), multiline=True).count() == 2
