@@ -304,6 +304,21 @@ def test_objects_are_dealt_in_bounded_tasks_and_joined_where_they_are(spark, sf_
         assert "ENSURE_REQUIREMENTS" not in plan, name
 
 
+def test_small_blocks_list_their_cells_once_and_from_bits(spark):
+    rng, rows = np.random.default_rng(4), []
+    for o, side in enumerate((16, 16, 9)):
+        rows += [(f"o{o}", *map(int, c)) for c in np.argwhere(rng.random((side,) * 3) < 0.4)]
+    cells = spark.createDataFrame(rows + rows[::3], "object_id string, i int, j int, k int")
+    for least in (1, 2, 4, 8):
+        want: dict[tuple, list[int]] = {}
+        for level, s in ((n, 16 >> n) for n in range(1, 5) if 16 >> n >= least):
+            for o, i, j, k in rows:
+                want.setdefault((o, level, i // s, j // s, k // s, s), []).append((i % s * s + j % s) * s + k % s)
+        found = octree.blocks(cells, 16, least)
+        assert {tuple(r)[:6]: r.occ for r in found.select("object_id", "level", "bi", "bj", "bk", "size", "occ").collect()} == {b: sorted(c) for b, c in want.items()}
+        assert "collect_" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nodes_are_numbered_where_their_objects_are(spark, sf_dir):
     from cairn.plans import stages
     from cairn.plans.queries import QUERIES
