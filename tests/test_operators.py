@@ -304,6 +304,22 @@ def test_objects_are_dealt_in_bounded_tasks_and_joined_where_they_are(spark, sf_
         assert "ENSURE_REQUIREMENTS" not in plan, name
 
 
+def test_blocks_are_hashed_from_bits_where_they_are(spark, capsys):
+    grid = np.random.default_rng(5).random((16, 16, 16)) < 0.1
+    for size, least in ((16, 4), (16, 1), (8, 4), (4, 2)):
+        part = grid[:size, :size, :size]
+        objects = names(spark, "0000", "0001").repartition(3, "object_id")
+        tree = octree.subdivide(grid_cells(spark, part).repartition(3, "object_id"), objects, size, least)
+        for r in tree.where("object_id = '0000'").collect():
+            x, y, z = r.global_position_x, r.global_position_y, r.global_position_z
+            block = part[x : x + r.size, y : y + r.size, z : z + r.size]
+            assert r.hash == hashlib.sha256(block.astype(np.uint8).tobytes()).hexdigest() and r.is_empty == (not block.any()) and r.is_full == bool(block.all())
+    capsys.readouterr()
+    octree.subdivide(grid_cells(spark, grid), names(spark, "0000"), 16, 4).explain()
+    plan = capsys.readouterr().out
+    assert "unhex" not in plan and "lpad" not in plan  # no strings of digits are made of the cells
+
+
 def test_small_blocks_list_their_cells_once_and_from_bits(spark):
     rng, rows = np.random.default_rng(4), []
     for o, side in enumerate((16, 16, 9)):
