@@ -124,6 +124,42 @@ def test_passages_whose_pieces_are_frequent_elsewhere(spark):
     assert sorted((r.doc_id, r.other_id, r.start, r.stop) for r in got) == [(5000, 5001, 50, 110), (5001, 5000, 50, 110)]
 
 
+def test_passages_of_forty_words_wherever_they_begin(spark):
+    rng, rows, want = random.Random(31), [], set()
+    for n in range(150):  # each piece of 30 words is frequent by itself, in texts of the least and greatest hashes as well
+        shared = words(rng, 40, 10**9)
+        bodies = [" ".join(words(rng, 20, 10**9) + shared + words(rng, 20, 10**9)) for _ in range(2)]
+        bodies += [" ".join(words(rng, 20, 10**9) + shared[at : at + 30] + words(rng, 20, 10**9)) for at in (0, 3, 7, 10) for _ in range(5)]
+        rows += [(100 * n + m, b) for m, b in enumerate(bodies)]
+        want |= {(100 * n, 100 * n + 1), (100 * n + 1, 100 * n)}
+    got = passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()
+    found = {(r.doc_id, r.other_id) for r in got}
+    assert found <= want and len(found) > 0.7 * len(want) and all((r.start, r.stop) == (20, 60) for r in got)
+
+
+def test_passages_of_texts_between_the_least_and_greatest_that_have_their_pieces(spark):
+    rng, rows, want = random.Random(32), [], set()
+    for n in range(40):
+        shared = words(rng, 60, 10**9)
+        fuzzy = list(shared)
+        for at in range(9, 60, 10):
+            fuzzy[at] = "changed"
+        parts = [shared, fuzzy] + [shared[at : at + 20] for at in (0, 10, 20, 30, 40) for _ in range(5)]
+        rows += [(100 * n + m, " ".join(words(rng, 20, 10**9) + part + words(rng, 20, 10**9))) for m, part in enumerate(parts)]
+        want |= {(100 * n, 100 * n + 1), (100 * n + 1, 100 * n)}
+    got = {(r.doc_id, r.other_id) for r in passages.shared_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
+def test_runs_of_repeated_words_are_all_kept():
+    part = ["a"] * 20 + [f"b{n}" for n in range(20)]
+    runs = []
+    for before in range(1, 9):  # the repeated word begins elsewhere in each
+        text = " ".join(["a"] * before + part + [f"c{before}{n}" for n in range(40)])
+        runs.append({(r["seed"], r["run"]) for r in passages.postings([text.encode()], [1], 5, 8, 0.28, 40).to_pylist() if r["run"] is not None})
+    assert all(x & y for x in runs for y in runs)
+
+
 def test_passages_go_on_as_far_as_they_agree(spark, monkeypatch):
     rng = random.Random(23)
     shared = words(rng, 300, 10**9)
