@@ -54,11 +54,10 @@ def build(spark: SparkSession, cells: DataFrame, objects: DataFrame, path: str,
     new = cells.join(todo, "object_id", "left_semi")
     fresh = octree.subdivide(new, todo, resolution, least)
     sinks.write_table(fresh, tree_path, "level", mode="append")
-    made = octree.blocks(new, resolution, least).withColumn("hash", octree.content_hash())
+    made = octree.unique_blocks(new, resolution, least)
     if held is not None:
         made = made.join(materialize(held.select("level", "hash").distinct(), "held").hint("merge"), ["level", "hash"], "left_anti")
-    unique = made.groupBy("level", "hash").agg(F.max("size").alias("size"), F.any_value("occ").alias("occ"))
-    sinks.write_table(unique, block_path, "level", mode="append")
+    sinks.write_table(made, block_path, "level", mode="append")
     tree = spark.read.parquet(tree_path)
     sinks.write_table(registry.registry(tree), f"{path}/registry", "level")
     _write_splits(spark, path, ratios, seed)

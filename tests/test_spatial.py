@@ -414,3 +414,14 @@ def test_maps_as_json_take_a_file_a_task(spark, sf_dir, tmp_path):
     (tmp_path / "one").mkdir()
     (tmp_path / "one" / "map.json").write_text('[\n {"object_id": "7", "level": 1},\n {"object_id": "7", "level": 2}\n]')
     assert sinks.read_tree_json(spark, str(tmp_path / "one"), multiline=True).count() == 2
+
+
+def test_unique_blocks_are_listed_after_they_are_made_unique(spark):
+    grid = np.random.default_rng(11).random((16, 16, 16)) < 0.3
+    at = [tuple(map(int, c)) for c in np.argwhere(grid)]
+    cells = spark.createDataFrame([(o, *c) for o in ("a", "b", "c") for c in at], "object_id string, i int, j int, k int")
+    for resolution, least in ((16, 2), (32, 4)):  # 32: also blocks of 16 cells a side, which aren't made of bits
+        each = octree.blocks(cells, resolution, least).withColumn("hash", octree.content_hash()).select("level", "hash", "size", "occ")
+        want = sorted(map(tuple, each.distinct().collect()))
+        unique = octree.unique_blocks(cells, resolution, least)
+        assert sorted(map(tuple, unique.collect())) == want
