@@ -58,20 +58,38 @@ def missing(needed: DataFrame, present: DataFrame) -> DataFrame:
     return needed.select("level", "hash").distinct().join(present, ["level", "hash"], "left_anti")
 
 
+#: Contents of most uses that are sent to the tasks; only rarer ones meet their blocks by a shuffle.
+FREQUENT = 20_000
+
+
+def _with_contents(tree: DataFrame, contents: DataFrame, *values: str) -> DataFrame:
+    """``tree`` with ``values`` of its blocks' contents, null for unknown ones; ``contents(_level, _hash, _uses, ...)`` has each content once.
+
+    A content such as the empty one, which most objects have, would bring its
+    blocks into one task, so the ``FREQUENT`` contents of most uses are broadcast.
+    """
+    on = (F.col("level") == F.col("_level")) & (F.col("hash") == F.col("_hash"))
+    few = contents.count() <= FREQUENT
+    top = contents if few else materialize(contents.orderBy(F.desc("_uses"), "_level", "_hash").limit(FREQUENT), "frequent")
+    found = tree.join(F.broadcast(top), on, "left")
+    if few:
+        return found.select(*tree.columns, *values)
+    rest = contents.join(F.broadcast(top.select("_level", "_hash")), ["_level", "_hash"], "left_anti")
+    met = found.where("_hash is null").select(*tree.columns).join(rest.hint("merge"), on, "left").select(*tree.columns, *values)
+    return found.where("_hash is not null").select(*tree.columns, *values).union(met)
+
+
 def new_flags(tree: DataFrame) -> DataFrame:
     """``tree`` with ``is_new``: whether a block, in order of objects and positions, is the first with its content."""
     at = F.struct("object_id", *(f"global_position_{x}" for x in "xyz"))
-    firsts = tree.groupBy(F.col("level").alias("_level"), F.col("hash").alias("_hash")).agg(F.min(at).alias("_first"))
-    firsts = materialize(firsts, "firsts")  # a plain table, so that the empty content's skew can be split
-    joined = tree.join(firsts.hint("merge"), (F.col("level") == F.col("_level")) & (F.col("hash") == F.col("_hash")))
-    return joined.select(*tree.columns, (at == F.col("_first")).alias("is_new"))
+    firsts = tree.groupBy(F.col("level").alias("_level"), F.col("hash").alias("_hash")).agg(F.min(at).alias("_first"), F.count("*").alias("_uses"))
+    return _with_contents(tree, materialize(firsts, "firsts"), "_first").select(*tree.columns, (at == F.col("_first")).alias("is_new"))
 
 
 def with_registry(tree: DataFrame, known: DataFrame) -> DataFrame:
     """Every block with the uses that the registry ``known`` counts for its content; 0 for contents that it lacks."""
-    counts = known.select(F.col("level").alias("_level"), F.col("hash").alias("_hash"), F.col("count").alias("uses"))
-    joined = tree.join(counts.hint("merge"), (F.col("level") == F.col("_level")) & (F.col("hash") == F.col("_hash")), "left")
-    return joined.select(*tree.columns, F.coalesce("uses", F.lit(0)).alias("uses"))
+    counts = known.select(F.col("level").alias("_level"), F.col("hash").alias("_hash"), F.col("count").alias("_uses"))
+    return _with_contents(tree, counts, "_uses").select(*tree.columns, F.coalesce("_uses", F.lit(0)).alias("uses"))
 
 
 def counters(known: DataFrame) -> DataFrame:

@@ -425,3 +425,18 @@ def test_unique_blocks_are_listed_after_they_are_made_unique(spark):
         want = sorted(map(tuple, each.distinct().collect()))
         unique = octree.unique_blocks(cells, resolution, least)
         assert sorted(map(tuple, unique.collect())) == want
+
+
+def test_frequent_contents_are_sent_to_their_blocks(spark, monkeypatch):
+    rows = [(f"o{n:02}", 1, h, n, 0, 0, n % 2 == 0) for n in range(40) for h in ("empty", f"h{n % 7}", "unknown")]
+    tree = spark.createDataFrame(rows, "object_id string, level int, hash string, global_position_x int, global_position_y int, global_position_z int, is_empty boolean")
+    known = tree.where("hash <> 'unknown'").groupBy("level", "hash").agg(F.count("*").alias("count"))
+    uses = {"empty": 40, "unknown": 0} | {f"h{x}": len(range(x, 40, 7)) for x in range(7)}
+    for most in (20_000, 3, 1):
+        monkeypatch.setattr(registry, "FREQUENT", most)
+        out = registry.with_registry(tree, known)
+        assert "Broadcast" in out._jdf.queryExecution().executedPlan().toString()
+        got = out.select("object_id", "hash", "uses").collect()
+        assert sorted(map(tuple, got)) == sorted((o, h, uses[h]) for o, _, h, *_ in rows)
+        new = registry.new_flags(tree).where("is_new").select("hash", "object_id").collect()
+        assert dict(map(tuple, new)) == {"empty": "o00", "unknown": "o00"} | {f"h{x}": f"o{x:02}" for x in range(7)} and len(new) == 9
