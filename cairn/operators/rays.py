@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.columns import number, template, uniform
 
@@ -132,20 +135,24 @@ def hits_box() -> Column:
     return (F.col("t_in") <= F.col("t_out")) & (F.col("t_out") >= 0)
 
 
-def _crossed(axis: str, h: float, resolution: int) -> str:
-    """The planes between entry and exit, rounded outwards."""
-    ends = f"o{axis} + d{axis} * begin + {h}, o{axis} + d{axis} * t_out + {h}"
+def _crossed(axis: str, h: float, resolution: int, every: int) -> str:
+    """The planes between entry and exit, one in ``every``, rounded outwards."""
+    ends = ", ".join(f"(o{axis} + d{axis} * {t} + {h})" + f" / {every}" * (every > 1) for t in ("begin", "t_out"))
     low = f"greatest(0, int(floor(least({ends}))))"
-    return f"sequence({low}, greatest({low}, least({resolution}, int(ceil(greatest({ends}))))))"
+    return f"sequence({low}, greatest({low}, least({-(-resolution // every)}, int(ceil(greatest({ends}))))))"
+
+
+def _cuts(resolution: int, every: int = 1) -> Column:
+    """The sorted distances ``begin``, ``t_out`` and those between at which a ray crosses planes, one in ``every``."""
+    h, at = resolution / 2, "p" if every == 1 else f"p * {every}"
+    planes = ", ".join(f"if(abs(d{a}) > {PARALLEL}, transform({_crossed(a, h, resolution, every)}, p -> ({at} - {h} - o{a}) * v{a}), array())" for a in "xyz")
+    return F.expr(f"array_sort(array_distinct(concat(array(begin, t_out), filter(concat({planes}), t -> t > begin AND t < t_out))))")
 
 
 def segments(rays: DataFrame, resolution: int) -> DataFrame:
     """``rays`` with ``cuts``: the sorted distances at which each ray enters, changes cells and leaves; null for misses."""
-    h = resolution / 2
     out = _slab(rays, resolution).withColumn("begin", F.greatest("t_in", F.lit(0.0)))
-    planes = ", ".join(f"if(abs(d{a}) > {PARALLEL}, transform({_crossed(a, h, resolution)}, p -> (p - {h} - o{a}) * v{a}), array())" for a in "xyz")
-    inner = f"filter(concat({planes}), t -> t > begin AND t < t_out)"
-    return out.withColumn("cuts", F.when(hits_box(), F.expr(f"array_sort(array_distinct(concat(array(begin, t_out), {inner})))")))
+    return out.withColumn("cuts", F.when(hits_box(), _cuts(resolution)))
 
 
 def _cell(axis: str, h: float) -> str:
@@ -186,15 +193,69 @@ def trace(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
     return joined.select("ray_id", "object_id", total.alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
 
 
-def trace_cells(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
-    """As ``trace`` for grids of any size: segments are exploded and joined with cells on the cell key."""
+#: Cells a side of the bricks of ``trace_cells``; four rows of one are a bigint.
+BRICK = 16
+
+
+def _bricks(cells: DataFrame) -> DataFrame:
+    """``object_id, bi, bj, bk, words``: occupied bricks as 64 bigints, four for each i, each the bits of four rows along k."""
+    inner = {a: f"pmod({a}, {BRICK})" for a in "ijk"}
+    at = [F.expr(f"int(({a} - {inner[a]}) div {BRICK})").alias(f"b{a}") for a in "ijk"]
+    rows = [F.expr(f"bit_or(if({inner['j']} div 4 = {n}, shiftleft(1L, int({inner['j']} % 4 * {BRICK} + {inner['k']})), 0L))").alias(f"m{n}") for n in range(4)]
+    plane = cells.groupBy("object_id", *at, F.expr(f"int({inner['i']})").alias("i")).agg(*rows)
+    brick = plane.groupBy("object_id", "bi", "bj", "bk").agg(F.map_from_entries(F.collect_list(F.struct("i", F.array(*[f"m{n}" for n in range(4)]).alias("rows")))).alias("planes"))
+    whole = F.expr(f"flatten(transform(sequence(0, {BRICK - 1}), i -> coalesce(planes[i], array(0L, 0L, 0L, 0L))))")
+    return brick.select("object_id", "bi", "bj", "bk", whole.alias("words"))
+
+
+def crossed_bricks(rays: DataFrame, resolution: int) -> DataFrame:
+    """``rays`` once for each brick that they cross, ``bi, bj, bk``, with the distances ``begin`` and ``end`` between which they do; those that miss the box once, with nulls."""
+    h = resolution / 2
+    out = _slab(rays, resolution).withColumn("begin", F.greatest("t_in", F.lit(0.0)))
+    out = out.withColumn("cuts", F.when(hits_box(), _cuts(resolution, every=BRICK)))
+    in_brick = ", ".join(f"'b{a}', int(floor((o{x} + d{x} * (cuts[n] + cuts[n + 1]) / 2 + {h}) / {BRICK}))" for a, x in zip("ijk", "zyx", strict=True))
+    parts = f"if(size(cuts) > 1, transform(sequence(0, size(cuts) - 2), n -> named_struct({in_brick}, 'begin', cuts[n], 'end', cuts[n + 1])), null)"
+    return out.select("ray_id", "object_id", *[f"{p}{a}" for p in "od" for a in "xyz"], F.expr(f"inline_outer({parts})"))
+
+
+def _walk(resolution: int):
+    """A function of rays, the stretches ``begin, end`` that they have in a brick, and its place and words (null: empty): their length inside occupied cells."""
     h = resolution / 2
-    ready = segments(rays, resolution)
-    # not a filter on the cuts: pushed to the scan, it would compute them twice
-    steps = ready.select("ray_id", "object_id", F.expr(f"inline({_steps(h)})"))
-    sums = steps.join(cells.hint("merge"), ["object_id", "i", "j", "k"], "left_semi").groupBy("ray_id", "object_id").agg(F.sum("len").alias("len"))
-    out = rays.select("ray_id", "object_id").join(sums, ["ray_id", "object_id"], "left")
-    return out.select("ray_id", "object_id", F.coalesce("len", F.lit(0.0)).alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
+
+    @F.pandas_udf(T.DoubleType())
+    def walk(ox: pd.Series, oy: pd.Series, oz: pd.Series, dx: pd.Series, dy: pd.Series, dz: pd.Series, begin: pd.Series, end: pd.Series, bi: pd.Series, bj: pd.Series, bk: pd.Series, words: pd.Series) -> pd.Series:
+        out, full = np.zeros(len(words)), words.notna().to_numpy()
+        columns = lambda *c: np.stack([x.to_numpy(np.float64)[full] for x in c], axis=1)
+        if full.any():
+            o, d, ends, base = columns(oz, oy, ox), columns(dz, dy, dx), columns(begin, end), columns(bi, bj, bk) * BRICK
+            with np.errstate(divide="ignore"):
+                v = np.where(np.abs(d) > PARALLEL, 1.0 / d, np.inf)
+            planes = base[:, :, None] + np.arange(BRICK + 1)
+            with np.errstate(invalid="ignore"):
+                t = (planes - h - o[:, :, None]) * v[:, :, None]
+            inner = (t > ends[:, :1, None]) & (t < ends[:, 1:, None]) & (planes <= resolution)
+            cuts = np.sort(np.concatenate([ends, np.where(inner, t, ends[:, 1:, None]).reshape(len(t), -1)], axis=1), axis=1)
+            twice = cuts[:, :-1] + cuts[:, 1:]
+            i, j, k = (np.floor(o[:, a, None] + d[:, a, None] * twice / 2 + h).astype(np.int64) - base[:, a, None].astype(np.int64) for a in range(3))
+            inside = (np.minimum(np.minimum(i, j), k) >= 0) & (np.maximum(np.maximum(i, j), k) < BRICK)
+            i, j, k = (np.where(inside, x, 0) for x in (i, j, k))
+            bits = np.take_along_axis(np.stack(words[full].to_numpy()), i * 4 + j // 4, axis=1) >> (j % 4 * BRICK + k) & 1
+            out[full] = np.where(inside & (bits == 1), np.diff(cuts, axis=1), 0.0).sum(axis=1)
+        return pd.Series(out)
+
+    return walk
+
+
+def trace_cells(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
+    """As ``trace`` for grids of any size; ``ray_id`` must be unique.
+
+    Rays are exploded into the bricks that they cross, not into segments; those
+    meet the bricks' bit masks, in whose planes an Arrow kernel walks them.
+    """
+    met = crossed_bricks(rays, resolution).join(_bricks(cells).hint("merge"), ["object_id", "bi", "bj", "bk"], "left")
+    length = _walk(resolution)(*[f"{p}{a}" for p in "od" for a in "xyz"], "begin", "end", "bi", "bj", "bk", "words")
+    out = met.select("ray_id", "object_id", length.alias("len")).groupBy("object_id", "ray_id").agg(F.sum("len").alias("distance"))
+    return out.select("ray_id", "object_id", "distance").withColumn("hit", (F.col("distance") > 0).cast("int"))
 
 
 def trace_exit(rays: DataFrame, resolution: int) -> DataFrame:

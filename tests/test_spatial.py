@@ -440,3 +440,20 @@ def test_frequent_contents_are_sent_to_their_blocks(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted((o, h, uses[h]) for o, _, h, *_ in rows)
         new = registry.new_flags(tree).where("is_new").select("hash", "object_id").collect()
         assert dict(map(tuple, new)) == {"empty": "o00", "unknown": "o00"} | {f"h{x}": f"o{x:02}" for x in range(7)} and len(new) == 9
+
+
+def test_rays_meet_bricks_and_not_cells(spark):
+    rng = np.random.default_rng(12)
+    grid = rng.random((40, 40, 40)) < 0.4
+    cells = spark.createDataFrame([("g", *map(int, c)) for c in np.argwhere(grid)], "object_id string, i int, j int, k int")
+    origin = rng.normal(size=(60, 3))
+    origin *= 50 / np.linalg.norm(origin, axis=1, keepdims=True)
+    way = rng.uniform(-12, 12, (60, 3)) - origin
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    rows = [(n, "g" if n % 10 else "none", *map(float, o), *map(float, w)) for n, (o, w) in enumerate(zip(origin, way, strict=True))]
+    rows += [(60, "g", 90.0, 90.0, 90.0, 1.0, 0.0, 0.0), (61, "g", 0.25, 0.25, -60.0, 0.0, 0.0, 1.0), (62, "g", 0.3, 0.2, 0.1, 0.6, 0.8, 0.0)]
+    ray = spark.createDataFrame(rows, "ray_id long, object_id string, ox double, oy double, oz double, dx double, dy double, dz double")
+    got, want = ({r.ray_id: r.distance for r in f(ray, cells, 40).collect()} for f in (rays.trace_cells, rays.trace))
+    assert got == pytest.approx(want, abs=1e-9) and len(got) == 63 and got[60] == 0 and got[61] > 0
+    assert rays.crossed_bricks(ray, 40).groupBy("ray_id").count().agg(F.max("count")).first()[0] <= 7  # of 3 by 3 by 3
+    assert rays.crossed_bricks(ray, 16).count() == 63
