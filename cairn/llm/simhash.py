@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import components, materialize, table, unwrapped, wrapped
+from .runtime import components, discard, materialize, partitions, sent, table, unwrapped, wrapped
 
 #: Fingerprints in a bucket from which it is linked through centres instead of pairs.
 CROWDED = 64
@@ -188,8 +188,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose complete fingerprints are near and whose sets of shingles are as similar as asked for."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = prints.join(wanted, "node").groupBy("node").agg(F.first(F.struct("segments", "grams")).alias("s"))
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = prints.join(sent(wanted), "node").groupBy("node").agg(F.first(F.struct("segments", "grams")).alias("s"))
     sets = materialize(sets.select("node", "s.*"), "sets")
     sides = pairs
     for c in "ab":
@@ -197,7 +197,9 @@ def _similar(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFram
     apart = F.expr("aggregate(zip_with(segments_a, segments_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     either = F.size("grams_a") + F.size("grams_b") - both
-    return materialize(sides.where((apart <= FAR) & (both >= similarity * either - 1e-9)).select("a", "b"), "similar")
+    out = materialize(sides.where((apart <= FAR) & (both >= similarity * either - 1e-9)).select("a", "b"), "similar")
+    discard(wanted, sets)
+    return out
 
 
 def similar_components(prints: DataFrame, similarity: float) -> DataFrame:
@@ -211,7 +213,10 @@ def similar_components(prints: DataFrame, similarity: float) -> DataFrame:
     A bucket isn't expanded into pairs. First each of its sets meets the
     bucket's least; then those outside the bucket's most frequent component
     meet all of its sets that are of other components, which leaves out only
-    pairs that are connected already.
+    pairs that are connected already. They meet with their complete
+    fingerprints, so that of a crowd of less similar sets no pairs are made,
+    and in a segment in which they agree under its own key only. What isn't
+    needed any more is deleted.
     """
     nodes = materialize(prints.select("node", "head", "segments", "unsure").dropDuplicates(["node"]), "nodes")
     each = UNSURE + 1
@@ -224,20 +229,36 @@ def similar_components(prints: DataFrame, similarity: float) -> DataFrame:
     posts = materialize(posts.where("n > 1").select("key", "node", "head", F.col("least.node").alias("least"), F.col("least.head").alias("least_head"), "n"), "buckets")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= HEAD_FAR
     stars = posts.where((F.col("node") != F.col("least")) & near("head", "least_head")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    found = _similar(materialize(stars, "stars"), prints, similarity)
-    comp = components(found)
-    members = posts.where("n > 2").select("key", "node", "head").join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    members = materialize(members.select("key", "node", "head", F.coalesce("root", "node").alias("root")), "members")
-    sizes = members.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("main"))
-    split = materialize(sizes.where("roots > 1").select("key", F.col("main.root").alias("main")), "split")
-    open_ = materialize(members.join(split, "key"), "open")
-    one = open_.where("root <> main").select("key", F.col("node").alias("a"), F.col("head").alias("head_a"), F.col("root").alias("root_a"))
-    all_ = open_.select("key", F.col("node").alias("b"), F.col("head").alias("head_b"), F.col("root").alias("root_b"))
-    rest = one.join(all_.hint("merge"), "key").where((F.col("root_a") != F.col("root_b")) & near("head_a", "head_b"))
+    stars = materialize(stars, "stars")
+    found = _similar(stars, prints, similarity)
+    linked = components(found)
+    comp = materialize(linked, "comp")
+    discard(linked)
+    members = posts.where("n > 2").select("key", "node", "head").join(sent(comp.withColumnRenamed("node", "_node")), F.col("node") == F.col("_node"), "left")
+    members = members.select("key", "node", "head", F.coalesce("root", "node").alias("root")).repartition(partitions(prints.sparkSession), "key")
+    members = members.withColumn("size", F.count("*").over(Window.partitionBy("key", "root")))
+    main, least, most = (f(c).over(Window.partitionBy("key")).alias(n) for f, c, n in ((F.max, F.struct("size", "root"), "main"), (F.min, "root", "least"), (F.max, "root", "most")))
+    open_ = materialize(members.select("key", "node", "head", "root", main, least, most).where("least <> most").select("key", "node", "head", "root", F.col("main.root").alias("main")), "open")
+    discard(stars, posts)
+    pairs_of_segments = [f"shiftleft(cast(segments[{n}] as bigint), {WIDTH})" + (f" | segments[{n + 1}]" if n + 1 < SEGMENTS else "") for n in range(0, SEGMENTS, 2)]
+    wide = nodes.select(F.col("node").alias("_node"), "segments", *[F.expr(x).alias(f"f{n}") for n, x in enumerate(pairs_of_segments)])
+    full = open_.join(sent(wide), F.col("node") == F.col("_node"))
+    full = materialize(full.select("key", "node", "head", "root", "main", F.expr(f"cast(segments[cast(shiftright(key, {WIDTH}) as int)] as bigint)").alias("own"), *[f"f{n}" for n in range(len(pairs_of_segments))]), "full")
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in full.columns if x not in ("key", "node")]
+    one, all_ = full.where("root <> main").select("key", F.col("node").alias("a"), *side("a")), full.select("key", F.col("node").alias("b"), *side("b"))
+    apart = F.expr(" + ".join(f"bit_count(f{n}_a ^ f{n}_b)" for n in range(len(pairs_of_segments))))
+    once = ((F.col("root_b") == F.col("main_b")) | (F.col("a") > F.col("b"))) & ((F.col("own_a") != F.col("own_b")) | (F.expr(f"key & {(1 << WIDTH) - 1}L") == F.col("own_a")))
+    rest = one.join(all_.hint("merge"), "key").where((F.col("root_a") != F.col("root_b")) & once & near("head_a", "head_b") & (apart <= FAR))
     rest = materialize(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "rest")
+    discard(nodes, open_, full)
     if rest.isEmpty():
+        discard(found, rest)
         return comp
-    return components(found.union(_similar(rest, prints, similarity)))
+    more = _similar(rest, prints, similarity)
+    linked = components(found.union(more))
+    out = materialize(linked, "comp")
+    discard(linked, found, comp, rest, more)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -259,10 +280,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     comp = similar_components(prints, similarity)
     rows = prints.select("doc_id", "h", F.col("node").alias("fp")).join(comp, F.col("fp") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"))
     rows = materialize(rows.groupBy("doc_id", "h", "root").count(), "rooted")
+    discard(prints, comp)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("best"))
     best = materialize(best, "best")  # a plain table, so that skew in the join can be split
     judged = rows.join(best, "root").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
     judged = materialize(judged.where("not stays or count > 1").select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_hash"), "stays"), "judged")
+    discard(rows, best)
     given, same = wrapped(docs), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))
     kept = given.join(judged, same, "left_anti")
     again = given.join(judged.where("stays"), same).select(*given.columns).groupBy("id", "hash").agg(F.any_value("given").alias("given"))

@@ -804,3 +804,19 @@ def test_pipeline(spark, sf_dir):
 
 def test_digest_of_no_spans():
     assert secrets.digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+def test_near_copies_leave_one_table(spark):
+    import os
+
+    from cairn.llm.runtime import scratch_dir
+    from cairn.llm.simhash import one_of_each
+
+    same = [f"w{n}" for n in range(100)]
+    texts = [" ".join(same[:n] + [f"x{n}"] + same[n + 1 :]) for n in range(0, 100, 10)] + ["", None, "some other text of a few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = scratch_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder))
+    out = one_of_each(docs)
+    assert len(set(os.listdir(folder)) - before) == 1  # what the result reads
+    assert {r.doc_id for r in out.collect()} >= {0, 10, 12} and out.count() < 12
