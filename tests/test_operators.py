@@ -335,6 +335,17 @@ def test_small_blocks_list_their_cells_once_and_from_bits(spark):
         assert "collect_" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_registries_are_counted_once_written(spark, tmp_path):
+    from cairn.plans.build import build
+
+    cells = spark.createDataFrame([(o, i, j, 0) for n, o in enumerate("abc") for i in range(4) for j in range(n + 1)], "object_id string, i int, j int, k int")
+    objects = spark.createDataFrame([(o,) for o in "abc"], "object_id string")
+    got = build(spark, octree.words(cells), objects, str(tmp_path / "d"), 8, 4)
+    tree = octree.subdivide(cells, objects, 8, 4)
+    assert got.collect() == registry.level_stats(tree).collect() and "registry" in got.inputFiles()[0]
+    assert sorted(map(repr, registry.overall_counts(registry.registry(tree)).collect())) == sorted(map(repr, registry.overall_stats(tree).collect()))
+
+
 def test_nodes_are_numbered_where_their_objects_are(spark, sf_dir):
     from cairn.plans import stages
     from cairn.plans.queries import QUERIES
