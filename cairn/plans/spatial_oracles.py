@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from cairn.plans.oracles import CELLS, MATRIX, OBJECTS, ORACLE_SQL, RAYS, TRACED, TREE, USAGE, r, u
+from cairn.plans.oracles import CELLS, MATRIX, ORACLE_SQL, RAYS, TRACED, TREE, USAGE, r, u
 
 CORNERS = [f"{v}_{a}" for v in "abc" for a in "xyz"]  # "by" alone would be a keyword
 TRIANGLES = f"""triangles AS (
@@ -129,10 +129,11 @@ SPATIAL = {
         JOIN (SELECT object_id, count(*) AS n_faces, sum((fid + 1) * (a * 3 + b * 5 + c * 7))::BIGINT AS face_sum FROM faces GROUP BY object_id) USING (object_id)""",
     "stl_roundtrip": f"""WITH {TRIANGLES} SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY face_id) - 1 AS face_id, {', '.join(f'{r(c)} AS "{c.replace("_", "")}"' for c in CORNERS)} FROM triangles""",
     "rays_of_level": f"""WITH {TRACED} SELECT 1::BIGINT AS level, object_id AS hash, ray_id, hit, ray_id % 6 AS face_id, ray_id % 36 AS view_id, {r('distance::FLOAT', 3)} AS distance FROM traced WHERE ray_id % 3 = 1""",
-    "manifest_build": f"""WITH {CELLS}, {OBJECTS}, o AS (SELECT object_id, object_id::INT AS n FROM objects),
+    "manifest_build": f"""WITH {TREE}, o AS (SELECT object_id, object_id::INT AS n FROM objects),
+        lost AS (SELECT DISTINCT object_id FROM tree WHERE NOT is_empty AND hash LIKE '3%' AND (object_id::INT % 7 <> 0 OR global_position_z < 8)),
         latest AS (SELECT object_id, count(*) AS n_cells FROM cells WHERE object_id::INT % 7 <> 0 OR k < 8 GROUP BY object_id), early AS (SELECT object_id, count(*) AS n_before FROM cells WHERE object_id::INT % 2 = 0 GROUP BY object_id)
-        SELECT object_id, CASE WHEN n % 2 = 0 AND n % 7 <> 0 THEN 1 ELSE 2 END::BIGINT AS made_in, coalesce(n_cells, 0) AS n_cells, n_before
-        FROM o LEFT JOIN latest USING (object_id) LEFT JOIN early USING (object_id)""",
+        SELECT o.object_id, CASE WHEN lost.object_id IS NOT NULL THEN 3 WHEN n % 2 = 0 AND n % 7 <> 0 THEN 1 ELSE 2 END::BIGINT AS made_in, coalesce(n_cells, 0) AS n_cells, n_before
+        FROM o LEFT JOIN latest USING (object_id) LEFT JOIN early USING (object_id) LEFT JOIN lost ON lost.object_id = o.object_id""",
     "blocks_in_boxes": f"WITH {TREE}, {ASKED} SELECT box_id, object_id, level, {POSITIONS}, hash FROM tree JOIN asked ON box_id = object_id WHERE {INSIDE}",
     "block_descendants": f"""WITH {TREE}, top AS (SELECT object_id, level, {', '.join(f'global_position_{a} AS l{a}, global_position_{a} + size AS h{a}' for a in 'xyz')} FROM tree WHERE level = 1 AND octant_index = 0)
         SELECT top.level || ':' || lx || ':' || ly || ':' || lz AS box_id, tree.object_id, tree.level, octant_index, {POSITIONS}, is_empty FROM tree JOIN top ON tree.object_id = top.object_id AND tree.level > top.level WHERE {INSIDE}""",

@@ -320,6 +320,13 @@ def test_words_are_cells_and_maps_without_changes_are_read_without_a_join(spark,
     assert of(Dataset(spark, three.path)) == first
 
 
+def test_lost_blocks_are_made_again_in_a_third_version(spark, sf_dir):
+    from cairn.plans.queries import QUERIES
+
+    rows = QUERIES["manifest_build"](spark, sf_dir).collect()
+    assert {r.made_in for r in rows} == {1, 2, 3} and all(r.n_before is None or r.n_cells <= r.n_before for r in rows)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from cairn.cli import main
 
