@@ -361,6 +361,28 @@ def test_lists_of_cells_are_not_broadcast(spark, sf_dir):
     assert "BroadcastExchange" not in QUERIES["monte_carlo_transfer"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_paths_do_not_depend_on_what_is_walked_beside_them(spark):
+    p, rng = scatter.OpticalProperties(0.4, 0.1, 0.3), np.random.default_rng(5)
+    grids = {"a": rng.random((6, 6, 6)) < 0.4, "b": rng.random((6, 6, 6)) < 0.7}
+    grids["c"] = grids["a"]
+    one = {s: scatter.simulate(g, np.arange(96), p, 2, 4, 50, 256, 42) for s, g in grids.items()}
+    assert np.array_equal(one["a"][7:9], scatter.simulate(grids["a"], np.arange(7, 9), p, 2, 4, 50, 256, 42)) and not np.array_equal(one["a"], one["b"])
+    cells = spark.createDataFrame([(s, *map(int, c)) for s, g in grids.items() for c in np.argwhere(g)], CELLS)
+    lit = spark.createDataFrame([(s, n) for s in grids for n in range(96)], "structure string, in_idx int")
+    got = {(r.structure, r.in_idx, r.out_idx): r.value for r in scatter.transfer_matrix(lit, cells, 6, p, 2, 4, samples=50).collect()}
+    assert got == {(s, int(i), int(q * 4 + m)): v[i, q, m] for s, v in one.items() for i, q, m in np.argwhere(v)}
+    # without cells light goes straight on to the border
+    straight = scatter.simulate(np.zeros((6, 6, 6), bool), np.array([0]), p, 1, 1, 40_000, 256, 42)[0, :, 0]
+    r, phi, y, z = np.sqrt(rng.random(40_000)), 2 * np.pi * rng.random(40_000), *rng.random((2, 40_000))
+    d = np.stack([np.sqrt(1 - r * r), r * np.cos(phi), r * np.sin(phi)])
+    out = (np.where(d > 0, 1.0, 0.0) - np.stack([0 * y, y, z])) / d
+    axis = out.argmin(0)
+    face = 2 * axis + (d[axis, np.arange(40_000)] < 0)
+    face[axis == 0] = 1  # lit is +X
+    want = np.bincount(face, np.abs(d[axis, np.arange(40_000)]), 6) / 40_000 * 0.282094791773878**2
+    assert straight == pytest.approx(want, rel=0.05)
+
+
 def test_rare_draws_are_those_of_the_uniform_numbers(spark):
     from cairn.functions.columns import rarely, uniform
 
