@@ -361,6 +361,15 @@ def test_lists_of_cells_are_not_broadcast(spark, sf_dir):
     assert "BroadcastExchange" not in QUERIES["monte_carlo_transfer"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_transfer_matrices_are_whole_and_cells_stay_where_they_are(spark, sf_dir):
+    from cairn.plans.queries import QUERIES
+
+    rows = QUERIES["monte_carlo_transfer"](spark, sf_dir)
+    assert {n for _, n in rows.groupBy("structure").count().collect()} == {24}
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1]
+    assert "MapInArrow" in plan and "ENSURE_REQUIREMENTS" not in plan[plan.index("MapInArrow") :].split("Initial Plan")[0]
+
+
 def test_paths_do_not_depend_on_what_is_walked_beside_them(spark):
     p, rng = scatter.OpticalProperties(0.4, 0.1, 0.3), np.random.default_rng(5)
     grids = {"a": rng.random((6, 6, 6)) < 0.4, "b": rng.random((6, 6, 6)) < 0.7}
