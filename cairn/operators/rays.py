@@ -178,8 +178,8 @@ def masks(cells: DataFrame, resolution: int) -> DataFrame:
     return plane.groupBy("object_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "rows"))).alias("planes"))
 
 
-def trace(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
-    """``ray_id, object_id, distance, hit``: each ray's length inside its object's occupied cells.
+def trace(rays: DataFrame, cells: DataFrame, resolution: int, whole: bool = False) -> DataFrame:
+    """``ray_id, object_id, distance, hit``: each ray's length inside its object's occupied cells; if ``whole``, with the rays' ``ox .. dz``.
 
     Objects are compacted to bit masks, so the rays are joined once, on their
     object, and walked without exploding them into segments.
@@ -190,7 +190,7 @@ def trace(rays: DataFrame, cells: DataFrame, resolution: int) -> DataFrame:
     inside = " AND ".join(f"s.{a} BETWEEN 0 AND {resolution - 1}" for a in "ijk")
     add = f"if({inside} AND getbit(planes[s.i][s.j], s.k) = 1, s.len, 0D)"
     total = F.expr(f"if(cuts IS NULL OR planes IS NULL, 0D, aggregate({_steps(h)}, 0D, (t, s) -> t + {add}))")
-    return joined.select("ray_id", "object_id", total.alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
+    return joined.select("ray_id", "object_id", *[f"{p}{a}" for p in "od" for a in "xyz" if whole], total.alias("distance")).withColumn("hit", (F.col("distance") > 0).cast("int"))
 
 
 #: Cells a side of the bricks of ``trace_cells``; four rows of one are a bigint.

@@ -230,6 +230,26 @@ def test_failed_jobs_leave_no_archives(spark, tmp_path):
     assert got.exceptAll(maps).isEmpty() and maps.exceptAll(got).isEmpty()
 
 
+def test_bundles_hold_many_contents(spark, tmp_path):
+    rays_of = contents(spark)
+    archives.write_rays(rays_of.repartition(3), str(tmp_path / "r"), bundled=True)
+    assert sorted(os.listdir(tmp_path / "r")) == ["level_0", "level_1"]
+    assert os.listdir(tmp_path / "r/level_0") == ["bundles"] and len(os.listdir(tmp_path / "r/level_0/bundles")) == 3  # a file a task, not one a content
+    back = archives.read_archives(spark, str(tmp_path / "r"), "rays")
+    assert back.drop("error").exceptAll(rays_of).isEmpty() and rays_of.exceptAll(back.drop("error")).isEmpty()
+    assert back.where("level = 0").count() == 300 and back.where("level = 1 AND hash IN ('ab1', 'ab3')").count() == 120 and back.where("hash = 'ab9'").isEmpty()
+    (tmp_path / "r/level_1/bundles/x_rays.npz").write_bytes(b"x")
+    assert [(r.level, r.hash, r.ray_id) for r in back.where("error IS NOT NULL").collect()] == [(1, None, None)]
+    archives.write_rays(rays_of, str(tmp_path / "r"))  # in place of the bundles
+    back = archives.read_archives(spark, str(tmp_path / "r"), "rays")
+    assert back.count() == 600 and back.where("error IS NOT NULL").isEmpty() and not os.listdir(tmp_path / "r/level_1/bundles")
+    maps = spark.range(500).selectExpr("concat('o', id % 7) AS object_id", "int(id % 3) AS view_id", "int(id div 21) AS row", "int(id % 5) AS col", "float(id) AS distance", "int(id % 2) AS hit")
+    archives.write_distance_maps(maps.repartition(2), str(tmp_path / "m"), bundled=True)
+    got = files.read_distance_maps(spark, str(tmp_path / "m"))
+    assert len(os.listdir(tmp_path / "m/bundles")) == 2 and got.exceptAll(maps).isEmpty() and maps.exceptAll(got).isEmpty()
+    assert got.where("object_id = 'o3' AND view_id = 1").count() == maps.where("object_id = 'o3' AND view_id = 1").count() > 0
+
+
 def test_broken_mesh_archives_are_rows(spark, tmp_path):
     np.savez(tmp_path / "m.npz", vertices=np.eye(3), faces=np.array([[0, 1, 2]]))
     np.savez(tmp_path / "other.npz", x=np.eye(3))
