@@ -58,6 +58,15 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 CSR = "ids array<long>, words array<long>, indptr array<int>, indices array<int>, counts array<int>"
+#: Entries up to which a block is filled, or one longer document.
+ENTRIES = 1 << 15
+#: Bytes of a row group of the written matrix, as readers hold a whole one.
+GROUP = 16 << 20
+
+
+def _cut(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``rows`` as lists that end at ``ends``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), rows)
 
 
 def _block(ids: pa.Array, texts: pa.Array, runs: int, buckets: int) -> pa.RecordBatch:
@@ -69,9 +78,15 @@ def _block(ids: pa.Array, texts: pa.Array, runs: int, buckets: int) -> pa.Record
         keys.append(text[whole] * buckets + crc32_of(line, starts[whole], spans) % buckets)
     cells, counts = np.unique(np.concatenate(keys), return_counts=True)
     indptr = np.searchsorted(cells, np.arange(len(texts) + 1) * buckets)
-    values = [ids.to_pylist(), np.bincount(text, minlength=len(texts)), indptr, cells % buckets, counts]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(k)) for v, k in zip(values, kinds)], names=[c.split()[0] for c in CSR.split(", ")])
+    cuts = [0]
+    while cuts[-1] < len(texts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(indptr, indptr[cuts[-1]] + ENTRIES, "right")) - 1))
+    at, n = np.array(cuts), np.diff(cuts)
+    own = np.concatenate([indptr[a : b + 1] - indptr[a] for a, b in zip(cuts, cuts[1:])])
+    ids, words = pa.array(ids.to_pylist(), pa.int64()), pa.array(np.bincount(text, minlength=len(texts)), pa.int64())
+    columns = [_cut(ids, at[1:]), _cut(words, at[1:]), _cut(pa.array(own, pa.int32()), np.cumsum(n + 1))]
+    columns += [_cut(pa.array(x, pa.int32()), indptr[at[1:]]) for x in (cells % buckets, counts)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CSR.split(", ")])
 
 
 def count_matrix(docs: DataFrame, runs: int = 1, buckets: int = 10_000) -> DataFrame:
@@ -82,7 +97,8 @@ def count_matrix(docs: DataFrame, runs: int = 1, buckets: int = 10_000) -> DataF
     by spaces, and counts in bucket ``crc32 % buckets``. Row ``i`` of a block
     is the document ``ids[i]`` of ``words[i]`` words, with ``counts`` in
     ``indices`` from ``indptr[i]`` up to ``indptr[i + 1]``. A block has up to
-    2,000 documents or 4 MiB of text, or one longer text.
+    2,000 documents or ``ENTRIES`` counts, or one longer text, as Parquet's
+    writer holds a hundred rows before it looks at their size.
 
     Null and empty texts are rows without counts, null ids stay null, repeated
     rows are rows of their own, and an empty table has no blocks.
@@ -96,8 +112,11 @@ def count_matrix(docs: DataFrame, runs: int = 1, buckets: int = 10_000) -> DataF
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, CSR)
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy()
+def _blocks(batch: pa.RecordBatch, *names: str):
+    """The arrays ``names`` of one block of ``batch`` after the other."""
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+    for n in range(batch.num_rows):
+        yield [c[n].values for c in columns]
 
 
 def column_sums(matrix: DataFrame, buckets: int = 10_000) -> DataFrame:
@@ -106,7 +125,8 @@ def column_sums(matrix: DataFrame, buckets: int = 10_000) -> DataFrame:
     def run(batches):
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            sums += np.bincount(_flat(batch, "indices"), _flat(batch, "counts"), buckets).astype(np.int64)
+            for indices, counts in _blocks(batch, "indices", "counts"):
+                sums += np.bincount(indices.to_numpy(), counts.to_numpy(), buckets).astype(np.int64)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["bucket", "n"])
 
@@ -136,20 +156,10 @@ def row_weights(matrix: DataFrame, gains: DataFrame, buckets: int = 10_000) -> D
 
     def run(batches):
         for batch in batches:
-            ptr, first = batch.column(batch.schema.get_field_index("indptr")), 0
-            counts = _flat(batch, "counts").astype(np.int64)
-            n = np.concatenate(([0], np.cumsum(counts)))
-            w = np.concatenate(([0], np.cumsum(vector[_flat(batch, "indices")] * counts)))
-            features, weights = [], []
-            for p in ptr:  # one block after the other
-                at = p.values.to_numpy().astype(np.int64) + first
-                first = at[-1]
-                features.append(np.diff(n[at]))
-                weights.append(np.diff(w[at]))
-            ids, words = (batch.column(batch.schema.get_field_index(c)).flatten() for c in ("ids", "words"))
-            yield pa.RecordBatch.from_arrays(
-                [ids, words, *(pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (features, weights))], names=["doc_id", "words", "n_features", "weight"]
-            )
+            for ids, words, ptr, indices, counts in _blocks(batch, "ids", "words", "indptr", "indices", "counts"):
+                at, counts = ptr.to_numpy(), counts.to_numpy().astype(np.int64)
+                sums = (np.diff(np.concatenate(([0], np.cumsum(x)))[at]) for x in (counts, vector[indices.to_numpy()] * counts))
+                yield pa.RecordBatch.from_arrays([ids, words, *map(pa.array, sums)], names=["doc_id", "words", "n_features", "weight"])
 
     return matrix.mapInArrow(run, "doc_id long, words long, n_features long, weight long")
 
@@ -172,7 +182,7 @@ def resample(
     empty one and comes last among ties; repeated rows are drawn one by one;
     an empty table gives an empty result, an empty target counts nothing.
     """
-    matrix = materialize(count_matrix(docs, runs, buckets), "csr")
+    matrix = materialize(count_matrix(docs, runs, buckets), "csr", **{"parquet.block.size": str(GROUP)})
     aim = column_sums(count_matrix(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), runs, buckets), buckets)
     gains = bucket_gains(materialize(column_sums(matrix, buckets), "sums"), materialize(aim, "sums"), buckets)
     rows = row_weights(matrix, gains, buckets)

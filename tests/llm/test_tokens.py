@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -154,6 +155,21 @@ def test_resampling(spark, docs, sf_dir, runs, share, least):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_blocks_of_counts_are_small(spark):
+    from cairn.llm.resampling import ENTRIES, column_sums, count_matrix, row_weights
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([0, 30, 900, 60_000]))) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    matrix = count_matrix(docs)
+    sizes = matrix.selectExpr("size(ids) AS n", "size(indices) AS m", "element_at(indptr, -1) AS last", "size(indptr) AS p", "size(words) AS w").collect()
+    assert sum(r.n for r in sizes) == 160 and len(sizes) > 5 and all(r.m == r.last and r.p == r.n + 1 and r.w == r.n and (r.m <= ENTRIES or r.n == 1) for r in sizes)
+    gains = spark.range(10_000).selectExpr("id AS bucket", "id % 7 - 3 AS gain")
+    want = {n: (len(t.split()), sum(zlib.crc32(w.encode()) % 10_000 % 7 - 3 for w in t.split())) for n, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_features, r.weight) for r in row_weights(matrix, gains).collect()} == want
+    assert column_sums(matrix).agg({"n": "sum"}).first()[0] == sum(n for n, _ in want.values())
+
+
 def test_resampled_rows_keep_their_columns(spark, docs):
     target = docs.select("text")
     got = resampled(docs, target, share=100, least=3)
