@@ -114,6 +114,22 @@ def test_passages_with_a_word_in_six_to_twelve_changed(spark):
     assert got <= every.keys() and min(recall.values()) >= 0.9, recall
 
 
+def test_fuzzy_passages_of_frequent_pieces_meet_by_neighbouring_seeds(spark):
+    rng = random.Random(1)
+    stock = [[f"p{n}w{i}" for i in range(10)] for n in range(100)]
+    new = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join(w for p in rng.sample(stock, 20) for w in p + new(30)) for _ in range(400)]  # every piece in some 80 texts, apart
+    for _ in range(40):
+        passage = [w for p in rng.sample(stock, 6) for w in p]
+        for _ in range(2):
+            shown = list(passage)
+            for at in range(rng.randrange(25), len(shown), 25):
+                shown[at] = new(1)[0]
+            texts.append(" ".join(new(40) + shown + new(40)))
+    got = passages.shared_passages(spark.createDataFrame(list(enumerate(texts)), DOCS)).select("doc_id", "other_id").collect()
+    assert sum((400 + 2 * n, 401 + 2 * n) in {tuple(r) for r in got} for n in range(40)) == 40  # 37 by the extremes of each seed's texts alone
+
+
 def test_passages_whose_pieces_are_frequent_elsewhere(spark):
     rng = random.Random(22)
     shared = words(rng, 60, 10**9)
